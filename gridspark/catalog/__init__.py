@@ -6,7 +6,7 @@ from .registry import CHECKS, QUERIES, Query
 
 
 def _load() -> None:
-    from . import verification  # noqa: F401
+    from . import derived, relations, sources, verification  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

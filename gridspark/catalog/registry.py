@@ -91,7 +91,8 @@ ARRAY = "fx_array AS (SELECT vec_id AS sample_id, label AS cls, embedding AS seq
 
 
 def with_views(*views: str, body: str) -> str:
-    return "WITH " + ",\n".join(views) + "\n" + body
+    joined = ",\n".join(v.strip() for v in views)
+    return f"WITH {joined}\n{body.strip()}"
 
 
 def bin_sql(v: str, lo: float, hi: float, n: int) -> str:
@@ -99,3 +100,8 @@ def bin_sql(v: str, lo: float, hi: float, n: int) -> str:
     lo, hi = float(lo), float(hi)
     return (f"CAST(least(greatest(floor((least(greatest({v}, {lo!r}::DOUBLE), {hi!r}::DOUBLE) - ({lo!r}::DOUBLE)) / "
             f"{hi - lo!r}::DOUBLE * {n}), 0), {n - 1}) AS INT)")
+
+
+def near_zero(expression: str, digits: int = 6) -> str:
+    """Rounded value in SQL, without the negative zero that rounding a tiny negative number leaves."""
+    return f"CASE WHEN abs({expression}) < {0.5 * 10 ** -digits!r} THEN 0 ELSE round({expression}, {digits}) END"

@@ -35,10 +35,9 @@ def bin_center(index: Column | str, lo: float, hi: float, bins: int) -> Column:
 
 def one_hot(*classes: tuple[Column | str, int]) -> Column:
     """0/1 vector of one or more (class column, size) pairs, concatenated in order."""
-    parts = [
-        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i, c=col(c): (i == c).cast("int"))
-        for c, size in classes
-    ]
+    def vector(c: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == c).cast("int"))
+    parts = [vector(col(c), size) for c, size in classes]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

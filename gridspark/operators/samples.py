@@ -52,7 +52,9 @@ def grid_sample_rows(df: DataFrame, window: int, horizon: int, frequency: int, f
         "init", F.col("init").cast("int"))
     if not complete:
         return out
-    whole = Window.partitionBy(*keys, "init")
+    # Ordered like the windows that follow, so that one sort serves them all.
+    whole = Window.partitionBy(*keys, "init").orderBy("lead").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         out.withColumn("_n", F.count(F.lit(1)).over(whole)).where(F.col("_n") == window + horizon).drop("_n")
     )
