@@ -13,12 +13,9 @@ from ..operators import samples as S
 from ..operators import selection as Q
 from ..operators import verification as V
 from ..operators.joins import join_static
-from .registry import ARRAY, DYNAMIC, ERRORS, PARAMS, SCORED, STATIC, TEXTURE, VEGETATION, near_zero, query, with_views
+from .registry import ARRAY, DYNAMIC, ERRORS, PARAMS, SCORED, STATIC, TEXTURE, VEGETATION, query, r6, settled, with_views
 
 
-def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
-
 
 @query("b1_project_feats", with_views(DYNAMIC, body="""
 SELECT y, x, step, round(weasd, 6) AS weasd, round(sqrt(ugrd * ugrd + vgrd * vgrd), 6) AS windmag,
@@ -60,7 +57,7 @@ def convert_units(spark, sf):
         parts.append(again)
     out = parts[0].unionByName(parts[1])
     return out.select("y", "x", "init", "step", "feat", *r6("rsm", "rsm_res"),
-                      F.round("soilm_again", 5).alias("soilm_again"))
+                      settled("soilm_again", 5).alias("soilm_again"))
 
 
 @query("b4_alt_source", with_views(SCORED, body="""
@@ -212,7 +209,7 @@ WHERE (y, x) IN (SELECT (y, x) FROM fx_static WHERE elev > 8000) GROUP BY y, x""
 def select_pixels(spark, sf):
     listed = fx.static(spark, sf).where("elev > 8000")
     rows = Q.select_pixels(fx.dynamic(spark, sf), listed)
-    return rows.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("tmp"), 6).alias("tmp"))
+    return rows.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"), settled(F.avg("tmp"), 6).alias("tmp"))
 
 
 @query("b15_select_tile_bounds", with_views(DYNAMIC, body="""
@@ -365,12 +362,12 @@ def coarsen_horizon_arrays(spark, sf):
     parts = F.arrays_zip(E.block_reduce("states", 8, "mean").alias("mean"), E.block_reduce("states", 8, "min").alias("lo"),
                          E.block_reduce("states", 8, "max").alias("hi"))
     out = rows.select("sample_id", F.posexplode(parts).alias("position", "_e"))
-    return out.select("sample_id", "position", *[F.round(f"_e.{c}", 6).alias(c) for c in ("mean", "lo", "hi")])
+    return out.select("sample_id", "position", *[settled(f"_e.{c}", 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
 @query("b27_error_columns", with_views(ERRORS, body=f"""
-SELECT y, x, init, step, feat, {near_zero('true_res')} AS true_res, round(pred_state, 6) AS pred_state,
-       {near_zero('err_state')} AS err_state, {near_zero('err_res')} AS err_res FROM fx_err"""))
+SELECT y, x, init, step, feat, round(true_res, 6) AS true_res, round(pred_state, 6) AS pred_state,
+       round(err_state, 6) AS err_state, round(err_res, 6) AS err_res FROM fx_err"""))
 def error_columns(spark, sf):
     return fx.errors(spark, sf).select("y", "x", "init", "step", "feat",
                                        *r6("true_res", "pred_state", "err_state", "err_res"))
@@ -387,7 +384,7 @@ def error_columns_arrays(spark, sf):
         E.accumulate(F.get("seq", F.lit(0)), F.slice("seq", 33, 31)).alias("pred"))
     errs = F.zip_with("pred", "truth", lambda p, y: p - y)
     return rows.select("sample_id", F.posexplode(errs).alias("_p", "e")).select(
-        "sample_id", (F.col("_p") + 1).alias("step"), F.round("e", 5).alias("err_state"))
+        "sample_id", (F.col("_p") + 1).alias("step"), settled("e", 5).alias("err_state"))
 
 
 @query("b28_time_parts", """
@@ -419,7 +416,7 @@ SELECT y, x, feat, round(avg(err_state) / nullif(avg(true_state), 0), 6) AS rela
 def relative_error(spark, sf):
     means = fx.errors(spark, sf).groupBy("y", "x", "feat").agg(
         F.avg("err_state").alias("e"), F.avg("true_state").alias("s"))
-    return means.select("y", "x", "feat", F.round(E.relative_error("e", "s"), 6).alias("relative"))
+    return means.select("y", "x", "feat", settled(E.relative_error("e", "s"), 6).alias("relative"))
 
 
 @query("b31_step_labels", with_views(DYNAMIC, body="""
@@ -447,8 +444,8 @@ SELECT y, x, step, round(least(greatest((tmp - 250) / 60e0, 0), 1), 6) AS tmp,
 def minmax_scale(spark, sf):
     wet = F.when(F.col("apcp") > 0, F.col("apcp"))
     return fx.dynamic(spark, sf).select(
-        "y", "x", "step", F.round(E.minmax_scale("tmp", 250, 310), 6).alias("tmp"),
-        F.round(E.minmax_scale(wet, 0, 5, null_fill=-1), 6).alias("apcp"))
+        "y", "x", "step", settled(E.minmax_scale("tmp", 250, 310), 6).alias("tmp"),
+        settled(E.minmax_scale(wet, 0, 5, null_fill=-1), 6).alias("apcp"))
 
 
 @query("h_units_metadata", f"""

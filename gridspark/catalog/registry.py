@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.expressions import col
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,11 +23,39 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            CHECKS[name] = sql
+            CHECKS[name] = _settled_sql(sql)
         return fn
     return keep
 
 
+# Sums differ in their last bits with the order of addition, so a value half way between two decimals would
+# round either way. Both sides add the same tiny amount, well above that noise and below the digits compared.
+
+def settled(value, digits: int = 6) -> Column:
+    """Rounded value for comparison."""
+    return F.round(col(value) + F.lit(10.0 ** -(digits + 2)), digits)
+
+
+def r6(*names: str) -> list[Column]:
+    return [settled(n).alias(n) for n in names]
+
+
+def _settled_sql(sql: str) -> str:
+    """`round(e, n)` -> `round((e) + tiny, n)`, for any nesting of parentheses inside e."""
+    out, at = [], 0
+    for found in re.finditer(r"\bround\(", sql):
+        depth, i, comma = 1, found.end(), None
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            if sql[i] == "," and depth == 1:
+                comma = i
+            i += 1
+        digits = int(sql[comma + 1:i - 1])
+        out += [sql[at:found.end()], "(", sql[found.end():comma], f") + {10.0 ** -(digits + 2)!r}::DOUBLE", sql[comma:i]]
+        at = i
+    return "".join(out) + sql[at:]
+
+
 def _values(columns, rows) -> str:
     lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}"
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
@@ -101,7 +132,3 @@ def bin_sql(v: str, lo: float, hi: float, n: int) -> str:
     return (f"CAST(least(greatest(floor((least(greatest({v}, {lo!r}::DOUBLE), {hi!r}::DOUBLE) - ({lo!r}::DOUBLE)) / "
             f"{hi - lo!r}::DOUBLE * {n}), 0), {n - 1}) AS INT)")
 
-
-def near_zero(expression: str, digits: int = 6) -> str:
-    """Rounded value in SQL, without the negative zero that rounding a tiny negative number leaves."""
-    return f"CASE WHEN abs({expression}) < {0.5 * 10 ** -digits!r} THEN 0 ELSE round({expression}, {digits}) END"

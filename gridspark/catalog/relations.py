@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions import expressions as E
 from ..operators import integrity as N
 from ..operators import joins as J
 from ..operators import selection as Q
 from ..operators import verification as V
 from ..operators.merging import information_measures
-from .registry import DYNAMIC, ERRORS, SCORED, STATIC, bin_sql, query, with_views
+from .registry import DYNAMIC, ERRORS, SCORED, STATIC, bin_sql, query, r6, settled, with_views
 
 
-def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
-
 
 @query("c1_join_forcing_model", with_views(DYNAMIC, body="""
-SELECT y, x, step, round(tmp, 6) AS tmp, round(soilm_10, 6) AS soilm_10 FROM fx_dynamic WHERE step % 3 = 0 AND step % 5 <> 0"""))
+SELECT y, x, step, round(tmp, 6) AS tmp, round(soilm_10, 6) AS soilm_10 FROM fx_dynamic WHERE apcp = 0 AND tmp > 240"""))
 def join_forcing_model(spark, sf):
     rows = fx.dynamic(spark, sf)
-    forcing = rows.where("step % 3 = 0").select("y", "x", "t", "step", "tmp")
-    model = rows.where("step % 5 <> 0").select("y", "x", "t", "soilm_10")
+    forcing = rows.where("apcp = 0").select("y", "x", "t", "step", "tmp")
+    model = rows.where("tmp > 240").select("y", "x", "t", "soilm_10")
     return J.join_forcing_model(forcing, model).select("y", "x", "step", *r6("tmp", "soilm_10"))
 
 
@@ -43,22 +41,22 @@ def join_sample_prediction(spark, sf):
 
 
 @query("c4_nearest_time", """
-WITH p AS (SELECT user_id, unnest(generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-02-01', INTERVAL 17 HOUR)) AS pivot
+WITH p AS (SELECT user_id, unnest(generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-02-01', INTERVAL 17 HOUR)) AS asked
            FROM (SELECT DISTINCT user_id FROM events) u),
 e AS (SELECT DISTINCT user_id, ts FROM events),
-lo AS (SELECT p.user_id, p.pivot, e.ts FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.pivot >= e.ts),
-hi AS (SELECT p.user_id, p.pivot, e.ts FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.pivot <= e.ts)
-SELECT lo.user_id, epoch(lo.pivot)::BIGINT AS pivot,
+lo AS (SELECT p.user_id, p.asked, e.ts FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.asked >= e.ts),
+hi AS (SELECT p.user_id, p.asked, e.ts FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.asked <= e.ts)
+SELECT lo.user_id, epoch(lo.asked)::BIGINT AS asked,
   epoch_us(CASE WHEN hi.ts IS NULL THEN lo.ts WHEN lo.ts IS NULL THEN hi.ts
-           WHEN epoch_us(lo.pivot) - epoch_us(lo.ts) <= epoch_us(hi.ts) - epoch_us(lo.pivot) THEN lo.ts ELSE hi.ts END) AS ts
-FROM lo JOIN hi USING (user_id, pivot)""")
+           WHEN epoch_us(lo.asked) - epoch_us(lo.ts) <= epoch_us(hi.ts) - epoch_us(lo.asked) THEN lo.ts ELSE hi.ts END) AS ts
+FROM lo JOIN hi USING (user_id, asked)""")
 def nearest_time(spark, sf):
     events = fx.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     axis = F.sequence(F.lit("2023-12-31").cast("timestamp"), F.lit("2024-02-01").cast("timestamp"),
                       F.expr("INTERVAL 17 HOURS"))
-    pivots = events.select("user_id").distinct().select("user_id", F.explode(axis).alias("pivot"))
-    out = J.nearest_time(events, pivots, "ts", "pivot", ["user_id"])
-    return out.select("user_id", F.unix_timestamp("pivot").alias("pivot"), F.unix_micros("ts").alias("ts"))
+    pivots = events.select("user_id").distinct().select("user_id", F.explode(axis).alias("asked"))
+    out = J.nearest_time(events, pivots, "ts", "asked", ["user_id"])
+    return out.select("user_id", F.unix_timestamp("asked").alias("asked"), F.unix_micros("ts").alias("ts"))
 
 
 @query("c5_window_interval_join", """
@@ -147,12 +145,12 @@ def join_results(spark, sf):
 # --- order and top-k ------------------------------------------------------------------------------
 
 @query("f1_shuffle_samples", with_views(SCORED, body="""
-SELECT y, x, init, CAST(row_number() OVER (ORDER BY md5('7:' || y || ':' || x || ':' || init), y, x, init) % 1 AS INT) AS z
-FROM (SELECT DISTINCT y, x, init FROM fx_scored) s"""))
+SELECT y, x, init, h FROM (SELECT DISTINCT y, x, init, md5('7:' || y || ':' || x || ':' || init) AS h FROM fx_scored) s
+ORDER BY h, y, x, init"""))
 def shuffle_samples(spark, sf):
     keys = ["y", "x", "init"]
     samples = fx.scored(spark, sf).select(*keys).distinct()
-    return Q.shuffle_samples(samples, 7, keys).withColumn("z", F.lit(0))
+    return Q.shuffle_samples(samples, 7, keys).withColumn("h", E.hash_order(7, *keys))
 
 
 @query("f2_limit_per_block", with_views(SCORED, body="""

@@ -46,10 +46,10 @@ def raster_rows(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     box = df.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     bound = lambda c: box.select(c).scalar()
     rows = df.groupBy(*by, "y").agg(F.map_from_entries(F.collect_list(F.struct("x", value))).alias("_m"))
-    frame = rows.groupBy(*by).agg(F.lit(1).alias("_one")).select(
-        *by, F.explode(F.sequence(bound("y0"), bound("y1"))).alias("y"))
-    columns = F.sequence(bound("x0"), bound("x1"))
-    cells = F.transform(columns, lambda x: F.try_element_at(F.col("_m"), x))
+    frame = rows.select(*by).distinct().select(
+        *by, F.sequence(bound("x0"), bound("x1")).alias("_x"),
+        F.explode(F.sequence(bound("y0"), bound("y1"))).alias("y"))
+    cells = F.transform("_x", lambda x: F.try_element_at(F.col("_m"), x))
     return frame.join(rows, [*by, "y"], "left").select(*by, "y", cells.alias("cells"))
 
 
