@@ -288,9 +288,9 @@ def series_search_grouped(spark, sf):
 
 
 @query("b20_texture_fractions", with_views(STATIC, TEXTURE, body="""
-SELECT y, x, s.cls, CASE WHEN s.cls = 0 THEN 0 ELSE coalesce(pct_sand, 0) END AS pct_sand,
-  CASE WHEN s.cls = 0 THEN 0 ELSE coalesce(pct_silt, 0) END AS pct_silt,
-  CASE WHEN s.cls = 0 THEN 0 ELSE coalesce(pct_clay, 0) END AS pct_clay
+SELECT y, x, s.cls, CASE WHEN s.cls = 0 THEN 0e0 ELSE coalesce(pct_sand, 0) END AS pct_sand,
+  CASE WHEN s.cls = 0 THEN 0e0 ELSE coalesce(pct_silt, 0) END AS pct_silt,
+  CASE WHEN s.cls = 0 THEN 0e0 ELSE coalesce(pct_clay, 0) END AS pct_clay
 FROM (SELECT y, x, (int_soil * 3) % 20 AS cls FROM fx_static) s LEFT JOIN tex ON tex.int_soil = s.cls"""))
 def texture_fractions(spark, sf):
     rows = fx.static(spark, sf).select("y", "x", F.expr("(int_soil * 3) % 20").alias("cls"))

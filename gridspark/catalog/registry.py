@@ -41,7 +41,7 @@ def r6(*names: str) -> list[Column]:
 
 
 def _settled_sql(sql: str) -> str:
-    """`round(e, n)` -> `round((e) + tiny, n)`, for any nesting of parentheses inside e."""
+    """`round(e, n)` -> `(round((e) + tiny, n) + 0)`; the last part turns a negative zero into zero."""
     out, at = [], 0
     for found in re.finditer(r"\bround\(", sql):
         depth, i, comma = 1, found.end(), None
@@ -51,13 +51,14 @@ def _settled_sql(sql: str) -> str:
                 comma = i
             i += 1
         digits = int(sql[comma + 1:i - 1])
-        out += [sql[at:found.end()], "(", sql[found.end():comma], f") + {10.0 ** -(digits + 2)!r}::DOUBLE", sql[comma:i]]
+        out += [sql[at:found.start()], "(round((", sql[found.end():comma], f") + {10.0 ** -(digits + 2)!r}::DOUBLE",
+                sql[comma:i], " + 0)"]
         at = i
     return "".join(out) + sql[at:]
 
 
 def _values(columns, rows) -> str:
-    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}"
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else f"{v!r}"
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS v({columns}))"
 

@@ -258,7 +258,7 @@ def residual_loss(spark, sf):
 , k AS (SELECT y, x, init, step, avg(err_res * err_res / 0.09e0) AS r, sum((1 + abs(true_res)) / 0.3e0) AS w,
           bool_and(true_res = 0 AND true_state - 20 < 1e-4 AND pred_res < 0) AS quiet
         FROM fx_err WHERE feat = 'soilm_10' GROUP BY 1, 2, 3, 4)
-SELECT round(avg(CASE WHEN quiet THEN 0 ELSE r * w END), 3) AS loss, count_if(quiet) AS n_ignored FROM k""".lstrip()))
+SELECT round(avg(CASE WHEN quiet THEN 0 ELSE r * w END), 3) AS loss, CAST(count_if(quiet) AS BIGINT) AS n_ignored FROM k""".lstrip()))
 def snow_loss(spark, sf):
     out = V.snow_loss(fx.errors(spark, sf, feats=("soilm_10",)), 20.0, {"soilm_10": 0.3}, 1.0, use_mse=True)
     return out.select(settled("loss", 3).alias("loss"), "n_ignored")

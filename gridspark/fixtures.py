@@ -37,8 +37,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PREPARED: dict[str, str] = {}
+
+
+def prepare(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the pixel-hour table the way a production one is kept: spread and sorted by pixel and step.
+
+    From then on `dynamic` reads it instead of numbering the line items again.
+    """
+    dynamic(spark, sf_dir).repartitionByRange("y", "x", "step").sortWithinPartitions("y", "x", "step").write.parquet(path)
+    _PREPARED[sf_dir] = path
+
+
 def dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixel-hour table: y, x, step, t and eleven features."""
+    if sf_dir in _PREPARED:
+        return spark.read.parquet(_PREPARED[sf_dir])
     items = table(spark, sf_dir, "lineitem").withColumns({
         "y": F.expr("CAST(floor(l_suppkey / 10) AS INT)"), "x": F.expr("CAST(l_suppkey % 10 AS INT)"),
         "_day": F.to_date("l_shipdate")})

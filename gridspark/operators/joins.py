@@ -19,11 +19,19 @@ def join_forcing_model(forcing: DataFrame, model: DataFrame, keys: Sequence[str]
     return forcing.join(model, list(keys), "inner")
 
 
-def join_static(df: DataFrame, static: DataFrame, keys: Sequence[str] = PIXEL, feats: Sequence[str] | None = None
-                ) -> DataFrame:
-    """Give every row the static row of its pixel."""
+def join_static(df: DataFrame, static: DataFrame, keys: Sequence[str] = PIXEL, feats: Sequence[str] | None = None,
+                salts: int = 1, salt_by: str = "t") -> DataFrame:
+    """Give every row the static row of its pixel.
+
+    Adaptive execution splits a hot pixel. Where it is off, `salts` spreads every pixel over that many
+    sub-keys of the `salt_by` column, at the price of as many copies of the (short) static table.
+    """
     side = static if feats is None else static.select(*keys, *feats)
-    return df.join(side, list(keys), "inner")
+    if salts <= 1:
+        return df.join(side, list(keys), "inner")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], "inner").drop("_salt")
 
 
 def join_sample_prediction(samples: DataFrame, predictions: DataFrame, keys: Sequence[str],

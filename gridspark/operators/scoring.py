@@ -69,8 +69,8 @@ def _inputs(samples: DataFrame, keys: Sequence[str], parts: Parts, extra: Sequen
         statics.alias("_s"), onehot.alias("_i"), *extra)
 
 
-def _run(rows: DataFrame, keys: Sequence[str], parts: Parts, scaling: Scaling, factory: Factory, apply) -> DataFrame:
-    kept = [f for f in rows.schema if f.name in keys or f.name == "init_state"]
+def _run(rows: DataFrame, parts: Parts, scaling: Scaling, factory: Factory, apply) -> DataFrame:
+    kept = [f for f in rows.schema if f.name not in ("_w", "_h", "_s", "_i")]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", `_pred` array<double>"
     names = [f.name for f in kept]
     scales = {n: scaling.arrays(getattr(parts, n)) for n in ("window", "horizon", "pred", "static")}
@@ -95,21 +95,22 @@ def _run(rows: DataFrame, keys: Sequence[str], parts: Parts, scaling: Scaling, f
 
 
 def score_samples(samples: DataFrame, factory: Factory, keys: Sequence[str], parts: Parts,
-                  scaling: Scaling = Scaling()) -> DataFrame:
+                  scaling: Scaling = Scaling(), carry: Sequence[str] = ()) -> DataFrame:
     """Predicted increments and the initial state of each sample, in data units.
 
     `pred_res` has one struct per predicted step; `init_state` is the first label, the last observed state.
+    Columns in `carry` (labels, times) pass through, which saves a join when they are needed again.
     """
     initial = F.get(F.col("pred"), F.lit(0))
     state = F.array(*[initial[f].cast("double") for f in parts.pred]).alias("init_state")
-    rows = _inputs(samples, keys, parts, [state])
-    scored = _run(rows, keys, parts, scaling, factory, lambda p, w, h, s, i: p(w, h, s, i))
+    rows = _inputs(samples, keys, parts, [state, *map(F.col, carry)])
+    scored = _run(rows, parts, scaling, factory, lambda p, w, h, s, i: p(w, h, s, i))
     n = len(parts.pred)
     steps = F.sequence(F.lit(0), F.floor(F.size("_pred") / F.lit(n)).cast("int") - 1)
     res = F.transform(steps, lambda k: F.struct(*[
         F.get(F.col("_pred"), k * n + j).alias(f) for j, f in enumerate(parts.pred)]))
     first = F.struct(*[F.get(F.col("init_state"), F.lit(j)).alias(f) for j, f in enumerate(parts.pred)])
-    return scored.select(*keys, res.alias("pred_res"), first.alias("init_state"))
+    return scored.select(*keys, *carry, res.alias("pred_res"), first.alias("init_state"))
 
 
 def predictions_long(scored: DataFrame, keys: Sequence[str], feats: Sequence[str]) -> DataFrame:
@@ -121,6 +122,23 @@ def predictions_long(scored: DataFrame, keys: Sequence[str], feats: Sequence[str
         *keys, "step", "_x.*")
 
 
+def scored_long(scored: DataFrame, keys: Sequence[str], feats: Sequence[str], window: int) -> DataFrame:
+    """(keys, step, t, feat, true_prev, true_state, pred_res) rows of scored samples that carry `pred` and `time`.
+
+    Label i + 1 is the state after step i; label 0 is the last observed one.
+    """
+    n = F.size("pred_res")
+    rows = F.arrays_zip(
+        F.col("pred_res").alias("p"), F.slice("pred", F.lit(1), n).alias("a"), F.slice("pred", F.lit(2), n).alias("b"),
+        F.slice("time", F.lit(window + 1), n).alias("t"))
+    steps = scored.select(*keys, F.posexplode(rows).alias("_k", "_r"))
+    items = F.array(*[F.struct(
+        F.lit(f).alias("feat"), F.col(f"_r.a.{f}").alias("true_prev"), F.col(f"_r.b.{f}").alias("true_state"),
+        F.col(f"_r.p.{f}").alias("pred_res")) for f in feats])
+    return steps.select(*keys, (F.col("_k") + 1).alias("step"), F.col("_r.t").alias("t"), F.explode(items).alias("_x")
+                        ).select(*keys, "step", "t", "_x.*")
+
+
 def score_grid(df: DataFrame, factory: Factory, parts: Parts, window: int, horizon: int, frequency: int, first: int,
                final: int | None = None, scaling: Scaling = Scaling(), static: DataFrame | None = None,
                static_int: Mapping[str, int] | None = None, keys: Sequence[str] = ("y", "x"), step: str = "step",
@@ -156,7 +174,7 @@ def rolling_forecast(samples: DataFrame, factory: Factory, steps: int, keys: Seq
             w = np.concatenate([w[:, 1:], np.concatenate([forcing, state], axis=-1)], axis=1)
         return np.concatenate(states, axis=1)
 
-    scored = _run(_inputs(samples, keys, parts), keys, parts, scaling, factory, roll)
+    scored = _run(_inputs(samples, keys, parts), parts, scaling, factory, roll)
     n = len(parts.pred)
     rows = scored.select(*keys, F.posexplode("_pred").alias("_k", "_v"))
     names = F.array(*[F.lit(f) for f in parts.pred])

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import PIXEL
 from ..functions import expressions as E
+from .blocks import numbered_in_chunks
+
+# Largest rank limit that Spark pushes below the exchange (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 # --- pixels ---------------------------------------------------------------------------------------
@@ -217,8 +221,13 @@ def top_class_combos(counts: DataFrame, k: int, count: str = "n", ties: Sequence
 def limit_per_block(df: DataFrame, block: Sequence[str], k: int, seed: int | str, keys: Sequence[str]) -> DataFrame:
     """At most k rows of each block, chosen by a reproducible hash.
 
-    The rank limit is also applied before the exchange, so a hot block sends at most k rows from each task.
+    A small limit is also applied before the exchange, so a hot block sends at most k rows from each task.
+    For a large one, where Spark does not do that, blocks are numbered by hash prefix instead.
     """
+    if k >= GROUP_LIMIT:
+        hashed = df.withColumn("_h", E.hash_order(seed, *keys)).withColumn("_prefix", F.substring("_h", 1, 3))
+        numbered = numbered_in_chunks(hashed, list(block), "_prefix", ["_h", *keys], "_rank")
+        return numbered.where(F.col("_rank") <= k).select(*df.columns)
     w = Window.partitionBy(*block).orderBy("_h", *keys)
     ranked = df.withColumn("_h", E.hash_order(seed, *keys)).withColumn("_rank", F.row_number().over(w))
     return ranked.where(F.col("_rank") <= k).drop("_h", "_rank")

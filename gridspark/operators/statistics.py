@@ -163,7 +163,7 @@ def grid_mae(df: DataFrame, truth: str, pred: str, sample: Sequence[str], keys:
 def range_histogram(df: DataFrame, truth: str, pred: str, bins: int, feat: str = "feat") -> DataFrame:
     """Histograms of truth and prediction on their common range, each value going to the nearest bin.
 
-    The range is one row per feature; it comes back to the rows by an equality join on the feature.
+    The range is one row per feature, so it is broadcast: the feature list bounds its size.
     """
     ranges = df.groupBy(feat).agg(
         F.least(F.min(truth), F.min(pred)).alias("lo"), F.greatest(F.max(truth), F.max(pred)).alias("hi"))
@@ -171,8 +171,7 @@ def range_histogram(df: DataFrame, truth: str, pred: str, bins: int, feat: str =
         F.struct(F.lit("truth").alias("source"), F.col(truth).alias("v")),
         F.struct(F.lit("pred").alias("source"), F.col(pred).alias("v")))).alias("_e")).select(feat, "_e.*")
     scaled = E.ratio(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    # Rows are first counted per distinct value bin; the bounds ride along because they depend on feat only.
-    binned = values.join(ranges, feat).withColumn("bin", F.rint(scaled * (bins - 1)).cast("int"))
+    binned = values.join(F.broadcast(ranges), feat).withColumn("bin", F.rint(scaled * (bins - 1)).cast("int"))
     return binned.where("bin IS NOT NULL").groupBy(feat, "source", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,7 +10,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join on pixels is split for a hot pixel even where the aggregate above it would like to keep the layout.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A sample is some 50 kB, so batches of the default 10,000 rows would take half a gigabyte.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
@@ -24,9 +28,10 @@ def get_spark(app: str = "gridspark", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Pin the time zone on a session made elsewhere; all date parts are defined in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def configure(spark: SparkSession) -> None:
+    """Apply the settings to a session made elsewhere; all of them can be changed at run time."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
 
 
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:

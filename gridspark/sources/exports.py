@@ -54,9 +54,9 @@ def raster_rows(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def scale_frames(frames: DataFrame, bounds: DataFrame, metric: str, null_fill: float = 0.0) -> DataFrame:
-    """Scale a metric to [0, 1] by the bounds of its feature (bounds: feat, metric, lo, hi)."""
+    """Scale a metric to [0, 1] by the bounds of its feature (bounds: feat, metric, lo, hi; one row per feature)."""
     b = bounds.where(F.col("metric") == metric).select("feat", "lo", "hi")
-    return frames.join(b, "feat", "left").withColumn(
+    return frames.join(F.broadcast(b), "feat", "left").withColumn(
         "scaled", minmax_scale(metric, "lo", "hi", null_fill)).drop("lo", "hi")
 
 
