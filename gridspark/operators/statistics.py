@@ -176,10 +176,14 @@ def range_histogram(df: DataFrame, truth: str, pred: str, bins: int, feat: str =
 
 
 def linear_fit(df: DataFrame, x: str, y: str, at: float, by: Sequence[str] = ()) -> DataFrame:
-    """Least-squares line: slope, intercept, r2 and the value predicted at `at`."""
-    fit = df.groupBy(*by).agg(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
-    return fit.withColumn("predicted", F.col("slope") * F.lit(float(at)) + F.col("intercept"))
+    """Least-squares line: slope, intercept, r2 and the value predicted at `at`; null where x is constant."""
+    sxy, sxx, syy = F.regr_sxy(y, x), F.regr_sxx(y, x), F.regr_syy(y, x)
+    slope = E.ratio(sxy, sxx)
+    intercept = F.regr_avgy(y, x) - slope * F.regr_avgx(y, x)
+    r2 = F.when((syy == 0) & (sxx > 0), F.lit(1.0)).otherwise(E.ratio(sxy * sxy, sxx * syy))
+    return df.groupBy(*by).agg(
+        slope.alias("slope"), intercept.alias("intercept"), r2.alias("r2"),
+        (slope * F.lit(float(at)) + intercept).alias("predicted"))
 
 
 def fit_scale(train: DataFrame, feats: Sequence[str]) -> DataFrame:

@@ -188,7 +188,9 @@ def _efficiency(y: str, p: str, prefix: str) -> list[Column]:
     mse = F.avg(e * e)
     idle = F.max(yc) == F.min(yc)
     flat = F.max(pc) == F.min(pc)
-    cc = F.when(idle, None).when(flat, F.lit(0.0)).otherwise(F.corr(yc, pc))
+    # Not `corr`, which raises in ANSI mode where either side is constant.
+    r = E.ratio(F.covar_pop(yc, pc), F.stddev_pop(yc) * F.stddev_pop(pc))
+    cc = F.when(idle, None).when(flat, F.lit(0.0)).otherwise(r)
     alpha = E.ratio(F.stddev_pop(pc), F.stddev_pop(yc))
     beta = E.ratio(F.avg(pc), F.avg(yc))
     kge = 1 - F.sqrt(F.pow(cc - 1, 2) + F.pow(alpha - 1, 2) + F.pow(beta - 1, 2))
