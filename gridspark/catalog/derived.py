@@ -272,7 +272,7 @@ cat AS (SELECT * FROM spans, (VALUES ('tmp', 'raw'), ('soilm_10', 'raw'), ('soil
 @query("b19_series_search", with_views(DYNAMIC, STATIC, body=_CATALOG.lstrip() + """
 SELECT flabel, mlabel, y, x, size FROM cat JOIN fx_static s USING (y, x)
 WHERE flabel = 'soilm_10' AND t0 <= TIMESTAMP '2020-02-01'
-  AND epoch(t0) + dt * size >= epoch(TIMESTAMP '2021-12-20') AND y BETWEEN 1 AND 8 AND x BETWEEN 0 AND 7
+  AND epoch(t0) + dt::BIGINT * size >= epoch(TIMESTAMP '2021-12-20') AND y BETWEEN 1 AND 8 AND x BETWEEN 0 AND 7
   AND s.int_soil = 5"""))
 def series_search(spark, sf):
     out = Q.series_search(series_catalog(spark, sf), flabel="soilm_10", time_range=("2020-02-01", "2021-12-20"),

@@ -178,8 +178,7 @@ SELECT step, feat, count(*) AS n_state, {sql_r6(mean_state='avg(abs(err_state))'
 def merge_partials(spark, sf):
     m = V.horizon_moments(["tile"])
     parts = m.partial(fx.errors(spark, sf).withColumn("tile", F.col("x") % 4))
-    tiles = [parts.where(F.col("tile") == k) for k in range(4)]
-    merged = V.horizon_moments().merge(*[t.drop("tile") for t in tiles])
+    merged = V.horizon_moments().merge(parts.drop("tile"))
     return m.finish(merged).select("step", "feat", "n_state", *r6("mean_state", "var_state", "mean_res", "var_res"))
 
 

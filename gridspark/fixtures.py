@@ -61,7 +61,7 @@ def dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = (F.col("_rn") - 1).cast("int")
     first = F.unix_timestamp(F.lit(FIRST).cast("timestamp"))
     return rows.select(
-        "y", "x", step.alias("step"), F.timestamp_seconds(first + step * F.lit(STEP_SECONDS)).alias("t"),
+        "y", "x", step.alias("step"), F.timestamp_seconds(first + (F.col("_rn") - 1) * F.lit(STEP_SECONDS)).alias("t"),
         *[F.expr(e).alias(f) for f, e in FEATS.items()])
 
 

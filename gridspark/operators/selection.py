@@ -187,7 +187,7 @@ def series_search(catalog: DataFrame, flabel: str | None = None, mlabel: str | N
     if time_range is not None:
         lo, hi = (F.unix_timestamp(F.lit(b).cast("timestamp")) for b in time_range)
         begin = F.unix_timestamp("t0")
-        out = out.where((begin <= lo) & (begin + F.col("dt") * F.col("size") >= hi))
+        out = out.where((begin <= lo) & (begin + F.col("dt").cast("bigint") * F.col("size") >= hi))
     for name, limits in (("y", yrange), ("x", xrange)):
         if limits is not None:
             out = out.where(F.col(name).between(*limits))
@@ -202,13 +202,19 @@ def series_search(catalog: DataFrame, flabel: str | None = None, mlabel: str | N
 
 
 def drop_bad_series(df: DataFrame, feat: str, limit: float, fill: float = 9999.0,
-                    keys: Sequence[str] = PIXEL) -> DataFrame:
-    """Drop the series of pixels that hold nothing but fill, or any value above the plausible limit."""
+                    keys: Sequence[str] = PIXEL, salts: int = 16, salt_by: str = "step") -> DataFrame:
+    """Drop the series of pixels that hold nothing but fill, or any value above the plausible limit.
+
+    The list of bad pixels comes from an aggregate by pixel, a layout adaptive execution does not split, so
+    pixels are spread over `salts` sub-keys for the join.
+    """
     v = F.col(feat)
     only_fill = F.count_if(v != F.lit(fill)) == 0
     implausible = F.count_if((v > F.lit(limit)) & (v != F.lit(fill))) > 0
     bad = df.groupBy(*keys).agg((only_fill | implausible).alias("_bad")).where("_bad").select(*keys)
-    return df.join(bad, list(keys), "left_anti")
+    copies = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*keys, "_salt"], "left_anti").drop("_salt")
 
 
 # --- top-k and order ------------------------------------------------------------------------------

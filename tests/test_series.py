@@ -248,7 +248,7 @@ def test_time_slice_bounds(spark):
 def test_drop_bad_series(spark):
     rows = [(0, 0, 9999.0), (0, 0, 9999.0), (0, 1, 9999.0), (0, 1, 3.0), (0, 2, 3.0), (0, 2, 5000.0), (0, 3, 1.0)]
     df = spark.createDataFrame(rows, "y int, x int, v double")
-    assert {r.x for r in Q.drop_bad_series(df, "v", 1000.0).collect()} == {1, 3}
+    assert {r.x for r in Q.drop_bad_series(df, "v", 1000.0, salt_by="v").collect()} == {1, 3}
 
 
 def test_select_domain_and_bounds(spark):
