@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, token_files
+from . import chat, decontaminate, fingerprints, secrets, token_files
 from .common import shared_path, table
 
 END_ID = 2
@@ -32,5 +32,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_chat_formatting, op5_secret_scan)}
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digests(fingerprints.fingerprints(table(spark, sf_dir, "documents")))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hit_digests(decontaminate.decontaminate(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_token_files, op4_chat_formatting, op5_secret_scan, op7_fingerprints, op10_decontamination)}
 ORACLES: dict[str, str] = {}
