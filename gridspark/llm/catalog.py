@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, secrets, token_files
+from . import chat, decontaminate, fingerprints, near_dedup, secrets, token_files
 from .common import shared_path, table
 
 END_ID = 2
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
@@ -42,5 +46,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_files, op4_chat_formatting, op5_secret_scan, op7_fingerprints, op10_decontamination)}
+    op1_near_dedup, op2_token_files, op4_chat_formatting, op5_secret_scan, op7_fingerprints, op10_decontamination)}
 ORACLES: dict[str, str] = {}
