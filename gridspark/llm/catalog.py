@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, near_dedup, secrets, token_files
-from .common import shared_path, table
+from . import chat, decontaminate, fingerprints, language, line_dedup, mixing, near_dedup, oracles, secrets, token_files
+from .common import shared_path, table, text_column
 
 END_ID = 2
 
@@ -36,15 +37,43 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_digests(fingerprints.fingerprints(table(spark, sf_dir, "documents")))
 
 
+#: The mixture's weights, by level and name, in whole numbers; sources of a language weigh the same.
+MIX_WEIGHTS = {"domain": {"web": 60, "curated": 40}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """Sources numbered below ten are web, all others curated."""
+    domain = F.when(F.col("source").rlike("^src[0-9]$"), "web").otherwise("curated")
+    return mixing.mix(docs, {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixture(docs).select("doc_id", "epoch", "domain", "lang", "source", mixing.token_count(text_column()).alias("n_tokens"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"),
+                          F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_digests(decontaminate.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op2_token_files, op4_chat_formatting, op5_secret_scan, op7_fingerprints, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+    op1_near_dedup, op2_token_files, op4_chat_formatting, op5_secret_scan, op6_language_id, op7_fingerprints,
+    op8_mixing, op9_line_dedup, op10_decontamination)}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": oracles.NEAR_DEDUP, "op4_chat_formatting": oracles.CHAT, "op8_mixing": oracles.MIXING,
+    "op9_line_dedup": oracles.LINES, "op10_decontamination": oracles.DECONTAMINATION}
