@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, language, line_dedup, mixing, near_dedup, oracles, secrets, token_files
+from . import chat, decontaminate, fingerprints, language, line_dedup, lm, mixing, near_dedup, oracles, secrets, token_files
 from .common import shared_path, table, text_column
 
 END_ID = 2
@@ -26,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -72,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dedup, op2_token_files, op4_chat_formatting, op5_secret_scan, op6_language_id, op7_fingerprints,
+    op1_near_dedup, op2_token_files, op3_lm_scores, op4_chat_formatting, op5_secret_scan, op6_language_id, op7_fingerprints,
     op8_mixing, op9_line_dedup, op10_decontamination)}
 ORACLES: dict[str, str] = {
     "op1_near_dedup": oracles.NEAR_DEDUP, "op4_chat_formatting": oracles.CHAT, "op8_mixing": oracles.MIXING,

@@ -55,5 +55,6 @@ def held_out(modulus: int, remainder: int = 2) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: texts are long, so the default of 10,000 rows could take gigabytes."""
+    """Arrow batches of few rows and bytes: texts are long, so the default of 10,000 rows could take gigabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")

@@ -154,7 +154,7 @@ def _descend(x: np.ndarray, label: np.ndarray, langs: list[str]) -> Model:
     return Model(langs, code, weights * scale[:, None], bias, np.clip(2 * right - 1, 0.05, 1).astype(np.float32))
 
 
-def _predictor(model: Model | None, at_once: int = 1 << 20):
+def _predictor(model: Model | None, at_once: int = 1 << 20, rows: int = 512):
     def predict(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -162,16 +162,17 @@ def _predictor(model: Model | None, at_once: int = 1 << 20):
             first = 0
             while model is not None and first < len(texts):
                 last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last] or "") <= at_once):
+                while last < min(len(texts), first + rows) and (last == first or size + len(texts[last] or "") <= at_once):
                     size += len(texts[last] or "")
                     last += 1
                 grams, counts = ngrams(texts[first:last])
                 has = np.flatnonzero(counts)
                 if len(has):
-                    sums = np.zeros((len(has), len(model.bias)), np.float64)
-                    begin = (np.cumsum(counts) - counts)[has]
+                    at = np.repeat(np.arange(last - first) * BUCKETS, counts)
+                    table = np.zeros((last - first) * BUCKETS, np.int64)
                     for k in range(3):
-                        sums += np.add.reduceat(model.weights[grams[:, k]], begin, axis=0, dtype=np.float64)
+                        table += np.bincount(at + grams[:, k], minlength=len(table))
+                    sums = table.reshape(-1, BUCKETS)[has].astype(np.float64) @ model.weights.astype(np.float64)
                     best, share = model.decode(sums / (3 * counts[has])[:, None] + model.bias)
                     for i, b, s in zip(has.tolist(), best.tolist(), share.tolist()):
                         lang[first + i], score[first + i] = model.langs[b], s
