@@ -53,10 +53,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_WEIGHTS = {"domain": {"web": 60, "curated": 40}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
 
 
-def mixture(docs: DataFrame) -> DataFrame:
-    """Sources numbered below ten are web, all others curated."""
+def mixture(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """Sources numbered below ten are web, all others curated. `prefix` sets the added level columns apart from given ones."""
     domain = F.when(F.col("source").rlike("^src[0-9]$"), "web").otherwise("curated")
-    return mixing.mix(docs, {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS)
+    levels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, {prefix + k: v for k, v in levels.items()}, {prefix + k: v for k, v in MIX_WEIGHTS.items()})
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

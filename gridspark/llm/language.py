@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,8 +200,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def _flags(model: Model | None):
     run = _predictor(model)
 
-    def flags(text):
-        import pandas as pd
+    def flags(text: pd.Series) -> pd.Series:
         none = pa.nulls(len(text))
         batch = pa.RecordBatch.from_arrays([none, pa.Array.from_pandas(text, pa.string()), none], ["doc_id", "text", "held_out"])
         return pd.Series(next(run([batch])).column(2).to_pylist(), dtype=object)
