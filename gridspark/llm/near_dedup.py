@@ -2,13 +2,14 @@
 
 Free style: numpy in Arrow batches for hashing and comparing; Spark deals, joins and groups.
 
-1. Each text becomes a set of hashes of five consecutive words, a class (the set's digest), one byte of each of 352 minima, and
-   44 band keys of eight minima. Texts of one class are one node, so copies meet once.
+1. Each text becomes a set of hashes of five consecutive words, a class (the set's digest), one byte of each of 192 minima, and
+   24 band keys of five minima. Texts of one class are one node, so copies meet once.
 2. Nodes that share a band key are candidates. A node is first compared with the least node it shares most bands with. Then,
    in every bucket whose nodes are in several components, all nodes of different components are compared, in blocks of
-   bounded size; the comparison stays inside the block and only survivors leave it.
+   bounded size; a pair is compared in the first bucket it shares, and all work on it stays inside the block.
 3. A comparison reads the signatures in batches of 32 and stops once P(similarity >= threshold | matches so far) is below the
-   miss probability. Survivors are verified on full sets: 100 * |A and B| >= 85 * |A or B|.
+   miss probability. Survivors are verified on full sets: 100 * |A and B| >= 85 * |A or B|. A block gives back as many verified
+   links as connect its nodes, so rows grow with nodes, not with pairs.
 4. Verified links are contracted to stars, with every round written to the shared folder.
 
 A pair of similarity 0.85 shares no band with a probability below 1e-6, and is pruned with a probability of at most `miss` a
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_column, written
 from .words import shingles, text_slices, word_hashes
 
-ROWS, BANDS, BATCH = 8, 44, 32
-SIZE = ROWS * BANDS
+#: Minima of a band, bands, minima compared at once, and all minima; the bands take the first ROWS * BANDS.
+ROWS, BANDS, BATCH, SIZE = 5, 24, 32, 192
 #: Links: PER_CENT * union <= 100 * intersection.
 PER_CENT = 85
 #: Nodes of a bucket compared in one task with as many others.
@@ -79,7 +80,7 @@ def _sketches(batches):
                     rows.append((0, None, None, None))
                     continue
                 least = minima(s)
-                keys = least.reshape(BANDS, ROWS).astype(np.uint64) @ _BAND[:ROWS] + np.arange(BANDS, dtype=np.uint64) * _BAND[ROWS]
+                keys = least[:ROWS * BANDS].reshape(BANDS, ROWS).astype(np.uint64) @ _BAND[:ROWS] + np.arange(BANDS, dtype=np.uint64) * _BAND[ROWS]
                 keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 rows.append((len(s), node_of(s), (_scramble(least) & np.uint32(255)).astype(np.uint8).tobytes(), keys.view(np.int64)))
         cols = list(zip(*rows)) if rows else [(), (), (), ()]
@@ -101,7 +102,7 @@ def _sets(batches):
                 nodes.append(node_of(s))
                 sets.append(s.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), batch.column(1), pa.array(sets, pa.binary())], ["node", "sig", "set"])
+            [pa.array(nodes, pa.int64()), batch.column(1), batch.column(2), pa.array(sets, pa.binary())], ["node", "sig", "bands", "set"])
 
 
 def least_matches(miss: float, per_cent: int = PER_CENT) -> np.ndarray:
@@ -157,18 +158,60 @@ def _linked(pairs: DataFrame, sets: DataFrame, fewest: np.ndarray) -> DataFrame:
             .mapInArrow(_verifier(fewest), "u bigint, v bigint"))
 
 
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of every set of `left` with every set of `right`, by products of membership matrices."""
+    used = np.unique(np.concatenate([left, right]))
+    values, place = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    row = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    a, b = np.searchsorted(used, left), np.searchsorted(used, right)
+    out = np.zeros((len(a), len(b)), np.float64)
+    for first in range(0, len(values), at_once):
+        x, y = np.searchsorted(place, (first, first + at_once))
+        member = np.zeros((len(used), min(at_once, len(values) - first)), np.float32)
+        member[row[x:y], place[x:y] - first] = 1
+        out += member[a] @ member[b].T
+    return out.astype(np.int64)
+
+
 def _comparer(fewest: np.ndarray):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        i, j, key = int(group["i"].iloc[0]), int(group["j"].iloc[0]), int(group["key"].iloc[0])
         sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, SIZE)
+        bands = np.stack(group["bands"].to_list())
         node, label, part = (group[c].to_numpy() for c in ("node", "label", "part"))
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        a, b = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-        keep = (label[a] != label[b]) & ((node[a] < node[b]) | (i != j))
-        a, b = a[keep], b[keep]
+        todo = label[left][:, None] != label[right][None, :]
+        if i == j:
+            todo &= node[left][:, None] < node[right][None, :]
+        # Pairs that share an earlier band meet there.
+        for k in range(int(np.flatnonzero(bands[0] == key)[0])):
+            todo &= bands[left, k][:, None] != bands[right, k][None, :]
+        a, b = np.nonzero(todo)
+        a, b = left[a], right[b]
         alive = surviving(sig[a], sig[b], fewest)
-        u, v = node[a[alive]], node[b[alive]]
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+        a, b = a[alive], b[alive]
+        links: list[tuple[int, int]] = []
+        if len(a):
+            sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
+            size = np.array([len(x) for x in sets])
+            rows, columns = np.unique(a), np.unique(b)
+            common = common_counts(sets, rows, columns)[np.searchsorted(rows, a), np.searchsorted(columns, b)]
+            linked = 100 * common >= PER_CENT * (size[a] + size[b] - common)
+            parent = {x: x for x in set(label.tolist())}
+
+            def find(x):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+            for u, v in zip(a[linked].tolist(), b[linked].tolist()):
+                x, y = find(int(label[u])), find(int(label[v]))
+                if x != y:
+                    parent[x] = y
+                    links.append((int(max(node[u], node[v])), int(min(node[u], node[v]))))
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
     return compare
 
 
@@ -204,10 +247,11 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     members = written(bands.join(shared.select("key", "first"), "key").distinct(), "members")
     nodes = members.select("node").distinct()
     # One row for each candidate node: its signature, and one text to take its full set from.
-    chosen = (sketches.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "h", "sig")).alias("row"))
-              .select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"), F.col("row.sig").alias("sig")).distinct())
-    sets = written(texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "sig")
-                   .mapInArrow(_sets, "node bigint, sig binary, set binary").dropDuplicates(["node"]), "sets")
+    chosen = (sketches.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "h", "sig", "bands")).alias("row"))
+              .select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"), F.col("row.sig").alias("sig"),
+                      F.col("row.bands").alias("bands")))
+    sets = written(texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "sig", "bands")
+                   .mapInArrow(_sets, "node bigint, sig binary, bands array<bigint>, set binary").dropDuplicates(["node"]), "sets")
 
     stars = members.where("node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
     nearest = stars.groupBy("node").agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("best"))
@@ -222,9 +266,8 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
               .withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .select("key", "node", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-              .join(sets.select("node", "sig"), "node"))
-    rest = blocks.groupBy("key", "i", "j").applyInPandas(_comparer(fewest), "u bigint, v bigint").distinct()
-    more = written(_linked(rest, sets, fewest), "links")
+              .join(sets, "node"))
+    more = written(blocks.groupBy("key", "i", "j").applyInPandas(_comparer(fewest), "u bigint, v bigint"), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 
