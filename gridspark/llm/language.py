@@ -202,7 +202,7 @@ def _flags(model: Model | None):
 
     def flags(text: pd.Series) -> pd.Series:
         none = pa.nulls(len(text))
-        batch = pa.RecordBatch.from_arrays([none, pa.Array.from_pandas(text, pa.string()), none], ["doc_id", "text", "held_out"])
+        batch = pa.RecordBatch.from_arrays([none, pa.array([t if isinstance(t, str) else None for t in text], pa.string()), none], ["doc_id", "text", "held_out"])
         return pd.Series(next(run([batch])).column(2).to_pylist(), dtype=object)
     return flags
 
