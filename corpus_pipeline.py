@@ -33,13 +33,15 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of benchmark items stay."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.exists("spans", lambda s: s["len"] >= LEAST_PASSAGE)).select(*docs.columns)
+    # The row travels as one column, so that no added column replaces one of its own.
+    rows = docs.select("doc_id", "text", F.struct("*").alias("__row"))
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"))
+    return found.where(~F.exists("spans", lambda s: s["len"] >= LEAST_PASSAGE)).select("__row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The chosen mixture; a document stands once for each epoch it is in."""
-    return catalog.mixture(docs, prefix="__").select(*docs.columns)
+    return catalog.mixture(docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("__row"))).select("__row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
