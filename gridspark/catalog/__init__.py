@@ -6,7 +6,7 @@ from .registry import CHECKS, QUERIES, Query
 
 
 def _load() -> None:
-    from . import derived, relations, samples, scoring, sources, statistics, verification  # noqa: F401
+    from . import coarse, derived, gaps, relations, samples, scoring, sources, statistics, verification  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

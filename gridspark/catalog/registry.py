@@ -77,6 +77,11 @@ fx_dynamic AS (
           ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS INT) AS step
         FROM lineitem) s)"""
 
+GAPPED = """
+fx_gapped AS (
+  SELECT * FROM fx_dynamic WHERE (step * 7 + x * 3 + y) % 13 <> 5
+  UNION ALL SELECT * FROM fx_dynamic WHERE (step * 7 + x * 3 + y) % 13 <> 5 AND (step + y) % 17 = 3)"""
+
 STATIC = """
 fx_static AS (
   SELECT CAST(floor(s_suppkey / 10) AS INT) AS y, CAST(s_suppkey % 10 AS INT) AS x,

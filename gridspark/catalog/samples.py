@@ -215,12 +215,13 @@ def split_on_reset_tiles(spark, sf):
 
 
 @query("e11_model_rank", with_views(ERRORS, body=f"""
-, m AS (SELECT y AS model, feat, avg(abs(err_state)) AS mae FROM fx_err GROUP BY 1, 2)
-SELECT model, feat, rank() OVER (PARTITION BY feat ORDER BY mae DESC) AS rank_information,
+, m AS (SELECT y AS model, feat, avg(abs(err_state)) AS mae, avg(abs(err_res)) AS info FROM fx_err GROUP BY 1, 2)
+SELECT model, feat, rank() OVER (PARTITION BY feat ORDER BY info DESC) AS rank_information,
   rank() OVER (PARTITION BY feat ORDER BY mae) AS rank_mae FROM m""".lstrip()))
 def model_rank(spark, sf):
-    scores = fx.errors(spark, sf).groupBy(F.col("y").alias("model"), "feat").agg(F.avg(F.abs("err_state")).alias("mae"))
-    out = M.model_rank(scores.withColumn("fractional_info", F.col("mae")))
+    scores = fx.errors(spark, sf).groupBy(F.col("y").alias("model"), "feat").agg(
+        F.avg(F.abs("err_state")).alias("mae"), F.avg(F.abs("err_res")).alias("fractional_info"))
+    out = M.model_rank(scores)
     return out.select("model", "feat", F.col("rank_information").cast("bigint").alias("rank_information"),
                       F.col("rank_mae").cast("bigint").alias("rank_mae"))
 

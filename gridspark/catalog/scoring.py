@@ -10,7 +10,7 @@ from ..operators import scoring as C
 from ..operators import verification as V
 from ..sources.sinks import scratch_dir
 from ..streaming import partials as P
-from .registry import DYNAMIC, ERRORS, SCORED, query, r6, settled, with_views
+from .registry import DYNAMIC, ERRORS, SCORED, bin_sql, query, r6, settled, with_views
 
 _PARTS = C.Parts(window=["tmp", "soilm_10", "soilm_40"], horizon=["tmp"], pred=["soilm_10", "soilm_40"])
 _TREND = """
@@ -104,7 +104,7 @@ def scored_stream(spark, sf):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     t = F.col("ts").cast("timestamp")
     return events.select(F.hour(t).alias("step"), F.col("event_type").alias("feat"),
-                         (F.col("value") - 20).alias("err_state"), (F.col("value") / 10).alias("err_res"))
+                         (F.col("value") - 20).alias("err_state"), (F.col("value") / 10).alias("err_res"), t.alias("t"))
 
 
 _STREAM_SQL = """
@@ -131,3 +131,58 @@ def stream_merge(spark, sf):
     path, checkpoint = scratch_dir(spark, "batches"), scratch_dir(spark, "stream-log")
     P.stream_merge(scored_stream(spark, sf), m, path, checkpoint).awaitTermination()
     return _streamed(m.finish(P.merged_partials(spark, path, m)))
+
+
+_TIME_SQL = """
+WITH k AS (SELECT event_type AS feat, hour(ts + INTERVAL 30 MINUTE) AS h, dayofyear(ts) - 1 AS d, value - 20 AS s, value / 10 AS r FROM events)
+SELECT 'hour' AS axis, CAST(h AS INT) AS bin, feat, round(sum(s), 3) AS sum_state, round(sum(r), 3) AS sum_res, count(*) AS n FROM k GROUP BY h, feat
+UNION ALL SELECT 'day', CAST(d AS INT), feat, round(sum(s), 3), round(sum(r), 3), count(*) FROM k GROUP BY d, feat"""
+_AXES = (("err_state", -20.0, 60.0, 8), ("step", 0.0, 24.0, 6))
+_HIST_SQL = f"""
+WITH k AS (SELECT event_type AS feat, value - 20 AS err_state, value / 10 AS err_res, hour(ts) AS step FROM events)
+SELECT feat, {bin_sql(*_AXES[0])} AS b1, {bin_sql(*_AXES[1])} AS b2, count(*) AS n, round(sum(err_res), 3) AS cov_sum FROM k
+WHERE err_state IS NOT NULL GROUP BY 1, 2, 3"""
+
+
+def _running(spark, sf, tally):
+    path, checkpoint = scratch_dir(spark, "snapshots"), scratch_dir(spark, "stream-state")
+    P.write_snapshots(P.stream_error_partials(scored_stream(spark, sf), tally), path, checkpoint).awaitTermination()
+    return tally.finish(P.latest_snapshot(spark, path))
+
+
+def _merged(spark, sf, tally):
+    path, checkpoint = scratch_dir(spark, "batches"), scratch_dir(spark, "stream-log")
+    P.stream_merge(scored_stream(spark, sf), tally, path, checkpoint).awaitTermination()
+    return tally.finish(P.merged_partials(spark, path, tally))
+
+
+def _timed(df):
+    return df.select("axis", "bin", "feat", settled("sum_state", 3).alias("sum_state"), settled("sum_res", 3).alias("sum_res"), "n")
+
+
+def _binned(df):
+    return df.select("feat", "b1", "b2", "n", settled("sum_cov", 3).alias("cov_sum"))
+
+
+def _histogram():
+    return V.histogram_tally(*_AXES, covariate="err_res", by=["feat"])
+
+
+@query("i1_stream_error_by_time", _TIME_SQL)
+def stream_error_by_time(spark, sf):
+    return _timed(_running(spark, sf, V.time_tally()))
+
+
+@query("i1_stream_histogram", _HIST_SQL)
+def stream_histogram(spark, sf):
+    return _binned(_running(spark, sf, _histogram()))
+
+
+@query("i2_stream_merge_by_time", _TIME_SQL)
+def stream_merge_by_time(spark, sf):
+    return _timed(_merged(spark, sf, V.time_tally()))
+
+
+@query("i2_stream_merge_histogram", _HIST_SQL)
+def stream_merge_histogram(spark, sf):
+    return _binned(_merged(spark, sf, _histogram()))

@@ -109,23 +109,29 @@ def size_range(spark, sf):
     return I.size_range(fx.table(spark, sf, "events").groupBy(hour).agg(F.sum(F.length("props")).alias("length")))
 
 
-@query("a9_list_files")
-def list_files(spark, sf):
-    return I.list_files(spark, sf, "*.parquet").select(
-        F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), "length")
-
-
 @query("a10_parse_inventory_lines", """
 SELECT l_linenumber AS record, l_orderkey * 100 AS byte, '95' || l_returnflag AS date, 'TMP' AS name,
   CAST(l_partkey % 256 AS INT) AS param_pds, 105 AS type_pds, 2 AS vert_pds, 0 AS dt_pds, 1 AS t0_pds, 3 AS tf_pds,
   1 AS fcst_pds, '2 m above gnd' AS lvl_str, 'anl' AS mdl_type, CAST(l_suppkey AS INT) AS navg FROM lineitem""")
 def parse_inventory_lines(spark, sf):
+    return I.parse_inventory_lines(_inventory(spark, sf))
+
+
+def _inventory(spark, sf):
     text = F.concat_ws(
         ":", F.col("l_linenumber").cast("string"), (F.col("l_orderkey") * 100).cast("string"),
         F.concat(F.lit("d=95"), "l_returnflag"), F.lit("TMP"), F.concat(F.lit("kpds5="), F.col("l_partkey") % 256),
         F.lit("kpds6=105"), F.lit("kpds7=2"), F.lit("TR=0"), F.lit("P1=1"), F.lit("P2=3"), F.lit("TimeU=1"),
         F.lit("2 m above gnd"), F.lit("anl"), F.concat(F.lit("NAve="), F.col("l_suppkey")))
-    return I.parse_inventory_lines(fx.table(spark, sf, "lineitem").select(text.alias("value")))
+    return fx.table(spark, sf, "lineitem").select(text.alias("value"), "l_linenumber")
+
+
+@query("a10_inventory_rejects", """
+SELECT l_linenumber || ':' || l_orderkey * 100 || ':d=95' || l_returnflag AS line FROM lineitem WHERE l_linenumber = 6
+UNION ALL SELECT NULL FROM lineitem WHERE l_linenumber = 7""")
+def inventory_rejects(spark, sf):
+    cut = F.when(F.col("l_linenumber") == 6, F.substring_index("value", ":", 3)).when(F.col("l_linenumber") < 6, F.col("value"))
+    return I.inventory_rejects(_inventory(spark, sf).select(cut.alias("value")))
 
 
 @query("a11_write_samples", with_views(DYNAMIC, body="""

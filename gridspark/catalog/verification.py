@@ -27,11 +27,6 @@ def error_by_horizon(spark, sf):
                       *r6("mean_state", "var_state", "mean_res", "var_res"))
 
 
-@query("b25_finest_all_steps", with_views(SCORED, body="SELECT feat, count(*) AS n FROM fx_scored GROUP BY feat"))
-def scored_rows(spark, sf):
-    return fx.scored(spark, sf).groupBy("feat").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("d12_error_by_time", with_views(ERRORS, body="""
 , k AS (SELECT feat, hour(t + INTERVAL 30 MINUTE) AS h, dayofyear(t) - 1 AS d, err_state, err_res FROM fx_err WHERE step <= 18)
 SELECT 'hour' AS axis, CAST(h AS INT) AS bin, feat, round(sum(err_state), 4) AS sum_state, round(sum(err_res), 4) AS sum_res,
@@ -136,6 +131,22 @@ def efficiency_summary(spark, sf):
         settled(f"{n}_{s}", 4).alias(f"{n}_{s}") for n in _EFF if n != "r_kge" for s in ("mean", "var")])
 
 
+@query("d22_efficiency_summary_constant", with_views(SCORED, body="""
+, c AS (SELECT y, x, init, feat, step, pred_res, CASE WHEN (y + x + init) % 5 = 0 THEN 10.0e0 ELSE true_prev END AS true_prev,
+          CASE WHEN (y + x + init) % 5 = 0 THEN 10.0e0 ELSE true_state END AS true_state FROM fx_scored),
+e AS (SELECT *, first_value(true_prev) OVER w + sum(pred_res) OVER w - true_state AS err FROM c
+      WINDOW w AS (PARTITION BY y, x, init, feat ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT y, x, init, feat, avg(abs(err)) AS mae, max(true_state) = min(true_state) AS idle,
+        CASE WHEN max(true_state) > min(true_state) THEN 1 - avg(err * err) / var_pop(true_state) END AS nse FROM e GROUP BY 1, 2, 3, 4)
+SELECT feat, count(*) AS n, count(*) FILTER (idle) AS s_dropped, count(*) FILTER (idle) AS r_dropped, round(avg(mae), 6) AS s_mae_mean,
+  round(avg(nse), 4) AS s_nse_mean FROM s GROUP BY feat""".lstrip()))
+def efficiency_summary_constant(spark, sf):
+    still = F.expr("(y + x + init) % 5 = 0")
+    rows = fx.scored(spark, sf).withColumns({c: F.when(still, F.lit(10.0)).otherwise(F.col(c)) for c in ("true_prev", "true_state")})
+    out = V.efficiency_summary(V.sequence_efficiency(V.error_columns(rows)))
+    return out.select("feat", "n", "s_dropped", "r_dropped", *r6("s_mae_mean"), settled("s_nse_mean", 4).alias("s_nse_mean"))
+
+
 def _axes_sql(label, keys):
     cols = ", ".join((k if k in keys else f"CAST(NULL AS INT) AS {k}") for k in ("init", "y", "x", "step"))
     return (f"SELECT '{label}' AS kept, {cols}, feat, count(*) AS n_e, round(avg(err_state), 5) AS mean_e, "

@@ -65,6 +65,12 @@ def dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(e).alias(f) for f, e in FEATS.items()])
 
 
+def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixel-hour table with steps missing and steps repeated, next to each other in places."""
+    rows = dynamic(spark, sf_dir).where("(step * 7 + x * 3 + y) % 13 <> 5")
+    return rows.unionByName(rows.where("(step + y) % 17 = 3"))
+
+
 def static(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell properties; one grid column in ten is invalid."""
     return table(spark, sf_dir, "supplier").select(

@@ -99,6 +99,26 @@ def convert_units(df: DataFrame, direction: str, states: Mapping[str, str] = {},
     return df.withColumns(cols)
 
 
+def convert_scored(rows: DataFrame, params: DataFrame, direction: str, feats: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Convert scored long rows (feat, true_prev, true_state, pred_res) to the other unit, before errors are taken.
+
+    `params` has porosity and wiltingp by `keys`. The conversion is linear, so an increment takes its slope alone.
+    """
+    depth = F.lit(None).cast("double")
+    for f in feats:
+        depth = F.when(F.col("feat") == f, F.lit(float(vocab.layer_depth(f)))).otherwise(depth)
+    wilt, room = F.col("wiltingp"), F.col("porosity") - F.col("wiltingp")
+    if direction == "rsm_to_soilm":
+        state, change = (lambda v: (v * room + wilt) * 1000 * depth), (lambda v: v * room * 1000 * depth)
+    elif direction == "soilm_to_rsm":
+        state, change = (lambda v: ratio(v / depth / 1000 - wilt, room)), (lambda v: ratio(v / depth / 1000, room))
+    else:
+        raise ValueError("direction must be rsm_to_soilm or soilm_to_rsm")
+    joined = rows.join(params.select(*keys, "porosity", "wiltingp"), list(keys))
+    return joined.withColumns({"true_prev": state(F.col("true_prev")), "true_state": state(F.col("true_state")),
+                               "pred_res": change(F.col("pred_res"))}).select(*rows.columns)
+
+
 def unpivot_feats(df: DataFrame, keys: Sequence[str], feats: Sequence[str], name: str = "feat",
                   value: str = "value") -> DataFrame:
     """Wide -> long form, one row per feature."""

@@ -29,10 +29,20 @@ def spread_to_blocks(df: DataFrame, step: str, block: int = DEFAULT_BLOCK, befor
 
 
 def along_blocks(df: DataFrame, keys: Sequence[str], step: str, columns: dict[str, "callable"], before: int = 0,
-                 after: int = 0, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Add window columns along a series; `columns` maps a name to a function of the ordered window."""
+                 after: int = 0, block: int = DEFAULT_BLOCK, whole: str | None = None) -> DataFrame:
+    """Add window columns along a series; `columns` maps a name to a function of the ordered window.
+
+    `whole` names a column that tells whether each of the steps from `before` back to `after` ahead occurs exactly once, so
+    that counted rows are adjacent steps. It does not depend on where a block begins.
+    """
     w = Window.partitionBy(*keys, "_block").orderBy(step)
     out = spread_to_blocks(df, step, block, before, after)
+    if whole is not None:
+        here = F.count(F.lit(1)).over(w.rangeBetween(-before, after)) == before + after + 1
+        if before + after:
+            out = out.withColumn("_follows", (F.col(step) - F.lag(step).over(w) == 1).cast("int"))
+            here &= F.sum("_follows").over(w.rowsBetween(1 - before, after)) == before + after
+        out = out.withColumn(whole, F.coalesce(here, F.lit(False))).drop("_follows")
     out = out.withColumns({name: build(w) for name, build in columns.items()})
     return out.where("_core").drop("_block", "_core")
 

@@ -107,15 +107,22 @@ def split_on_reset(df: DataFrame, pos: str, index: str, keys: Sequence[str] = ()
                    out: str = "run") -> DataFrame:
     """Number the runs of a concatenated list; a new run begins where the index falls.
 
-    The list is cut into blocks by position. A block sees the last row of the block before it as an edge row.
+    The list is cut into chunks by position. Each chunk gets the last index of the chunk before it that has rows, through a
+    table with one row per chunk, so gaps between positions do not matter. Rows of one position are ordered by their index.
     """
-    from .blocks import along_blocks
-    flagged = along_blocks(
-        df, list(keys), pos,
-        {"_reset": lambda w: (F.col(index) < F.lag(index).over(w)).cast("int")}, before=1, block=block)
-    flagged = flagged.withColumn("_chunk", F.floor(F.col(pos) / F.lit(block)))
+    rows = df.withColumn("_chunk", F.floor(F.col(pos) / F.lit(block)))
+    over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    edges = (
+        rows.groupBy(*keys, "_chunk").agg(F.max(F.struct(pos, index)).alias("_last"))
+        .select(*keys, "_chunk", F.lag(F.col("_last")[index]).over(over_chunks).alias("_carry"))
+    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(pos, index)
+    flagged = rows.withColumns({"_prev": F.lag(index).over(inside), "_nth": F.row_number().over(inside)})
+    flagged = flagged.join(edges, [*keys, "_chunk"])
+    before = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    flagged = flagged.withColumn("_reset", (F.col(index) < before).cast("int")).drop("_prev", "_nth", "_carry")
     out_df = running_total_in_chunks(
-        flagged, list(keys), "_chunk", [pos], F.coalesce("_reset", F.lit(0)).cast("bigint"), out)
+        flagged, list(keys), "_chunk", [pos, index, F.desc("_reset")], F.coalesce("_reset", F.lit(0)).cast("bigint"), out)
     return out_df.drop("_reset", "_chunk")
 
 

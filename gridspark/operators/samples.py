@@ -26,6 +26,11 @@ def _explode_range(df: DataFrame, first: Column, last: Column, out: str) -> Data
     return df.withColumn(out, F.explode(steps))
 
 
+def _each_once(steps: str, n: int) -> Column:
+    """Whether an array holds n values, all different."""
+    return (F.size(steps) == n) & (F.size(F.array_distinct(steps)) == n)
+
+
 # --- samples at common init times -----------------------------------------------------------------
 
 def sample_count(first: int, final: int, frequency: int) -> int:
@@ -39,8 +44,8 @@ def grid_sample_rows(df: DataFrame, window: int, horizon: int, frequency: int, f
     """Long form of samples at common init times: adds `init` (sample number) and `lead`.
 
     `first` is the step of the first predicted value. `lead` counts predicted steps from 1; lead 0 is the
-    last observed state and the window reaches back to lead 1 - window. Samples that are not whole are
-    dropped, which also drops samples with repeated hours.
+    last observed state and the window reaches back to lead 1 - window. Samples that do not hold every lead
+    exactly once are dropped.
     """
     s = F.col(step)
     lo = F.greatest(F.lit(0), F.ceil((s - F.lit(first + horizon - 1)) / F.lit(frequency)))
@@ -55,9 +60,10 @@ def grid_sample_rows(df: DataFrame, window: int, horizon: int, frequency: int, f
     # Ordered like the windows that follow, so that one sort serves them all.
     whole = Window.partitionBy(*keys, "init").orderBy("lead").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        out.withColumn("_n", F.count(F.lit(1)).over(whole)).where(F.col("_n") == window + horizon).drop("_n")
-    )
+    order = Window.partitionBy(*keys, "init").orderBy("lead")
+    out = out.withColumn("_jump", F.col("lead") - F.lag("lead").over(order) != 1)
+    out = out.withColumns({"_n": F.count(F.lit(1)).over(whole), "_jumps": F.count_if("_jump").over(whole)})
+    return out.where((F.col("_n") == window + horizon) & (F.col("_jumps") == 0)).drop("_n", "_jump", "_jumps")
 
 
 def long_labels(rows: DataFrame, feats: Sequence[str], keys: Sequence[str] = PIXEL, carry: Sequence[str] = ()
@@ -74,6 +80,10 @@ def long_labels(rows: DataFrame, feats: Sequence[str], keys: Sequence[str] = PIX
 
 # --- samples per pixel with random offsets --------------------------------------------------------
 
+#: Sample starts listed by one row at a time.
+STARTS_TOGETHER = 4096
+
+
 @dataclass(frozen=True)
 class SampleSpec:
     """What a sample holds and where samples start."""
@@ -108,7 +118,10 @@ def sample_starts(df: DataFrame, spec: SampleSpec, keys: Sequence[str] = PIXEL,
     """
     lengths = df.groupBy(*keys).agg((F.max(step) + 1).alias("_len"))
     room = _floor_div(F.col("_len") - F.lit(spec.length + spec.max_offset), spec.separation)
-    starts = _explode_range(lengths, F.lit(0), room - 1, "sample")
+    # In two steps, so that no row holds all starts of a long series at once.
+    parts = _explode_range(lengths, F.lit(0), _floor_div(room - 1, STARTS_TOGETHER), "_part").repartition(*keys, "_part")
+    low = F.col("_part") * STARTS_TOGETHER
+    starts = _explode_range(parts, low, F.least(low + (STARTS_TOGETHER - 1), room - 1), "sample")
     return starts.select(
         *keys, "sample", (F.col("sample") * spec.separation + _offset(spec, keys)).cast("bigint").alias("start"))
 
@@ -126,19 +139,22 @@ def cut_samples(df: DataFrame, starts: DataFrame, spec: SampleSpec, keys: Sequen
 
 def to_arrays(rows: DataFrame, spec: SampleSpec, by: Sequence[str], static: DataFrame | None = None,
               static_keys: Sequence[str] = PIXEL, t: str = "t") -> DataFrame:
-    """One row per sample with ordered window, horizon, pred and time arrays; samples not whole are dropped."""
+    """One row per sample with ordered window, horizon, pred and time arrays.
+
+    Samples that do not hold every position exactly once are dropped.
+    """
     def part(feats, condition):
         element = F.struct("pos", *[F.col(f).cast("double").alias(f) for f in feats])
         ordered = F.array_sort(F.collect_list(F.when(condition, element)))
         return F.transform(ordered, lambda e: F.struct(*[e[f].alias(f) for f in feats]))
     pos, w = F.col("pos"), spec.window
     out = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("_n"), F.size(F.collect_set("pos")).alias("_places"),
         part(spec.window_feats, pos < w).alias("window"),
         part(spec.horizon_feats, pos >= w).alias("horizon"),
         part(spec.pred_feats, pos >= w - int(spec.include_init)).alias("pred"),
         F.array_sort(F.collect_list(t)).alias("time"),
-    ).where(F.col("_n") == spec.length).drop("_n")
+    ).where((F.col("_n") == spec.length) & (F.col("_places") == spec.length)).drop("_n", "_places")
     if static is None:
         return out
     pixels = static.select(
@@ -170,33 +186,36 @@ def to_long(samples: DataFrame, by: Sequence[str], part: str = "horizon") -> Dat
 
 def sliding_windows(df: DataFrame, n: int, feats: Sequence[str], keys: Sequence[str] = PIXEL, step: str = "step",
                     out: str = "window") -> DataFrame:
-    """Look-back window of n steps ending at every step that has one."""
+    """Look-back window of n adjacent steps ending at every step that has one; none spans a gap or a repeated step."""
     def build(w):
         return F.collect_list(F.struct(*feats)).over(w.rowsBetween(-(n - 1), 0))
-    return along_blocks(df, keys, step, {out: build}, before=n - 1).where(F.size(out) == n)
+    return along_blocks(df, keys, step, {out: build}, before=n - 1, whole="_whole").where("_whole").drop("_whole")
 
 
 def window_target(df: DataFrame, look_back: int, look_forward: int, feats: Sequence[str], target: str,
                   keys: Sequence[str] = PIXEL, step: str = "step", difference: bool = False) -> DataFrame:
-    """Look-back window with the following `look_forward` values, or their increments, as target array."""
+    """Look-back window with the following `look_forward` values, or their increments, as target array.
+
+    All steps of window and target are adjacent; none spans a gap or a repeated step.
+    """
     value = F.col(target).cast("double")
     columns = {
         "window": lambda w: F.collect_list(F.struct(*feats)).over(w.rowsBetween(-(look_back - 1), 0)),
         "_ahead": lambda w: F.collect_list(value).over(w.rowsBetween(0 if difference else 1, look_forward)),
     }
-    out = along_blocks(df, keys, step, columns, before=look_back - 1, after=look_forward)
+    out = along_blocks(df, keys, step, columns, before=look_back - 1, after=look_forward, whole="_whole")
     goal = E.increments("_ahead") if difference else F.col("_ahead")
     return (
-        out.withColumn("target", goal).drop("_ahead")
-        .where((F.size("window") == look_back) & (F.size("target") == look_forward))
+        out.where("_whole").withColumn("target", goal).drop("_ahead", "_whole")
     )
 
 
 def increments(df: DataFrame, feat: str, keys: Sequence[str] = PIXEL, step: str = "step", out: str | None = None
                ) -> DataFrame:
-    """Forward difference to the next step; null at the last one."""
+    """Forward difference to the next step; null where that step or this one is missing or repeated."""
     name = out or f"res_{feat}"
-    return along_blocks(df, keys, step, {name: lambda w: F.lead(feat).over(w) - F.col(feat)}, after=1)
+    ahead = along_blocks(df, keys, step, {name: lambda w: F.lead(feat).over(w) - F.col(feat)}, after=1, whole="_whole")
+    return ahead.withColumn(name, F.when(F.col("_whole"), F.col(name))).drop("_whole")
 
 
 def accumulate(df: DataFrame, increment: str, initial: str, by: Sequence[str], step: str = "step",
@@ -212,7 +231,7 @@ def series_batches(df: DataFrame, frequency: int, steps: int, first: int, final:
                    include_residual: bool = True, keys: Sequence[str] = PIXEL, step: str = "step") -> DataFrame:
     """Time-ordered batches of `steps` steps, one every `frequency` steps of [first, final].
 
-    The short last batch is kept only with `include_residual`.
+    Batches without every step exactly once, such as the short last one, are kept only with `include_residual`.
     """
     s = F.col(step)
     inside = df.where(s.between(first, final))
@@ -220,18 +239,21 @@ def series_batches(df: DataFrame, frequency: int, steps: int, first: int, final:
     rows = _explode_range(inside, lo, _floor_div(s - F.lit(first), frequency), "batch")
     element = F.struct(step, *feats)
     out = rows.groupBy("batch", *keys).agg(F.array_sort(F.collect_list(element)).alias("rows"))
-    return out if include_residual else out.where(F.size("rows") == steps)
+    return out if include_residual else out.where(_each_once(f"rows.{step}", steps))
 
 
 def partition_sequences(df: DataFrame, n: int, pivot: int, feats: Sequence[str], keys: Sequence[str] = PIXEL,
                         step: str = "step", t: str = "t") -> DataFrame:
-    """Non-overlapping n-step samples with the time at the pivot position; the tail is dropped."""
+    """Non-overlapping n-step samples with the time at the pivot position.
+
+    The tail is dropped, and so is every sample that does not hold each step exactly once.
+    """
     at_pivot = F.max(F.when(F.pmod(F.col(step), F.lit(n)) == pivot, F.col(t)))
     return (
         df.withColumn("seq", _floor_div(F.col(step), n))
         .groupBy(*keys, "seq")
         .agg(F.array_sort(F.collect_list(F.struct(step, *feats))).alias("rows"), at_pivot.alias("pivot_time"))
-        .where(F.size("rows") == n)
+        .where(_each_once(f"rows.{step}", n))
     )
 
 
@@ -248,15 +270,15 @@ def cycle_role(step: Column, train: int, validate: int, test: int, window: int)
 
 def cycle_split(df: DataFrame, train: int, validate: int, test: int, window: int, cycles: int, feats: Sequence[str],
                 keys: Sequence[str] = PIXEL, step: str = "step") -> DataFrame:
-    """Targets of repeating train/validate/test spans with the window of steps before each target."""
+    """Targets of repeating train/validate/test spans with the window of adjacent steps before each target."""
     size = 3 * window + train + validate + test
     out = along_blocks(
         df.where(F.col(step) < cycles * size), keys, step,
-        {"window": lambda w: F.collect_list(F.struct(*feats)).over(w.rowsBetween(-window, -1))}, before=window)
+        {"window": lambda w: F.collect_list(F.struct(*feats)).over(w.rowsBetween(-window, -1))}, before=window, whole="_whole")
     return (
         out.withColumn("role", cycle_role(F.col(step), train, validate, test, window))
         .withColumn("cycle", _floor_div(F.col(step), size))
-        .where(F.col("role").isNotNull())
+        .where(F.col("role").isNotNull() & F.col("_whole")).drop("_whole")
     )
 
 

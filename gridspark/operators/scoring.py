@@ -122,21 +122,50 @@ def predictions_long(scored: DataFrame, keys: Sequence[str], feats: Sequence[str
         *keys, "step", "_x.*")
 
 
-def scored_long(scored: DataFrame, keys: Sequence[str], feats: Sequence[str], window: int) -> DataFrame:
+def coarsened(factory: Factory, c: int, how: str = "mean") -> Factory:
+    """A predictor of c-step increments: it sees the horizon reduced to one step in c."""
+    reduce = {"mean": np.mean, "min": np.min, "max": np.max}[how]
+
+    def make():
+        predictor = factory()
+
+        def predict(w, h, s, i):
+            if h.shape[1] % c:
+                raise ValueError(f"a horizon of {h.shape[1]} steps is not divisible by {c}")
+            return predictor(w, reduce(h.reshape(h.shape[0], -1, c, h.shape[2]), axis=2), s, i)
+        return predict
+    return make
+
+
+def scored_long(scored: DataFrame, keys: Sequence[str], feats: Sequence[str], window: int, inputs: Sequence[str] = (),
+                coarseness: int = 1) -> DataFrame:
     """(keys, step, t, feat, true_prev, true_state, pred_res) rows of scored samples that carry `pred` and `time`.
 
-    Label i + 1 is the state after step i; label 0 is the last observed one.
+    Label i + 1 is the state after step i; label 0 is the last observed one. `inputs` are features of the carried `horizon`
+    that go along with their step. With a coarseness c, predicted step k spans the fine steps up to c * k: labels are the
+    states at its ends, its time is that of its last fine step, and inputs are means over it.
     """
-    n = F.size("pred_res")
-    rows = F.arrays_zip(
-        F.col("pred_res").alias("p"), F.slice("pred", F.lit(1), n).alias("a"), F.slice("pred", F.lit(2), n).alias("b"),
-        F.slice("time", F.lit(window + 1), n).alias("t"))
+    n, c = F.size("pred_res"), coarseness
+    def every(column, first):
+        if c == 1:
+            return F.slice(column, F.lit(first + 1), n)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(F.col(column), k * c + first))
+    def mean(k, f):
+        return F.aggregate(F.slice("horizon", k * c + 1, c), F.lit(0.0), lambda a, h: a + h[f].cast("double")) / c
+    ahead = []
+    if inputs and c == 1:
+        ahead = [F.slice("horizon", F.lit(1), n).alias("h")]
+    elif inputs:
+        ahead = [F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(*[mean(k, f).alias(f) for f in inputs])).alias("h")]
+    rows = F.arrays_zip(F.col("pred_res").alias("p"), every("pred", 0).alias("a"), every("pred", c).alias("b"),
+                        every("time", window + c - 1).alias("t"), *ahead)
     steps = scored.select(*keys, F.posexplode(rows).alias("_k", "_r"))
     items = F.array(*[F.struct(
         F.lit(f).alias("feat"), F.col(f"_r.a.{f}").alias("true_prev"), F.col(f"_r.b.{f}").alias("true_state"),
         F.col(f"_r.p.{f}").alias("pred_res")) for f in feats])
-    return steps.select(*keys, (F.col("_k") + 1).alias("step"), F.col("_r.t").alias("t"), F.explode(items).alias("_x")
-                        ).select(*keys, "step", "t", "_x.*")
+    forcing = [F.col(f"_r.h.{f}").alias(f) for f in inputs]
+    return steps.select(*keys, (F.col("_k") + 1).alias("step"), F.col("_r.t").alias("t"), *forcing, F.explode(items).alias("_x")
+                        ).select(*keys, "step", "t", *inputs, "_x.*")
 
 
 def score_grid(df: DataFrame, factory: Factory, parts: Parts, window: int, horizon: int, frequency: int, first: int,

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import PIXEL
 from ..functions import expressions as E
-from .blocks import numbered_in_chunks
-
-# Largest rank limit that Spark pushes below the exchange (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
 
 
 # --- pixels ---------------------------------------------------------------------------------------
@@ -99,14 +95,15 @@ def grid_subset(df: DataFrame, **coords: int | tuple[int | None, int | None]) ->
 
 def time_slice(df: DataFrame, start: str, end: str, t: str = "t", partitioned: bool = False,
                require_bounds: bool = False) -> DataFrame:
-    """Rows in [start, end). With `partitioned`, the year partition column gets the redundant predicate too.
+    """Rows in [start, end). With `partitioned`, the year and quarter partition columns get the redundant predicate too.
 
     `require_bounds` makes a bound that is absent from the axis an error when the rows are read.
     """
     t0, t1 = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     out = df
     if partitioned:
-        out = out.where(F.col("year").between(int(start[:4]), int(end[:4])))
+        from ..sources.grids import prune_calendar
+        out = prune_calendar(out, start, end)
     if require_bounds:
         found = df.where(F.col(t).isin(t0, t1)).agg(F.count_distinct(t).alias("n"))
         checked = F.when(found.scalar() == 2, t0).otherwise(
@@ -201,20 +198,17 @@ def series_search(catalog: DataFrame, flabel: str | None = None, mlabel: str | N
     return out
 
 
-def drop_bad_series(df: DataFrame, feat: str, limit: float, fill: float = 9999.0,
-                    keys: Sequence[str] = PIXEL, salts: int = 16, salt_by: str = "step") -> DataFrame:
+def drop_bad_series(df: DataFrame, feat: str, limit: float, fill: float = 9999.0, keys: Sequence[str] = PIXEL) -> DataFrame:
     """Drop the series of pixels that hold nothing but fill, or any value above the plausible limit.
 
-    The list of bad pixels comes from an aggregate by pixel, a layout adaptive execution does not split, so
-    pixels are spread over `salts` sub-keys for the join.
+    The list of bad pixels comes from an aggregate by pixel, a layout that adaptive execution would keep for the join and not
+    split. It is dealt anew, so the join gets exchanges of its own and a hot pixel is split by its size.
     """
     v = F.col(feat)
     only_fill = F.count_if(v != F.lit(fill)) == 0
     implausible = F.count_if((v > F.lit(limit)) & (v != F.lit(fill))) > 0
     bad = df.groupBy(*keys).agg((only_fill | implausible).alias("_bad")).where("_bad").select(*keys)
-    copies = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*keys, "_salt"], "left_anti").drop("_salt")
+    return df.join(bad.hint("rebalance"), list(keys), "left_anti")
 
 
 # --- top-k and order ------------------------------------------------------------------------------
@@ -227,16 +221,16 @@ def top_class_combos(counts: DataFrame, k: int, count: str = "n", ties: Sequence
 def limit_per_block(df: DataFrame, block: Sequence[str], k: int, seed: int | str, keys: Sequence[str]) -> DataFrame:
     """At most k rows of each block, chosen by a reproducible hash.
 
-    A small limit is also applied before the exchange, so a hot block sends at most k rows from each task.
-    For a large one, where Spark does not do that, blocks are numbered by hash prefix instead.
+    Rows are counted by hash prefix; prefixes that begin past the k-th row are dropped before anything is ranked, and the
+    others are ranked prefix by prefix, so no block is ranked in one task, whatever k is.
     """
-    if k >= GROUP_LIMIT:
-        hashed = df.withColumn("_h", E.hash_order(seed, *keys)).withColumn("_prefix", F.substring("_h", 1, 3))
-        numbered = numbered_in_chunks(hashed, list(block), "_prefix", ["_h", *keys], "_rank")
-        return numbered.where(F.col("_rank") <= k).select(*df.columns)
-    w = Window.partitionBy(*block).orderBy("_h", *keys)
-    ranked = df.withColumn("_h", E.hash_order(seed, *keys)).withColumn("_rank", F.row_number().over(w))
-    return ranked.where(F.col("_rank") <= k).drop("_h", "_rank")
+    hashed = df.withColumn("_h", E.hash_order(seed, *keys)).withColumn("_prefix", F.substring("_h", 1, 3))
+    earlier = Window.partitionBy(*block).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(*block, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    begun = counts.select(*block, "_prefix", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).where(F.col("_before") < k)
+    inside = Window.partitionBy(*block, "_prefix").orderBy("_h", *keys)
+    ranked = hashed.join(begun, [*block, "_prefix"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
+    return ranked.where(F.col("_rank") <= k).select(*df.columns)
 
 
 def shuffle_samples(df: DataFrame, seed: int | str, keys: Sequence[str]) -> DataFrame:

@@ -120,7 +120,10 @@ def all_zero_rows(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 def period_frames(df: DataFrame, n: int, feats: Sequence[str], sum_feats: Sequence[str] = vocab.SUM_FEATS,
                   keys: Sequence[str] = PIXEL, step: str = "step", t: str = "t", keep_incomplete: bool = False
                   ) -> DataFrame:
-    """Per pixel and period of n steps: mean, min, max, std, and the sum of fluxes or last - first of states."""
+    """Per pixel and period of n steps: mean, min, max, std, and the sum of fluxes or last - first of states.
+
+    Only periods that hold each step exactly once, unless `keep_incomplete`.
+    """
     aggs = []
     for f in feats:
         v = F.col(f).cast("double")
@@ -128,9 +131,10 @@ def period_frames(df: DataFrame, n: int, feats: Sequence[str], sum_feats: Sequen
         aggs += [F.avg(v).alias(f"{f}__mean"), F.min(v).alias(f"{f}__min"), F.max(v).alias(f"{f}__max"),
                  F.stddev_pop(v).alias(f"{f}__std"), total.alias(f"{f}__sum_or_diff")]
     grouped = df.withColumn("period", F.floor(F.col(step) / F.lit(n))).groupBy(*keys, "period").agg(
-        F.count(F.lit(1)).alias("n"), F.min(t).alias("t_start"), F.max(t).alias("t_end"), *aggs)
+        F.count(F.lit(1)).alias("n"), F.min(t).alias("t_start"), F.max(t).alias("t_end"),
+        *([] if keep_incomplete else [F.size(F.collect_set(step)).alias("_steps")]), *aggs)
     if not keep_incomplete:
-        grouped = grouped.where(F.col("n") == n)
+        grouped = grouped.where((F.col("n") == n) & (F.col("_steps") == n)).drop("_steps")
     return _long(grouped, [*keys, "period", "t_start", "t_end", "n"], feats,
                  ["mean", "min", "max", "std", "sum_or_diff"])
 
@@ -192,7 +196,12 @@ def fit_scale(train: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 
 def apply_scale(df: DataFrame, scales: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Scale by fitted means and stds, read as scalars of the one-row-per-feature table."""
-    def scalar(feat: str, stat: str) -> Column:
-        return scales.where(F.col("feat") == feat).select(stat).scalar()
-    return df.withColumns({f: E.ratio(F.col(f) - scalar(f, "mean"), scalar(f, "std")) for f in feats})
+    """Scale by fitted means and stds, read as one struct of the one-row-per-feature table.
+
+    The fit is run once for all features and statistics, next to the one pass over `df`.
+    """
+    def picked(feat: str, stat: str) -> Column:
+        return F.max(F.when(F.col("feat") == feat, F.col(stat))).alias(stat)
+    one = scales.agg(F.struct(*[F.struct(picked(f, "mean"), picked(f, "std")).alias(f) for f in feats]).alias("fit"))
+    held = df.withColumn("_fit", one.scalar())
+    return held.withColumns({f: E.ratio(F.col(f) - F.col(f"_fit.{f}.mean"), F.col(f"_fit.{f}.std")) for f in feats}).drop("_fit")

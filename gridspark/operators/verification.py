@@ -7,7 +7,7 @@ mergeable partials: `partial` on rows, `merge` on partials, `finish` to means an
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import PIXEL
 from ..functions import expressions as E
 
+Axis = tuple[str, float, float, int]
 SAMPLE = (*PIXEL, "init")
 SOURCES = ("true_res", "pred_res", "err_res", "true_state", "pred_state", "err_state")
 
@@ -89,6 +90,51 @@ class Moments:
         return partials.select(*others, *cols)
 
 
+@dataclass(frozen=True)
+class Tally:
+    """Mergeable counts and sums of named measures per group; rows are first turned into (keys, measures) by `prepare`.
+
+    The counterpart of `Moments` for evaluators that keep sums: partials carry n and sum_ columns, which add.
+    """
+
+    keys: Sequence[str]
+    measures: Sequence[str]
+    prepare: Callable[[DataFrame], DataFrame]
+
+    def partial(self, df: DataFrame) -> DataFrame:
+        sums = [F.sum(F.col(m).cast("double")).alias(f"sum_{m}") for m in self.measures]
+        return self.prepare(df).groupBy(*self.keys).agg(*sums, F.count(F.lit(1)).alias("n"))
+
+    def merge(self, *partials: DataFrame) -> DataFrame:
+        sums = [F.sum(f"sum_{m}").alias(f"sum_{m}") for m in self.measures]
+        return reduce(DataFrame.unionByName, partials).groupBy(*self.keys).agg(*sums, F.sum("n").alias("n"))
+
+    def finish(self, partials: DataFrame) -> DataFrame:
+        return partials.withColumns({f"mean_{m}": E.ratio(f"sum_{m}", "n") for m in self.measures})
+
+
+def time_tally(t: str = "t", horizon_limit: int | None = None, absolute: bool = False) -> Tally:
+    """`error_by_time` as partials: each row counts once for its hour and once for its day."""
+    shape = F.abs if absolute else (lambda c: c)
+
+    def prepare(errors: DataFrame) -> DataFrame:
+        rows = errors if horizon_limit is None else errors.where(F.col("step") <= horizon_limit)
+        axes = F.array(F.struct(F.lit("hour").alias("axis"), E.hour_of_day(t).alias("bin")),
+                       F.struct(F.lit("day").alias("axis"), E.day_of_year(t).alias("bin")))
+        return rows.select("feat", shape(F.col("err_state")).alias("state"), shape(F.col("err_res")).alias("res"),
+                           F.explode(axes).alias("_a")).select("_a.*", "feat", "state", "res")
+    return Tally(("axis", "bin", "feat"), ("state", "res"), prepare)
+
+
+def histogram_tally(ax1: Axis, ax2: Axis, covariate: str | None = None, by: Sequence[str] = ()) -> Tally:
+    """`joint_histogram` as partials."""
+    def prepare(df: DataFrame) -> DataFrame:
+        rows = df.select(*by, *[E.bin_index(F.expr(e), lo, hi, n).alias(b) for b, (e, lo, hi, n) in (("b1", ax1), ("b2", ax2))],
+                         *([F.expr(covariate).cast("double").alias("cov")] if covariate else []))
+        return rows.where("b1 IS NOT NULL AND b2 IS NOT NULL")
+    return Tally((*by, "b1", "b2"), ("cov",) if covariate else (), prepare)
+
+
 # --- error by lead time, clock and class ----------------------------------------------------------
 
 def horizon_moments(by: Sequence[str] = ()) -> Moments:
@@ -147,9 +193,6 @@ def error_by_class(errors: DataFrame, static: DataFrame, sample: Sequence[str] =
 
 # --- joint histograms -----------------------------------------------------------------------------
 
-Axis = tuple[str, float, float, int]
-
-
 def joint_histogram(df: DataFrame, ax1: Axis, ax2: Axis, covariate: str | None = None, absolute: bool = False,
                     by: Sequence[str] = ()) -> DataFrame:
     """Sparse 2-D histogram over two SQL expressions, with the sum and mean of a covariate per cell.

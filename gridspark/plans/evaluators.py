@@ -22,6 +22,7 @@ class Evaluation:
     bins: int = 128
     horizon_limit: int | None = None
     axes: Mapping[str, str] | None = None
+    coarseness: int = 1
 
 
 def _preset(name: str) -> Callable[[DataFrame, Evaluation], DataFrame]:
@@ -29,7 +30,7 @@ def _preset(name: str) -> Callable[[DataFrame, Evaluation], DataFrame]:
 
 
 EVALUATORS: dict[str, Callable[[DataFrame, Evaluation], DataFrame]] = {
-    "horizon": lambda errors, e: verification.error_by_horizon(errors),
+    "horizon": lambda errors, e: verification.error_by_horizon(errors, e.coarseness),
     "temporal": lambda errors, e: verification.error_by_time(
         errors, horizon_limit=e.horizon_limit, absolute=e.absolute),
     "static-combos": lambda errors, e: verification.error_by_class(errors, e.static, e.sample, e.absolute),

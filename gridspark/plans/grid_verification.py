@@ -55,7 +55,7 @@ def domain_rows(dynamic: DataFrame, static: DataFrame, domain: GridDomain, windo
 
 def verify_grid(dynamic: DataFrame, static: DataFrame, domain: GridDomain, spec: S.SampleSpec, factory: C.Factory,
                 evaluators: Sequence[str], feat: str, scaling: C.Scaling = C.Scaling(), inputs: Sequence[str] = (),
-                reuse: bool = True, **setup) -> dict[str, DataFrame]:
+                reuse: bool = True, coarseness: int = 1, convert: str | None = None, **setup) -> dict[str, DataFrame]:
     """Score every valid pixel of a domain at each init time and evaluate.
 
     Tiles are a column, so results of the whole domain come out of one aggregate; there are no partial files
@@ -66,7 +66,7 @@ def verify_grid(dynamic: DataFrame, static: DataFrame, domain: GridDomain, spec:
     rows = rows.withColumn("pos", F.col("lead") + F.lit(spec.window - 1))
     by = [*PIXEL, "init"]
     samples = S.to_arrays(rows, spec, by, static if spec.static_feats or spec.static_int else None)
-    errors = score(samples, factory, spec, by, scaling, inputs)
+    errors = score(samples, factory, spec, by, scaling, inputs, coarseness, convert, static)
     if reuse:
         errors = cut_lineage(errors)
-    return evaluate(errors, evaluators, Evaluation(static, feat, by, **setup))
+    return evaluate(errors, evaluators, Evaluation(static, feat, by, coarseness=coarseness, **setup))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import PIXEL
+from ..functions.features import convert_scored
 from ..operators import samples as S
 from ..operators import scoring as C
 from ..operators import selection as Q
@@ -17,38 +17,41 @@ from .evaluators import Evaluation, evaluate
 
 
 def score(samples: DataFrame, factory: C.Factory, spec: S.SampleSpec, by: Sequence[str],
-          scaling: C.Scaling = C.Scaling(), inputs: Sequence[str] = ()) -> DataFrame:
+          scaling: C.Scaling = C.Scaling(), inputs: Sequence[str] = (), coarseness: int = 1,
+          convert: str | None = None, params: DataFrame | None = None, keys: Sequence[str] = PIXEL) -> DataFrame:
     """Scored long rows of array samples with their error columns.
 
-    `inputs` are horizon features that evaluators read next to the errors.
+    `inputs` are horizon features that evaluators read next to the errors. `coarseness` is the number of steps that one
+    predicted step spans. `convert` (rsm_to_soilm or soilm_to_rsm) changes the unit of labels and predictions with the
+    porosity and wilting point of `params`.
     """
     parts = C.Parts(spec.window_feats, spec.horizon_feats, spec.pred_feats, spec.static_feats)
     carry = ["pred", "time"] + (["horizon"] if inputs else [])
     scored = C.score_samples(samples, factory, by, parts, scaling, carry=carry)
-    if not inputs:
-        return error_columns(C.scored_long(scored, by, spec.pred_feats, spec.window), by)
-    steps = F.arrays_zip(F.sequence(F.lit(1), F.size("horizon")).alias("step"), F.col("horizon").alias("h"))
-    forcing = scored.select(*by, F.explode(steps).alias("_e")).select(
-        *by, "_e.step", *[F.col(f"_e.h.{f}").alias(f) for f in inputs])
-    return error_columns(C.scored_long(scored, by, spec.pred_feats, spec.window).join(forcing, [*by, "step"]), by)
+    rows = C.scored_long(scored, by, spec.pred_feats, spec.window, inputs, coarseness)
+    if convert is not None:
+        rows = convert_scored(rows, params, convert, spec.pred_feats, keys)
+    return error_columns(rows, by)
 
 
 def verify_sequences(dynamic: DataFrame, static: DataFrame, spec: S.SampleSpec, factory: C.Factory,
                      evaluators: Sequence[str], feat: str, scaling: C.Scaling = C.Scaling(),
                      limit: tuple[Sequence[str], int] | None = None, conditions: dict[str, Sequence[str]] | None = None,
                      static_conditions: Sequence[str] = ("m_valid",), inputs: Sequence[str] = (),
-                     keys: Sequence[str] = PIXEL, reuse: bool = True, **setup) -> dict[str, DataFrame]:
+                     keys: Sequence[str] = PIXEL, reuse: bool = True, coarseness: int = 1, convert: str | None = None,
+                     **setup) -> dict[str, DataFrame]:
     """Samples -> scores -> evaluators.
 
     Static conditions are met before any dynamic row is read; sample conditions before scoring. With
-    `reuse`, the scored rows are written once to the checkpoint folder and every evaluator reads them there.
+    `reuse`, the scored rows are written once to the checkpoint folder and every evaluator reads them there. A unit
+    conversion takes porosity and wilting point from `static`.
     """
     pixels = Q.filter_static_all(static, static_conditions)
     samples = S.make_samples(dynamic, pixels, spec, keys, limit=limit)
     if conditions:
         samples = Q.filter_samples(samples, **conditions)
     by = [*keys, "sample"]
-    errors = score(samples, factory, spec, by, scaling, inputs)
+    errors = score(samples, factory, spec, by, scaling, inputs, coarseness, convert, static, keys)
     if reuse:
         errors = cut_lineage(errors)
-    return evaluate(errors, evaluators, Evaluation(static, feat, by, **setup))
+    return evaluate(errors, evaluators, Evaluation(static, feat, by, coarseness=coarseness, **setup))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -35,15 +37,15 @@ def configure(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder, so that lost executors do not recompute it.
+    """Write `df` as a Parquet table to the shared folder, so that lost executors do not recompute it.
 
-    The folder the cluster names in `spark.checkpoint.dir` is used; `fallback_dir` only counts where
-    that is unset and no folder has been set on the context.
+    Columnar, so each reader takes the columns it needs. The folder the cluster names in `spark.checkpoint.dir` is used;
+    `fallback_dir` only counts where that is unset and no folder has been set on the context.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or fallback_dir
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir or pass fallback_dir")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or fallback_dir
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir or pass fallback_dir")
+    path = f"{folder.rstrip('/')}/gridspark/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -43,12 +43,10 @@ def raster_rows(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     The box spans all pixels. A grid row is gathered as a map of its pixels, so nothing larger than one row
     of the grid meets in one place; rows without any pixel come from the row range of the box.
     """
-    box = df.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    bound = lambda c: box.select(c).scalar()
+    box = df.agg(F.struct(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).alias("box"))
     rows = df.groupBy(*by, "y").agg(F.map_from_entries(F.collect_list(F.struct("x", value))).alias("_m"))
-    frame = rows.select(*by).distinct().select(
-        *by, F.sequence(bound("x0"), bound("x1")).alias("_x"),
-        F.explode(F.sequence(bound("y0"), bound("y1"))).alias("y"))
+    frame = rows.select(*by).distinct().withColumn("_box", box.scalar()).select(
+        *by, F.sequence("_box.x0", "_box.x1").alias("_x"), F.explode(F.sequence("_box.y0", "_box.y1")).alias("y"))
     cells = F.transform("_x", lambda x: F.try_element_at(F.col("_m"), x))
     return frame.join(rows, [*by, "y"], "left").select(*by, "y", cells.alias("cells"))
 

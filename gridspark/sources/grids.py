@@ -15,7 +15,7 @@ from ..functions.features import UnknownFeature
 def scan_dynamic(spark: SparkSession, path: str, feats: Sequence[str], keys: Sequence[str] = ("tile", *PIXEL, "t"),
                  tiles: Sequence[str] | None = None, period: tuple[str, str] | None = None, fill: float | None = None,
                  t: str = "t") -> DataFrame:
-    """Pixel-hour rows of the features needed; tile and year reach the reader as partition filters."""
+    """Pixel-hour rows of the features needed; tile, year and quarter reach the reader as partition filters."""
     df = spark.read.parquet(path)
     missing = [c for c in (*keys, *feats) if c not in df.columns]
     if missing:
@@ -25,12 +25,24 @@ def scan_dynamic(spark: SparkSession, path: str, feats: Sequence[str], keys: Seq
     if period is not None:
         lo, hi = (F.lit(b).cast("timestamp") for b in period)
         df = df.where((F.col(t) >= lo) & (F.col(t) < hi))
-        if "year" in df.columns:
-            df = df.where(F.col("year").between(int(period[0][:4]), int(period[1][:4])))
+        df = prune_calendar(df, *period)
     out = df.select(*keys, *feats)
     return unfill(out, feats, fill) if fill is not None else out
 
 
+def prune_calendar(df: DataFrame, start: str, end: str) -> DataFrame:
+    """The redundant predicate on the partition columns `year` and, if there is one, `quarter` for times in [start, end)."""
+    if "year" not in df.columns:
+        return df
+    years = int(start[:4]), int(end[:4])
+    out = df.where(F.col("year").between(*years))
+    if "quarter" not in df.columns:
+        return out
+    first, last = (4 * int(b[:4]) + (int(b[5:7] or 1) - 1) // 3 for b in (start, end))
+    # Written as comparisons of the two columns, so that the reader can prune partitions by them.
+    return out.where((F.col("year") * 4 + F.col("quarter") - 1).between(first, last))
+
+
 def scan_static(spark: SparkSession, path: str, feats: Sequence[str] | None = None, keys: Sequence[str] = PIXEL
                 ) -> DataFrame:
     """Static grid; masks stored as 0/1 numbers come back as Booleans."""

@@ -50,10 +50,25 @@ INVENTORY_FIELDS = (
 )
 
 
-def parse_inventory_lines(lines: DataFrame, value: str | Column = "value") -> DataFrame:
-    """`:`-separated record inventory lines -> typed columns; lines of another shape are dropped."""
+def _misshapen(value: str | Column) -> Column:
+    return F.coalesce(F.size(F.split(E.col(value), ":")) < len(INVENTORY_FIELDS), F.lit(True))
+
+
+def inventory_rejects(lines: DataFrame, value: str | Column = "value") -> DataFrame:
+    """The raw lines that have too few fields, null lines among them."""
+    return lines.where(_misshapen(value)).select(E.col(value).alias("line"))
+
+
+def parse_inventory_lines(lines: DataFrame, value: str | Column = "value", rejects: bool = False) -> DataFrame:
+    """`:`-separated record inventory lines -> typed columns.
+
+    A line with too few fields is an error when it is read; with `rejects` such lines are left to `inventory_rejects`.
+    """
     fields = F.split(E.col(value), ":")
-    rows = lines.where(F.size(fields) >= len(INVENTORY_FIELDS))
+    bad = _misshapen(value)
+    rows = lines.where(~bad) if rejects else lines
     def field(i, kind):
-        return F.element_at(F.split(F.get(fields, F.lit(i)), "="), -1).cast(kind)
+        found = F.element_at(F.split(F.get(fields, F.lit(i)), "="), -1).cast(kind)
+        return found if rejects else F.when(bad, F.raise_error(F.concat(
+            F.lit("inventory line with too few fields: "), F.coalesce(E.col(value), F.lit("null")))).cast(kind)).otherwise(found)
     return rows.select(*[field(i, kind).alias(name) for i, name, kind in INVENTORY_FIELDS])

@@ -29,16 +29,15 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), para
                 sort_by: Sequence[str] = (), mode: str = "errorifexists", floats: bool = False) -> None:
     """Write a partitioned Parquet table and, next to it, one row with the parameters that made it.
 
-    Rows are first brought together by partition value, with a sub-key from the other columns so that a hot
-    partition is still written by many tasks.
+    Sorted tables are dealt by ranges of the partition and sort columns, so a large partition is written by many tasks, each
+    with a range of its own; others are brought together by partition value and split where a partition is large.
     """
     out = _to_float(df) if floats else df
-    if partition_by:
-        spread = F.pmod(F.xxhash64(*[c for c in (sort_by or out.columns[:3]) if c not in partition_by] or [F.lit(0)]),
-                        F.lit(16))
-        out = out.repartition(*partition_by, spread)
     if sort_by:
-        out = out.sortWithinPartitions(*partition_by, *sort_by)
+        order = [*partition_by, *sort_by]
+        out = out.repartitionByRange(*order).sortWithinPartitions(*order)
+    elif partition_by:
+        out = out.hint("rebalance", *partition_by)
     out.write.mode(mode).partitionBy(*partition_by).parquet(f"{path}/data")
     row = json.dumps(params or {}, sort_keys=True)
     df.sparkSession.range(1).select(F.lit(row).alias("params")).write.mode(mode).json(f"{path}/params")

@@ -6,29 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.verification import Moments
+from ..operators.verification import Moments, Tally
 
+Partials = Moments | Tally
 
-def stream_error_partials(scored_stream: DataFrame, moments: Moments) -> DataFrame:
+
+def stream_error_partials(scored_stream: DataFrame, moments: Partials) -> DataFrame:
     """Running partials of a stream; the state holds one row per group, whatever the volume."""
     return moments.partial(scored_stream)
 
 
-def write_snapshots(partials: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write the whole result after each trigger to its own folder, named by the trigger's number."""
+def write_snapshots(partials: DataFrame, path: str, checkpoint: str, once: bool = True, keep: int = 2) -> StreamingQuery:
+    """Write the whole result after each trigger to its own folder, named by the trigger's number.
+
+    The newest `keep` folders stay: a reader that has begun on the one before the last can end its work.
+    """
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+        _drop_folder(batch.sparkSession, f"{path}/batch={batch_id - keep:012d}")
     writer = partials.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of partials, if there is one, through the file system it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     newest = df.select(F.max("batch").alias("b"))
     return df.where(F.col("batch") == newest.scalar()).drop("batch")
 
 
-def stream_merge(scored_stream: DataFrame, moments: Moments, path: str, checkpoint: str, once: bool = True
+def stream_merge(scored_stream: DataFrame, moments: Partials, path: str, checkpoint: str, once: bool = True
                  ) -> StreamingQuery:
     """Store the partials of every micro-batch in its own folder; a replayed batch overwrites itself.
 
@@ -40,10 +52,24 @@ def stream_merge(scored_stream: DataFrame, moments: Moments, path: str, checkpoi
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def merged_partials(spark: SparkSession, path: str, moments: Moments) -> DataFrame:
+def merged_partials(spark: SparkSession, path: str, moments: Partials) -> DataFrame:
     return moments.merge(spark.read.parquet(path).drop("batch"))
 
 
-def compact_partials(spark: SparkSession, path: str, target: str, moments: Moments) -> None:
-    """Fold the stored batches into one table, to keep the number of small files down."""
-    merged_partials(spark, path, moments).write.mode("errorifexists").parquet(target)
+def compact_partials(spark: SparkSession, path: str, moments: Partials, upto: int) -> None:
+    """Fold the batches up to number `upto` into one folder of the same table, which `merged_partials` goes on reading.
+
+    Call it for batches that are done, with no reader at work: the fold is written beside them, takes the place of the
+    last of them, and the others are removed. A replayed batch below `upto` would count twice; the stream's log never replays
+    a batch once a later one has begun.
+    """
+    old = spark.read.parquet(path).where(F.col("batch") <= upto)
+    numbers = sorted(int(r[0]) for r in old.select("batch").distinct().collect())
+    if len(numbers) < 2:
+        return
+    beside = f"{path}/_fold"
+    moments.merge(old.drop("batch")).write.mode("overwrite").parquet(beside)
+    spark.read.parquet(beside).write.mode("overwrite").parquet(f"{path}/batch={numbers[-1]:012d}")
+    for n in numbers[:-1]:
+        _drop_folder(spark, f"{path}/batch={n:012d}")
+    _drop_folder(spark, beside)

@@ -2,6 +2,7 @@
 
 import json
 import shutil
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -84,7 +85,7 @@ def test_file_audit(spark, tmp_path):
 
 def test_inventory_lines(spark):
     good = "1:0:d=21082315:TMP:kpds5=11:kpds6=105:kpds7=2:TR=0:P1=0:P2=0:TimeU=1:2 m above gnd:anl:NAve=4"
-    rows = I.parse_inventory_lines(spark.createDataFrame([(good,), ("junk",)], "value string")).collect()
+    rows = I.parse_inventory_lines(spark.createDataFrame([(good,), ("junk",)], "value string"), rejects=True).collect()
     assert len(rows) == 1 and rows[0].name == "TMP" and rows[0].navg == 4 and rows[0].lvl_str == "2 m above gnd"
 
 
@@ -205,8 +206,8 @@ def test_stream_merge_is_idempotent(spark, tmp_path):
         f.unlink()
     SP.stream_merge(stream(), m, out, str(lost)).awaitTermination()
     assert result() == want
-    SP.compact_partials(spark, out, str(tmp_path / "compact"), m)
-    assert m.finish(spark.read.parquet(str(tmp_path / "compact"))).count() == 2
+    SP.compact_partials(spark, out, m, upto=10)
+    assert result() == want and len(list((tmp_path / "out").glob("batch=*"))) == 1
 
 
 def test_snapshots_keep_the_latest(spark, tmp_path):
@@ -219,6 +220,38 @@ def test_snapshots_keep_the_latest(spark, tmp_path):
     assert SP.latest_snapshot(spark, out).head().n_v == 2
 
 
+@pytest.mark.parametrize("kind", ["time", "histogram"])
+def test_tallies_replay_and_merge(spark, tmp_path, kind):
+    m = V.time_tally() if kind == "time" else V.histogram_tally(("err_state", 0.0, 8.0, 4), ("step", 0.0, 4.0, 2), "err_res", ["feat"])
+    schema = "step int, feat string, err_state double, err_res double, t timestamp"
+    rows = [(i % 5, "ab"[i % 2], float(i % 7), float(i), datetime(2020, 1, 1 + i % 3, i % 24)) for i in range(40)]
+    source, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    stream = lambda: spark.readStream.schema(schema).parquet(source)
+    for part in (rows[:25], rows[25:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        SP.stream_merge(stream(), m, out, log).awaitTermination()
+    whole = sorted(map(tuple, m.finish(m.partial(spark.createDataFrame(rows, schema))).collect()))
+    result = lambda: sorted(map(tuple, m.finish(SP.merged_partials(spark, out, m)).collect()))
+    assert result() == whole
+    commits = sorted((tmp_path / "log" / "commits").glob("[0-9]*"))
+    lost = tmp_path / "log2"
+    shutil.copytree(tmp_path / "log", lost)
+    for f in list((lost / "commits").glob(f"*{commits[-1].name}*")):
+        f.unlink()
+    SP.stream_merge(stream(), m, out, str(lost)).awaitTermination()
+    assert result() == whole
+
+
+def test_snapshot_retention(spark, tmp_path):
+    m = V.Moments(["k"], {"v": F.col("v")})
+    source, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    for j in range(4):
+        spark.createDataFrame([(1, float(j))], "k int, v double").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k int, v double").parquet(source)
+        SP.write_snapshots(SP.stream_error_partials(stream, m), out, log, keep=2).awaitTermination()
+    assert SP.latest_snapshot(spark, out).head().n_v == 4 and len(list((tmp_path / "out").glob("batch=*"))) == 2
+
+
 # --- plans ----------------------------------------------------------------------------------------
 
 def test_monthly_statistics_plan(spark, sf):
