@@ -20,9 +20,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.selection import limit_per_block
 from .common import held_out, small_batches
 
 #: Labelled rows that fitting reads at most, hash buckets of n-grams, longest code, steps and step size of the descent.
@@ -122,11 +123,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     if not langs:
         return None
     each = max(1, sample // len(langs))
-    order = Window.partitionBy("lang").orderBy("_o", "doc_id", "_h")
-    # Ids are ranked without their texts; a rank limit in each task keeps the ranking small.
-    ids = known.select("doc_id", "lang", F.xxhash64("text").alias("_h"), F.xxhash64("doc_id", F.lit(11)).alias("_o"))
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).select("doc_id", "lang", "_h").distinct()
-    chosen = known.withColumn("_h", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "_h"]).select("text", "lang")
+    # Ids are ranked without their texts, by hash prefix, so no language is ranked in one task.
+    text, key = F.xxhash64("text").alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    ids = limit_per_block(known.select("doc_id", "lang", text, key), ["lang"], each, 11, ["_key", "_text"])
+    ids = ids.select("doc_id", "lang", "_text").distinct()
+    chosen = known.withColumn("_text", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "_text"]).select("text", "lang")
     rows = chosen.mapInArrow(_features, "lang string, counts binary").limit(2 * sample).collect()
     if not rows:
         return None
