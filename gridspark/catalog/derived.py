@@ -176,6 +176,14 @@ def mask_conflicts(spark, sf):
     return Q.mask_conflicts(masks.unionByName(other))
 
 
+@query("b11_mask_conflicts_missing", with_views(STATIC, body="""
+SELECT y, x FROM fx_static WHERE x = 7 OR m_valid <> (int_soil <> 4)"""))
+def mask_conflicts_missing(spark, sf):
+    masks = fx.static(spark, sf).select("y", "x", "m_valid")
+    other = fx.static(spark, sf).where("x <> 7").select("y", "x", (F.col("int_soil") != 4).alias("m_valid"))
+    return Q.mask_conflicts(masks.unionByName(other), inputs=2)
+
+
 @query("b12_select_domain_radius", with_views(STATIC, body="""
 SELECT y, x FROM fx_static WHERE sqrt(pow(lat - 25.3e0, 2) + pow(lon + 124.6e0, 2)) < 0.4e0"""))
 def select_domain_radius(spark, sf):

@@ -323,10 +323,11 @@ def coarsen_pred(df: DataFrame, c: int, step: str = "step", include_init: bool =
 
 def coarsen_horizon(df: DataFrame, c: int, feats: Sequence[str], by: Sequence[str], how: str = "mean",
                     step: str = "step") -> DataFrame:
-    """Reduce the inputs of c steps (numbered from 1) to one coarse step."""
+    """Reduce the inputs of c steps (numbered from 1) to one coarse step; a short last block is dropped, as in `block_reduce`."""
     reduce = {"min": F.min, "max": F.max, "mean": F.avg}[how]
     block = F.ceil(F.col(step) / F.lit(c)).cast("int").alias(step)
-    return df.groupBy(*by, block).agg(*[reduce(f).alias(f) for f in feats])
+    blocks = df.groupBy(*by, block).agg(F.count(F.lit(1)).alias("_n"), *[reduce(f).alias(f) for f in feats])
+    return blocks.where(F.col("_n") == c).drop("_n")
 
 
 def alt_source(samples: DataFrame, feats: Sequence[str], horizon: str = "horizon", pred: str = "pred") -> DataFrame:

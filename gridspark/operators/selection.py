@@ -23,9 +23,14 @@ def valid_pixels(df: DataFrame, static: DataFrame, keys: Sequence[str] = PIXEL,
     return df.join(static.where(F.col(mask)).select(*keys), list(keys), "left_semi")
 
 
-def mask_conflicts(masks: DataFrame, keys: Sequence[str] = PIXEL, mask: str = "m_valid") -> DataFrame:
-    """Pixels whose mask differs between inputs; the inputs are uniform if there are none."""
-    return masks.groupBy(*keys).agg(F.min(mask).alias("lo"), F.max(mask).alias("hi")).where("lo <> hi").select(*keys)
+def mask_conflicts(masks: DataFrame, keys: Sequence[str] = PIXEL, mask: str = "m_valid", inputs: int | None = None) -> DataFrame:
+    """Pixels whose mask differs between inputs; the inputs are uniform if there are none.
+
+    With the number of `inputs`, pixels that one of them does not have are reported too.
+    """
+    found = masks.groupBy(*keys).agg(F.min(mask).alias("lo"), F.max(mask).alias("hi"), F.count(F.lit(1)).alias("n"))
+    differs = F.col("lo") != F.col("hi")
+    return found.where(differs if inputs is None else F.coalesce(differs, F.lit(False)) | (F.col("n") < inputs)).select(*keys)
 
 
 def nearest_pixel(static: DataFrame, at: tuple[float, float], keys: Sequence[str] = PIXEL) -> DataFrame:

@@ -284,20 +284,32 @@ def grid_stats_axes(errors: DataFrame, values: Mapping[str, str], keep: Sequence
                     sets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Mean and variance of any values, keeping chosen axes out of init, pixel and step.
 
-    `keep` gives one set of axes; `sets` gives several by name, computed in one pass with grouping sets.
+    `keep` gives one set of axes; `sets` gives several by name. The set of all axes is aggregated on its own, in the layout the
+    rows have; sets inside another one are rolled up from its partials; what is left is one pass with grouping sets.
     """
     m = Moments([], {n: F.expr(e) for n, e in values.items()})
     if sets is None:
         return m.finish(errors.groupBy(*keep, "feat").agg(*m.aggregates()))
     axes = list(dict.fromkeys(a for s in sets.values() for a in s))
-    groups = [[*map(F.col, s), F.col("feat")] for s in sets.values()]
-    out = errors.groupingSets(groups, *axes, "feat").agg(
-        *m.aggregates(), *[F.grouping(a).alias(f"_g_{a}") for a in axes])
-    label = F.lit(None).cast("string")
-    for name, s in sets.items():
-        fits = E.all_of([F.col(f"_g_{a}") == (0 if a in s else 1) for a in axes])
-        label = F.when(fits, F.lit(name)).otherwise(label)
-    return m.finish(out.withColumn("kept", label).drop(*[f"_g_{a}" for a in axes]))
+    whole = [n for n, s in sets.items() if set(s) == set(axes)]
+    inner = {n: s for n, s in sets.items() if n not in whole}
+    wider = {n: [k for k, p in inner.items() if set(s) < set(p)] for n, s in inner.items()}
+    base = {n: s for n, s in inner.items() if not wider[n]}
+    out = [errors.groupBy(*sets[n], "feat").agg(*m.aggregates()).withColumn("kept", F.lit(n)) for n in whole]
+    if base:
+        used = [a for a in axes if any(a in s for s in base.values())]
+        partial = errors.groupingSets([[*map(F.col, s), F.col("feat")] for s in base.values()], *used, "feat").agg(
+            *m.aggregates(), *[F.grouping(a).alias(f"_g_{a}") for a in used])
+        label = F.lit(None).cast("string")
+        for name, s in base.items():
+            label = F.when(E.all_of([F.col(f"_g_{a}") == (0 if a in s else 1) for a in used]), F.lit(name)).otherwise(label)
+        partial = partial.withColumn("kept", label).drop(*[f"_g_{a}" for a in used])
+        out.append(partial)
+        for name, s in inner.items():
+            if wider[name]:
+                source = next(k for k in wider[name] if k in base)
+                out.append(m.merge(partial.where(F.col("kept") == source), by=[*s, "feat"]).withColumn("kept", F.lit(name)))
+    return m.finish(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out))
 
 
 def grid_error_stats(errors: DataFrame, by: Sequence[str] = ("init", *PIXEL)) -> DataFrame:
