@@ -81,7 +81,9 @@ def with_next(docs: DataFrame, per_block: int = 512, blocks_together: int = 4096
     rows = (docs.select("doc_id", text_column().alias("text"), block.alias("_block")).repartition("_block")
             .select("*", F.xxhash64("text").alias("_h"), *[c.alias(n) for n, c in columns.items()]))
     own = F.struct("text", *columns)
-    firsts = rows.groupBy("_block").agg(F.min_by(own, F.struct("doc_id", "_h")).alias("_first"))
+    # The columns are computed for the first documents alone.
+    firsts = rows.groupBy("_block").agg(F.min_by("text", F.struct("doc_id", "_h")).alias("text")).select(
+        "_block", F.struct("text", *[c.alias(n) for n, c in columns.items()]).alias("_first"))
     group = F.floor(F.col("_block") / blocks_together)
     firsts = firsts.withColumn("_group", group).withColumn(
         "_after", F.lead("_first").over(Window.partitionBy("_group").orderBy("_block")))
