@@ -156,7 +156,7 @@ def _descend(x: np.ndarray, label: np.ndarray, langs: list[str]) -> Model:
     return Model(langs, code, weights * scale[:, None], bias, np.clip(2 * right - 1, 0.05, 1).astype(np.float32))
 
 
-def _predictor(model: Model | None, at_once: int = 1 << 20, rows: int = 512):
+def _predictor(model: Model | None, at_once: int = 1 << 19, rows: int = 128):
     def predict(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
