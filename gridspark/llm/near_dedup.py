@@ -67,6 +67,14 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _signed(s: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Signature and band keys of a set."""
+    least = minima(s)
+    keys = least[:ROWS * BANDS].reshape(BANDS, ROWS).astype(np.uint64) @ _BAND[:ROWS] + np.arange(BANDS, dtype=np.uint64) * _BAND[ROWS]
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (_scramble(least) & np.uint32(255)).astype(np.uint8).tobytes(), keys.view(np.int64)
+
+
 def _sketches(batches):
     for batch in batches:
         rows: list[tuple] = []
@@ -77,32 +85,32 @@ def _sketches(batches):
                 s = shingles(words[at:at + n])
                 at += n
                 if not len(s):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None))
                     continue
-                least = minima(s)
-                keys = least[:ROWS * BANDS].reshape(BANDS, ROWS).astype(np.uint64) @ _BAND[:ROWS] + np.arange(BANDS, dtype=np.uint64) * _BAND[ROWS]
-                keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                rows.append((len(s), node_of(s), (_scramble(least) & np.uint32(255)).astype(np.uint8).tobytes(), keys.view(np.int64)))
-        cols = list(zip(*rows)) if rows else [(), (), (), ()]
+                rows.append((len(s), node_of(s), _signed(s)[1]))
+        cols = list(zip(*rows)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-             pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))],
-            ["doc_id", "h", "n_shingles", "node", "sig", "bands"])
+             pa.array(cols[2], pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "node", "bands"])
 
 
 def _sets(batches):
     for batch in batches:
-        nodes, sets = [], []
+        nodes, sigs, bands, sets = [], [], [], []
         for _, _, data, offsets in text_slices(batch.column(0)):
             words, counts = word_hashes(data, offsets)
             at = 0
             for n in counts.tolist():
                 s = shingles(words[at:at + n])
                 at += n
+                sig, keys = _signed(s)
                 nodes.append(node_of(s))
+                sigs.append(sig)
+                bands.append(keys)
                 sets.append(s.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), batch.column(1), batch.column(2), pa.array(sets, pa.binary())], ["node", "sig", "bands", "set"])
+            [pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+            ["node", "sig", "bands", "set"])
 
 
 def least_matches(miss: float, per_cent: int = PER_CENT) -> np.ndarray:
@@ -241,16 +249,16 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     fewest = least_matches(miss)
     texts = docs.select("doc_id", text_column().alias("text")).withColumn("h", F.xxhash64("text"))
     sketches = written(texts.select("doc_id", "text", "h").mapInArrow(
-        _sketches, "doc_id bigint, h bigint, n_shingles bigint, node bigint, sig binary, bands array<bigint>"), "sketches")
+        _sketches, "doc_id bigint, h bigint, n_shingles bigint, node bigint, bands array<bigint>"), "sketches")
     bands = sketches.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     members = written(bands.join(shared.select("key", "first"), "key").distinct(), "members")
-    nodes = members.select("node").distinct()
-    # One row for each candidate node: its signature, and one text to take its full set from.
-    chosen = (sketches.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "h", "sig", "bands")).alias("row"))
-              .select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"), F.col("row.sig").alias("sig"),
-                      F.col("row.bands").alias("bands")))
-    sets = written(texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text", "sig", "bands")
+    # Of each node the smallest id, and one row whose text gives its full set; copies are reduced before any exchange.
+    lows = written(sketches.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("row")), "nodes")
+    chosen = (lows.join(members.select("node").distinct(), "node", "left_semi")
+              .select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h")))
+    sets = written(texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text")
                    .mapInArrow(_sets, "node bigint, sig binary, bands array<bigint>, set binary").dropDuplicates(["node"]), "sets")
 
     stars = members.where("node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
@@ -271,7 +279,6 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 
-    lows = sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
     classes = lows.join(labels, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = written(classes.join(least, "root").select("node", "root", "component_id"), "components")
