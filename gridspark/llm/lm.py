@@ -235,6 +235,11 @@ def _filter(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [int(group["segment"].iloc[0])], "bits": [bits], "body": [np.packbits(flags, bitorder="little").tobytes()]})
 
 
+#: Keys probed together.
+AT_ONCE = 1 << 15
+_BIT = (1 << np.arange(8)).astype(np.uint8)
+
+
 class _Shard:
     """Pieces of the filter for the segments from `first` on."""
 
@@ -243,19 +248,29 @@ class _Shard:
         self.start = (np.cumsum(bits) - bits).astype(np.int64)
 
     def count(self, key: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """Levels of keys, by probing rising levels until one is missing."""
-        found, alive = np.zeros(len(key), np.int64), np.arange(len(key))
-        start, bits = self.start[segment - self.first], self.bits[segment - self.first]
-        alive = alive[bits > 0]
-        q = 1
+        """Levels of keys, by probing rising levels until one is missing; a few thousand at a time stay in the cache."""
+        parts = [self._count(key[i:i + AT_ONCE], segment[i:i + AT_ONCE]) for i in range(0, len(key), AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _count(self, key: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        found, alive = np.zeros(len(key), np.int64), np.flatnonzero(self.bits[segment - self.first] > 0)
+        start, size = (x[segment[alive] - self.first].astype(np.uint64) for x in (self.start, self.bits))
+        key, q, half = key[alive], 1, np.uint64(32)
         while len(alive):
-            base, size, own, hit = start[alive], bits[alive], key[alive], np.arange(len(alive))
-            h = mix(own + np.uint64(q) * _STEP)
-            a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+            h = mix(key + np.uint64(q * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
+            a, b = h & np.uint64(0xFFFFFFFF), (h >> half) | np.uint64(1)
+            there = None
             for i in range(PROBES):
-                at = base[hit] + ((((a[hit] + np.uint64(i) * b[hit]) & np.uint64(0xFFFFFFFF)) * size[hit].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-                hit = hit[(self.body[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            alive = alive[hit]
+                at = a if i == 0 else (a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)
+                at = (start + (at * size >> half)).view(np.int64)
+                hit = (self.body[at >> 3] & _BIT[at & 7]) != 0
+                there = hit if there is None else there & hit
+                # Keys that are missing leave when they are many enough to pay for moving the others.
+                if i == PROBES - 1 or np.count_nonzero(there) < 0.7 * len(there):
+                    alive, key, start, size, a, b = (x[there] for x in (alive, key, start, size, a, b))
+                    there = None
+                    if not len(alive):
+                        break
             found[alive] = q
             q += 1
         return found
@@ -278,11 +293,15 @@ def _scorer(shard, n_all: int, n_types: int, begun: int, word_segments: int, n_s
                 value, p = np.zeros(len(history)), plain[here]
                 seen = known[here] > 0
                 if own is not None and seen.any():
-                    at = here[seen]
+                    # In the order of histories: each one's followers are looked up once, and probes stay in one piece for long.
+                    order = np.flatnonzero(seen)[np.argsort(place[here[seen]])]
+                    at = here[order]
                     c = np.minimum(MEANING[own.count(_key(place[at], follower[at]), segment[at])], known[at])
-                    t = MEANING[own.count(mix(place[at] ^ _FOLLOWERS), segment[at])] * _parts(known[at])
-                    t = np.maximum(t, 1)
-                    p[seen] = (c + t * p[seen]) / (known[at] + t)
+                    head = np.r_[True, place[at[1:]] != place[at[:-1]]]
+                    one = at[head]
+                    t = np.maximum(MEANING[own.count(mix(place[one] ^ _FOLLOWERS), segment[one])] * _parts(known[one]), 1)
+                    t = t[np.cumsum(head) - 1]
+                    p[order] = (c + t * p[order]) / (known[at] + t)
                 value[here] = np.log10(np.minimum(p, 1))
                 add = lambda x: np.add.reduceat(x, starts)
                 base = add(np.log10(plain)) if first == 0 else np.zeros(len(starts))
@@ -303,7 +322,7 @@ def score(docs: DataFrame, held=None, shard_bytes: int = SHARD_BYTES) -> DataFra
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text"),
                        (held if held is not None else held_out(7)).alias("held"))
-    path, name = shared_path(spark, "blocks"), None
+    path = shared_path(spark, "blocks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "llm_" + path.rsplit("-", 1)[1]
     (rows.mapInArrow(_blocks, BLOCK_ROW).write.option("path", path).option("compression", "zstd")
@@ -337,15 +356,20 @@ def score(docs: DataFrame, held=None, shard_bytes: int = SHARD_BYTES) -> DataFra
     columns = counted.select("block", "doc_ids", "held", "lengths", "tokens", "words", "parts")
     passes = []
     for first, last in zip(cuts, [*cuts[1:], n_segments]):
-        body = pieces.where(F.col("segment").between(first, last - 1)).select("segment", "body").collect()
-        parts = {r["segment"]: np.frombuffer(r["body"], np.uint8) for r in body}
-        joined = np.concatenate([parts[i] for i in range(first, last) if i in parts] or [np.zeros(0, np.uint8)])
-        shard = spark.sparkContext.broadcast(_Shard(first, bits[first:last], joined))
+        size = bits[first:last] // 8
+        body, start = np.zeros(int(size.sum()), np.uint8), np.cumsum(size) - size
+        # A partition at a time, into one array of at most SHARD_BYTES.
+        for r in pieces.where(F.col("segment").between(first, last - 1)).select("segment", "body").toLocalIterator():
+            i = r["segment"] - first
+            body[start[i]:start[i] + size[i]] = np.frombuffer(r["body"], np.uint8)
+        shard = spark.sparkContext.broadcast(_Shard(first, bits[first:last], body))
         # Each pass is written before the next shard is collected, so one shard at a time is held.
         passes.append(written(columns.mapInArrow(
             _scorer(shard, n_all, n_types, begun, word_segments, n_segments, first, last), SCORED), "scores"))
         shard.destroy()
-        del body, parts, joined
+        del body
+    # The name goes, the files in the shared folder stay; what is returned reads the scores alone.
+    spark.sql(f"DROP TABLE {name}")
     scored = passes[0]
     for more in passes[1:]:
         scored = scored.unionByName(more)
