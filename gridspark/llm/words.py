@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20260211))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _EXACT.copy()
 _BYTE[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -47,26 +48,38 @@ _INVERSE = pow(_BASE, -1, 2**64)
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts laid end to end in `data`, and the number of words of each text."""
+    return word_spans(data, offsets)[2:]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, fold: bool = True, inner: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Starts, ends and hashes of all words of texts laid end to end in `data`, and the number of words of each text.
+
+    `inner` marks bytes inside words at which another one starts.
+    """
     n_docs = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
     inside = ~_SPACE[data]
     before = np.empty(len(data), dtype=bool)
     before[0], before[1:] = False, inside[:-1]
     edges = offsets[:-1][np.diff(offsets) > 0]
     before[edges] = False
+    if inner is not None:
+        before &= ~inner
     starts = np.flatnonzero(inside & ~before)
     after = np.empty(len(data), dtype=bool)
     after[-1], after[:-1] = False, inside[1:]
     after[edges[edges > 0] - 1] = False
+    if inner is not None:
+        after[:-1] &= ~inner[1:]
     ends = np.flatnonzero(inside & ~after) + 1
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[data] * _powers(len(data), _BASE), out=sums[1:])
+    np.cumsum((_BYTE if fold else _EXACT)[data] * _powers(len(data), _BASE), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers(len(data), _INVERSE)[starts]
     h = mix(h + (ends - starts).astype(np.uint64))
     counts = np.diff(np.searchsorted(starts, offsets))
-    return h, counts
+    return starts, ends, h, counts
 
 
 def text_slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
