@@ -28,7 +28,9 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     sketched = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("about"))
     sure = sketched.where(F.col("about") > sites * (1 + BAND)).select("line")
     near = sketched.where(F.col("about").between(sites * (1 - BAND), sites * (1 + BAND))).select("line")
-    counted = (lines.join(near, "line").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    # Reduced to distinct sites before the exchange by line, so a common line is a row a site.
+    pairs = lines.select("line", "site").distinct()
+    counted = (pairs.join(near, "line", "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
                .where(F.col("n") >= sites).select("line"))
     return sure.unionByName(counted)
 
@@ -40,7 +42,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> Da
     bare = F.regexp_replace("_line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     lines = cut.withColumn("_line", bare).where("_line <> ''").select("key", "place", "site", F.xxhash64("_line").alias("line"))
     spread = lines.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("line")
-    several = written(lines.join(spread, "line"), "lines")
+    # Dealt anew, so that the join has exchanges of its own and a common line is split by its size.
+    several = written(lines.join(spread.hint("rebalance"), "line"), "lines")
     gone = (several.join(written(boilerplate(several, sites), "boilerplate"), "line")
             .groupBy(F.col("key").alias("__line_of")).agg(F.collect_set("place").alias("__line_gone")))
     joined = rows.join(gone, F.col("__line_key") == F.col("__line_of"), "left")
