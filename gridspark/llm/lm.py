@@ -40,7 +40,7 @@ from .words import mix, text_slices, word_hashes
 BLOCK_BYTES = 4 << 20
 #: Keys of a segment, aimed at; training tokens after one history that share a part of it.
 SEGMENT_KEYS, PART_TOKENS = 400_000, 1 << 20
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 128 << 20
 #: Base of the count levels, bits and probes for each level entered.
 BASE, BITS, PROBES = math.sqrt(2), 12, 8
 END, BEGIN = np.uint64(0x7465726D696E616C), np.uint64(0x6F70656E696E6773)
