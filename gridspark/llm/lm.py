@@ -7,7 +7,8 @@ Free style: numpy in Arrow batches; Spark deals, groups and joins packed rows.
 2. Counts of words are summed by hash segment and go back to the blocks that asked, a few bytes a distinct word. They are exact.
 3. Training bigrams (history, word), with a begin before and an end after each text, are summed by segment of their history; a
    frequent history is split by its followers. Each segment becomes one piece of the filter: an n-gram of count c is entered
-   for the levels 1 .. 1 + floor(log c / log BASE); so is the number of distinct followers of each history.
+   for the levels 1 .. 1 + floor(log c / log BASE); so is the number of distinct followers of each history. That of a split
+   history is summed over its parts and entered once, in a small piece of its own that every shard carries.
 4. The filter is broadcast in shards of at most SHARD_BYTES, one at a time, and each token is scored under the shard that holds
    its history. A count is read by probing rising levels until one is missing.
 
@@ -15,7 +16,8 @@ The probability of w after h is Witten-Bell interpolation: (c(h,w) + T(h) p(w))
 with c(h,w) and T(h), the number of distinct followers, from the filter, and p(w) alone after a history never seen. A miss of
 the filter never happens; a false hit of a level has a probability of about 0.3 %.
 
-Bounds: a broadcast holds SHARD_BYTES, or one segment if that is larger; passes over the blocks grow with the filter's size
+Bounds: a broadcast holds SHARD_BYTES, or one segment if that is larger, and some 60 bytes for each split history, of which
+there is at most one for PART_TOKENS training tokens; passes over the blocks grow with the filter's size
 divided by SHARD_BYTES, so give executors of more memory larger shards. A segment's task reads its share of all blocks' words.
 
 Defined results. Null text: empty, so its end alone is a token. A null id is not held out. Repeated rows are scored and learned
@@ -133,13 +135,9 @@ def _bigrams(tokens, lengths, words, counts, begun: int):
     return history, follower, known, count, is_end
 
 
-def _parts(known: np.ndarray) -> np.ndarray:
-    return known // PART_TOKENS + 1
-
-
-def _place(history, follower, known, n_segments: int):
+def _place(history, follower, known, n_segments: int, part_tokens: int):
     """Segment of a bigram, and the history with the part of its followers mixed in."""
-    parts = _parts(known)
+    parts = known // part_tokens + 1
     part = np.where(parts > 1, (mix(follower ^ _STEP) >> np.uint64(40)).astype(np.int64) % parts, 0)
     place = mix(history + part.astype(np.uint64) * _PAIR)
     return _segment(place, n_segments), place
@@ -149,8 +147,16 @@ def _key(place: np.ndarray, follower: np.ndarray) -> np.ndarray:
     return mix(place + (follower >> np.uint64(32)) * _PAIR)
 
 
-def _pairs(begun: int, word_segments: int, n_segments: int):
-    """Blocks to packed training bigrams by segment: distinct (place of the history, upper half of the follower) and their counts."""
+def _followers_key(history: np.ndarray) -> np.ndarray:
+    """Key of a history's number of distinct followers, the same for all its parts."""
+    return mix(mix(history) ^ _FOLLOWERS)
+
+
+def _pairs(begun: int, word_segments: int, n_segments: int, part_tokens: int):
+    """Blocks to packed training bigrams by segment: distinct (place of the history, upper half of the follower) and their counts.
+
+    The places of split histories are listed with their histories.
+    """
     def pack(batches):
         for batch in batches:
             for block, held, lengths, tokens, words, parts in zip(*(batch.column(i).to_pylist() for i in range(6))):
@@ -161,7 +167,7 @@ def _pairs(begun: int, word_segments: int, n_segments: int):
                 history, follower, known = history[learn], follower[learn], known[learn]
                 if not len(history):
                     continue
-                segment, place = _place(history, follower, known, n_segments)
+                segment, place = _place(history, follower, known, n_segments, part_tokens)
                 low = (follower >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((low, place))
                 place, low, segment = place[order], low[order], segment[order]
@@ -173,14 +179,19 @@ def _pairs(begun: int, word_segments: int, n_segments: int):
                 cut = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
                 found, stop = segment[cut], np.r_[cut[1:], len(segment)]
                 head = np.r_[True, place[1:] != place[:-1]]
+                heads = np.flatnonzero(head)
+                split = heads[known[order[first[heads]]] >= part_tokens]
+                whole = history[order[first[split]]]
                 rows = []
                 for s, a, b in zip(found.tolist(), cut.tolist(), stop.tolist()):
                     own = np.flatnonzero(head[a:b])
+                    x, y = np.searchsorted(split, (a, b))
                     rows.append((s, place[a:b][own].astype("<u8").tobytes(), np.diff(np.r_[own, b - a]).astype("<u4").tobytes(),
-                                 low[a:b].tobytes(), times[a:b].astype("<u4").tobytes()))
+                                 low[a:b].tobytes(), times[a:b].astype("<u4").tobytes(),
+                                 place[split[x:y]].astype("<u8").tobytes(), whole[x:y].astype("<u8").tobytes()))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                                                 ["segment", "places", "followers", "low", "times"])
+                                                 ["segment", "places", "followers", "low", "times", "split", "whole"])
     return pack
 
 
@@ -209,18 +220,8 @@ def _probes(key: np.ndarray, at: int | np.ndarray, bits: int | np.ndarray):
         yield (((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * np.asarray(bits).astype(np.uint64)) >> np.uint64(32)
 
 
-def _filter(group: pd.DataFrame) -> pd.DataFrame:
-    """A segment's piece of the filter."""
-    places = np.frombuffer(b"".join(group["places"]), "<u8")
-    followers = np.frombuffer(b"".join(group["followers"]), "<u4")
-    low = np.frombuffer(b"".join(group["low"]), "<u4").astype(np.uint64)
-    times = np.frombuffer(b"".join(group["times"]), "<u4")
-    place = np.repeat(places, followers)
-    keys, first, at = np.unique(mix(place + low * _PAIR), return_index=True, return_inverse=True)
-    count = np.bincount(at, weights=times).astype(np.int64)
-    histories, distinct = np.unique(place[first], return_counts=True)
-    keys = np.concatenate([keys, mix(histories ^ _FOLLOWERS)])
-    levels = level(np.concatenate([count, distinct]))
+def _entered(keys: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
+    """Bits and bytes of a piece of the filter that holds each key up to its level."""
     bits = int(max(64, -(-int(levels.sum()) * BITS // 8) * 8))
     if bits >= 2**32:
         raise ValueError("a segment's filter would need 2^32 bits; lower SEGMENT_KEYS")
@@ -232,7 +233,27 @@ def _filter(group: pd.DataFrame) -> pd.DataFrame:
         q += 1
         keep = levels >= q
         keys, levels = keys[keep], levels[keep]
-    return pd.DataFrame({"segment": [int(group["segment"].iloc[0])], "bits": [bits], "body": [np.packbits(flags, bitorder="little").tobytes()]})
+    return bits, np.packbits(flags, bitorder="little")
+
+
+def _filter(group: pd.DataFrame) -> pd.DataFrame:
+    """A segment's piece of the filter, and the distinct followers in it of each part of a split history."""
+    places = np.frombuffer(b"".join(group["places"]), "<u8")
+    followers = np.frombuffer(b"".join(group["followers"]), "<u4")
+    low = np.frombuffer(b"".join(group["low"]), "<u4").astype(np.uint64)
+    times = np.frombuffer(b"".join(group["times"]), "<u4")
+    place = np.repeat(places, followers)
+    keys, first, at = np.unique(mix(place + low * _PAIR), return_index=True, return_inverse=True)
+    count = np.bincount(at, weights=times).astype(np.int64)
+    histories, distinct = np.unique(place[first], return_counts=True)
+    split, at = np.unique(np.frombuffer(b"".join(group["split"]), "<u8"), return_index=True)
+    whole = np.frombuffer(b"".join(group["whole"]), "<u8")[at]
+    apart = np.isin(histories, split, assume_unique=True)
+    # A place that is no part is its history mixed, so this is _followers_key.
+    keys = np.concatenate([keys, mix(histories[~apart] ^ _FOLLOWERS)])
+    bits, body = _entered(keys, level(np.concatenate([count, distinct[~apart]])))
+    return pd.DataFrame({"segment": [int(group["segment"].iloc[0])], "bits": [bits], "body": [body.tobytes()],
+                         "split": [whole.view("<i8")], "distinct": [distinct[apart]]})
 
 
 #: Keys probed together.
@@ -241,7 +262,7 @@ _BIT = (1 << np.arange(8)).astype(np.uint8)
 
 
 class _Shard:
-    """Pieces of the filter for the segments from `first` on."""
+    """Pieces of the filter for the segments from `first` on, that of the split histories' followers last."""
 
     def __init__(self, first: int, bits: np.ndarray, body: np.ndarray):
         self.first, self.bits, self.body = first, bits, body
@@ -276,7 +297,7 @@ class _Shard:
         return found
 
 
-def _scorer(shard, n_all: int, n_types: int, begun: int, word_segments: int, n_segments: int, first: int, last: int):
+def _scorer(shard, n_all: int, n_types: int, begun: int, word_segments: int, n_segments: int, part_tokens: int, first: int, last: int):
     """Sums of log10 probabilities under one shard, for each text of each block; base sums and known tokens with the first."""
     def score(batches):
         own = shard.value if shard is not None else None
@@ -288,7 +309,7 @@ def _scorer(shard, n_all: int, n_types: int, begun: int, word_segments: int, n_s
                 count[is_end] = begun
                 starts = np.cumsum(lengths + 1) - (lengths + 1)
                 plain = (count + 1) / (n_all + n_types + 1)
-                segment, place = _place(history, follower, known, n_segments)
+                segment, place = _place(history, follower, known, n_segments, part_tokens)
                 here = np.flatnonzero((segment >= first) & (segment < last))
                 value, p = np.zeros(len(history)), plain[here]
                 seen = known[here] > 0
@@ -299,7 +320,8 @@ def _scorer(shard, n_all: int, n_types: int, begun: int, word_segments: int, n_s
                     c = np.minimum(MEANING[own.count(_key(place[at], follower[at]), segment[at])], known[at])
                     head = np.r_[True, place[at[1:]] != place[at[:-1]]]
                     one = at[head]
-                    t = np.maximum(MEANING[own.count(mix(place[one] ^ _FOLLOWERS), segment[one])] * _parts(known[one]), 1)
+                    piece = np.where(known[one] >= part_tokens, last, segment[one])
+                    t = np.maximum(MEANING[own.count(_followers_key(history[one]), piece)], 1)
                     t = t[np.cumsum(head) - 1]
                     p[order] = (c + t * p[order]) / (known[at] + t)
                 value[here] = np.log10(np.minimum(p, 1))
@@ -343,8 +365,14 @@ def score(docs: DataFrame, held=None, shard_bytes: int = SHARD_BYTES) -> DataFra
 
     n_segments = max(1, int(size["tokens"]) // SEGMENT_KEYS)
     pieces = written(counted.select("block", "held", "lengths", "tokens", "words", "parts").mapInArrow(
-        _pairs(begun, word_segments, n_segments), "segment int, places binary, followers binary, low binary, times binary")
-        .groupBy("segment").applyInPandas(_filter, "segment int, bits bigint, body binary"), "filter")
+        _pairs(begun, word_segments, n_segments, PART_TOKENS),
+        "segment int, places binary, followers binary, low binary, times binary, split binary, whole binary")
+        .groupBy("segment").applyInPandas(_filter, "segment int, bits bigint, body binary, split array<bigint>, distinct array<bigint>"), "filter")
+    # One row a split history: at most one for PART_TOKENS training tokens.
+    types = (pieces.select(F.explode(F.arrays_zip("split", "distinct")).alias("part")).groupBy("part.split")
+             .agg(F.sum("part.distinct").alias("n")).collect())
+    split_bits, split_body = (_entered(_followers_key(np.array([r[0] for r in types], np.int64).view(np.uint64)), level(np.array([r[1] for r in types])))
+                              if types else (0, np.zeros(0, np.uint8)))
     found = dict(pieces.select("segment", "bits").collect())
     bits = np.array([found.get(i, 0) for i in range(n_segments)], np.int64)
     cuts, held_bits = [0], 0
@@ -357,15 +385,16 @@ def score(docs: DataFrame, held=None, shard_bytes: int = SHARD_BYTES) -> DataFra
     passes = []
     for first, last in zip(cuts, [*cuts[1:], n_segments]):
         size = bits[first:last] // 8
-        body, start = np.zeros(int(size.sum()), np.uint8), np.cumsum(size) - size
+        body, start = np.zeros(int(size.sum()) + len(split_body), np.uint8), np.cumsum(size) - size
+        body[len(body) - len(split_body):] = split_body
         # A partition at a time, into one array of at most SHARD_BYTES.
         for r in pieces.where(F.col("segment").between(first, last - 1)).select("segment", "body").toLocalIterator():
             i = r["segment"] - first
             body[start[i]:start[i] + size[i]] = np.frombuffer(r["body"], np.uint8)
-        shard = spark.sparkContext.broadcast(_Shard(first, bits[first:last], body))
+        shard = spark.sparkContext.broadcast(_Shard(first, np.append(bits[first:last], split_bits), body))
         # Each pass is written before the next shard is collected, so one shard at a time is held.
         passes.append(written(columns.mapInArrow(
-            _scorer(shard, n_all, n_types, begun, word_segments, n_segments, first, last), SCORED), "scores"))
+            _scorer(shard, n_all, n_types, begun, word_segments, n_segments, PART_TOKENS, first, last), SCORED), "scores"))
         shard.destroy()
         del body
     # The name goes, the files in the shared folder stay; what is returned reads the scores alone.

@@ -76,3 +76,20 @@ def test_edges(spark):
     assert L.score(empty_docs(spark)).count() == 0
     none = L.score(docs, held=F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.score == pytest.approx(r.base_score) for r in none)
+
+
+def test_split_histories(spark, monkeypatch):
+    """Followers of frequent histories in many parts, most of them empty, whether seen or not: T is that of the whole history."""
+    few = [(i, f"hub few{i % 3} a{i}") for i in range(400)]
+    many = [(1000 + i, f"wide many{i % 60} b{i}") for i in range(400)]
+    new = [(5000 + i, f"hub a{i} wide b{i} hub many{i % 60}") for i in range(200) if held(5000 + i)]
+    docs = [*few, *many, *new]
+    want = {r[0]: r for r in brute(docs)}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for part_tokens, shard_bytes in ((1 << 20, 1 << 20), (5, 1 << 20), (5, 1000)):
+        monkeypatch.setattr(L, "PART_TOKENS", part_tokens)
+        monkeypatch.setattr(L, "SEGMENT_KEYS", 500)
+        got = {r.doc_id: r for r in L.score(df, shard_bytes=shard_bytes).collect()}
+        assert got.keys() == want.keys()
+        off = np.array([abs(got[d].score - w[6]) / w[2] for d, w in want.items()])
+        assert np.mean(off < 0.001) > 0.9 and off.max() < 0.5 and off.mean() < 0.02
