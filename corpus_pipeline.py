@@ -14,6 +14,8 @@ from gridspark.llm.common import shared_path, table, text_column, written
 
 #: A document goes if it holds a whole window of a benchmark item of at least so many words.
 LEAST_PASSAGE = 5
+#: Documents are near duplicates if they share so many of 100 of all their shingles; op1_near_dedup has its own 85.
+NEAR_PER_CENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id; of repeated rows one stays."""
-    found = near_dedup.near_duplicates(docs).where("kept")
+    """One document of each group of similarity 0.80 or more stays, the one of the smallest id; of repeated rows one stays."""
+    found = near_dedup.near_duplicates(docs, per_cent=NEAR_PER_CENT).where("kept")
     keys = (found.groupBy(F.col("doc_id").alias("__id"), F.coalesce("root", "h").alias("__group"))
             .agg(F.min("h").alias("__key")).select("__id", "__key").distinct())
     rows = docs.withColumn("__h", F.xxhash64(text_column())).dropDuplicates(["doc_id", "__h"])

@@ -3,16 +3,16 @@
 Free style: numpy in Arrow batches for hashing and comparing; Spark deals, joins and groups.
 
 1. Each text becomes a set of hashes of five consecutive words, a class (the set's digest), one byte of each of 192 minima, and
-   24 band keys of five minima. Texts of one class are one node, so copies meet once.
+   24 band keys of five minima (36 at a threshold of 0.80). Texts of one class are one node, so copies meet once.
 2. Nodes that share a band key are candidates. A node is first compared with the least node it shares most bands with. Then,
    in every bucket whose nodes are in several components, all nodes of different components are compared, in blocks of
    bounded size; a pair is compared in the first bucket it shares, and all work on it stays inside the block.
 3. A comparison reads the signatures in batches of 32 and stops once P(similarity >= threshold | matches so far) is below the
-   miss probability. Survivors are verified on full sets: 100 * |A and B| >= 85 * |A or B|. A block gives back as many verified
+   miss probability. Survivors are verified on full sets: 100 * |A and B| >= per_cent * |A or B|. A block gives back as many verified
    links as connect its nodes, so rows grow with nodes, not with pairs.
 4. Verified links are contracted to stars, with every round written to the shared folder.
 
-A pair of similarity 0.85 shares no band with a probability below 1e-6, and is pruned with a probability of at most `miss` a
+A pair at the threshold shares no band with a probability below 1e-6, and is pruned with a probability of at most `miss` a
 batch. Links inside one component are not all listed; no link between components is left out.
 
 Defined results. Null or empty text, or one without words: an empty set, linked with nothing. Fewer than five words: the whole
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_column, written
 from .words import shingles, text_slices, word_hashes
 
-#: Minima of a band, bands, minima compared at once, and all minima; the bands take the first ROWS * BANDS.
+#: Minima of a band, bands at PER_CENT, minima compared at once, and all minima; the bands take the first of them.
 ROWS, BANDS, BATCH, SIZE = 5, 24, 32, 192
-#: Links: PER_CENT * union <= 100 * intersection.
+#: Links, unless the caller names another threshold: PER_CENT * union <= 100 * intersection.
 PER_CENT = 85
 #: Nodes of a bucket compared in one task with as many others.
 BLOCK = 256
@@ -47,6 +47,15 @@ _PLUS = _RNG.integers(0, 2**32, SIZE, dtype=np.uint64).astype(np.uint32)
 _BAND = (_RNG.integers(0, 2**62, ROWS + 1, dtype=np.int64) * 2 + 1).astype(np.uint64)
 
 
+def bands_for(per_cent: int) -> int:
+    """Fewest bands that miss a pair at the threshold no more often than BANDS miss one at PER_CENT."""
+    missed = lambda t, n: (1 - (t / 100) ** ROWS) ** n
+    found = next((n for n in range(1, SIZE // ROWS + 1) if missed(per_cent, n) <= missed(PER_CENT, BANDS)), None)
+    if found is None or per_cent > 100:
+        raise ValueError(f"no {SIZE // ROWS} bands of {ROWS} minima find pairs at {per_cent} of 100")
+    return found
+
+
 def minima(hashes: np.ndarray, at_once: int = 4096) -> np.ndarray:
     """The least value of each of SIZE permutations over a set of hashes."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -67,50 +76,54 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _signed(s: np.ndarray) -> tuple[bytes, np.ndarray]:
+def _signed(s: np.ndarray, n_bands: int) -> tuple[bytes, np.ndarray]:
     """Signature and band keys of a set."""
     least = minima(s)
-    keys = least[:ROWS * BANDS].reshape(BANDS, ROWS).astype(np.uint64) @ _BAND[:ROWS] + np.arange(BANDS, dtype=np.uint64) * _BAND[ROWS]
+    keys = least[:ROWS * n_bands].reshape(n_bands, ROWS).astype(np.uint64) @ _BAND[:ROWS] + np.arange(n_bands, dtype=np.uint64) * _BAND[ROWS]
     keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (_scramble(least) & np.uint32(255)).astype(np.uint8).tobytes(), keys.view(np.int64)
 
 
-def _sketches(batches):
-    for batch in batches:
-        rows: list[tuple] = []
-        for _, _, data, offsets in text_slices(batch.column(1)):
-            words, counts = word_hashes(data, offsets)
-            at = 0
-            for n in counts.tolist():
-                s = shingles(words[at:at + n])
-                at += n
-                if not len(s):
-                    rows.append((0, None, None))
-                    continue
-                rows.append((len(s), node_of(s), _signed(s)[1]))
-        cols = list(zip(*rows)) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-             pa.array(cols[2], pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "node", "bands"])
-
-
-def _sets(batches):
-    for batch in batches:
-        nodes, sigs, bands, sets = [], [], [], []
-        for _, _, data, offsets in text_slices(batch.column(0)):
-            words, counts = word_hashes(data, offsets)
-            at = 0
-            for n in counts.tolist():
-                s = shingles(words[at:at + n])
-                at += n
-                sig, keys = _signed(s)
-                nodes.append(node_of(s))
-                sigs.append(sig)
-                bands.append(keys)
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-            ["node", "sig", "bands", "set"])
+def _sketches(n_bands: int):
+    def sketch(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for _, _, data, offsets in text_slices(batch.column(1)):
+                words, counts = word_hashes(data, offsets)
+                at = 0
+                for n in counts.tolist():
+                    s = shingles(words[at:at + n])
+                    at += n
+                    if not len(s):
+                        rows.append((0, None, None))
+                        continue
+                    rows.append((len(s), node_of(s), _signed(s, n_bands)[1]))
+            cols = list(zip(*rows)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                 pa.array(cols[2], pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "node", "bands"])
+    return sketch
+
+
+def _sets(n_bands: int):
+    def full(batches):
+        for batch in batches:
+            nodes, sigs, bands, sets = [], [], [], []
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                words, counts = word_hashes(data, offsets)
+                at = 0
+                for n in counts.tolist():
+                    s = shingles(words[at:at + n])
+                    at += n
+                    sig, keys = _signed(s, n_bands)
+                    nodes.append(node_of(s))
+                    sigs.append(sig)
+                    bands.append(keys)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                ["node", "sig", "bands", "set"])
+    return full
 
 
 def least_matches(miss: float, per_cent: int = PER_CENT) -> np.ndarray:
@@ -143,7 +156,7 @@ def surviving(a: np.ndarray, b: np.ndarray, fewest: np.ndarray) -> np.ndarray:
     return alive
 
 
-def _verifier(fewest: np.ndarray):
+def _verifier(fewest: np.ndarray, per_cent: int):
     def verify(batches):
         for batch in batches:
             u, v, sig_u, sig_v, set_u, set_v = (batch.column(i) for i in range(6))
@@ -152,18 +165,18 @@ def _verifier(fewest: np.ndarray):
             for i in surviving(as_matrix(sig_u), as_matrix(sig_v), fewest).tolist() if len(u) else []:
                 x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (set_u, set_v))
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= PER_CENT * (len(x) + len(y) - common):
+                if 100 * common >= per_cent * (len(x) + len(y) - common):
                     linked.append(i)
             index = pa.array(linked, pa.int64())
             yield pa.RecordBatch.from_arrays([u.take(index), v.take(index)], ["u", "v"])
     return verify
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, fewest: np.ndarray) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, fewest: np.ndarray, per_cent: int) -> DataFrame:
     """Those of the pairs (u, v) whose full sets are similar enough."""
     side = lambda n: sets.select(F.col("node").alias(n), F.col("sig").alias(f"sig_{n}"), F.col("set").alias(f"set_{n}"))
     return (pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "sig_u", "sig_v", "set_u", "set_v")
-            .mapInArrow(_verifier(fewest), "u bigint, v bigint"))
+            .mapInArrow(_verifier(fewest, per_cent), "u bigint, v bigint"))
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
@@ -183,7 +196,7 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, a
     return out.astype(np.int64)
 
 
-def _comparer(fewest: np.ndarray):
+def _comparer(fewest: np.ndarray, per_cent: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         i, j, key = int(group["i"].iloc[0]), int(group["j"].iloc[0]), int(group["key"].iloc[0])
         sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, SIZE)
@@ -206,7 +219,7 @@ def _comparer(fewest: np.ndarray):
             size = np.array([len(x) for x in sets])
             rows, columns = np.unique(a), np.unique(b)
             common = common_counts(sets, rows, columns)[np.searchsorted(rows, a), np.searchsorted(columns, b)]
-            linked = 100 * common >= PER_CENT * (size[a] + size[b] - common)
+            linked = 100 * common >= per_cent * (size[a] + size[b] - common)
             parent = {x: x for x in set(label.tolist())}
 
             def find(x):
@@ -243,13 +256,16 @@ def components(edges: DataFrame) -> DataFrame:
         edge.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
-    """Per row: doc_id, h (hash of the text), n_shingles, component_id, kept, root (the component's node; null for empty sets)."""
+def near_duplicates(docs: DataFrame, miss: float = 1e-6, per_cent: int = PER_CENT) -> DataFrame:
+    """Per row: doc_id, h (hash of the text), n_shingles, component_id, kept, root (the component's node; null for empty sets).
+
+    Texts are linked from a similarity of per_cent / 100 on, which may be 0.80 or more.
+    """
     small_batches(docs.sparkSession)
-    fewest = least_matches(miss)
+    fewest, n_bands = least_matches(miss, per_cent), bands_for(per_cent)
     texts = docs.select("doc_id", text_column().alias("text")).withColumn("h", F.xxhash64("text"))
     sketches = written(texts.select("doc_id", "text", "h").mapInArrow(
-        _sketches, "doc_id bigint, h bigint, n_shingles bigint, node bigint, bands array<bigint>"), "sketches")
+        _sketches(n_bands), "doc_id bigint, h bigint, n_shingles bigint, node bigint, bands array<bigint>"), "sketches")
     bands = sketches.where("node IS NOT NULL").select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     members = written(bands.join(shared.select("key", "first"), "key").distinct(), "members")
@@ -259,12 +275,12 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
     chosen = (lows.join(members.select("node").distinct(), "node", "left_semi")
               .select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h")))
     sets = written(texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text")
-                   .mapInArrow(_sets, "node bigint, sig binary, bands array<bigint>, set binary").dropDuplicates(["node"]), "sets")
+                   .mapInArrow(_sets(n_bands), "node bigint, sig binary, bands array<bigint>, set binary").dropDuplicates(["node"]), "sets")
 
     stars = members.where("node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
     nearest = stars.groupBy("node").agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("best"))
     pairs = nearest.select(F.col("node").alias("u"), (-F.col("best.f")).alias("v"))
-    edges = written(_linked(pairs, sets, fewest), "links")
+    edges = written(_linked(pairs, sets, fewest, per_cent), "links")
     labels = components(edges)
 
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
@@ -275,7 +291,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6) -> DataFrame:
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .select("key", "node", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
               .join(sets, "node"))
-    more = written(blocks.groupBy("key", "i", "j").applyInPandas(_comparer(fewest), "u bigint, v bigint"), "links")
+    more = written(blocks.groupBy("key", "i", "j").applyInPandas(_comparer(fewest, per_cent), "u bigint, v bigint"), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 

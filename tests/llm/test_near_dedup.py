@@ -76,3 +76,8 @@ def test_pruning_bounds():
     fewest = N.least_matches(1e-6)
     assert len(fewest) == N.SIZE // N.BATCH and all(a < b for a, b in zip(fewest, fewest[1:]))
     assert 0.70 < fewest[-1] / N.SIZE < 0.80
+
+
+def test_bands_miss_no_more_at_other_thresholds():
+    missed = lambda per_cent: (1 - (per_cent / 100) ** N.ROWS) ** N.bands_for(per_cent)
+    assert N.bands_for(85) == N.BANDS and all(missed(p) <= missed(85) < 1e-6 for p in (80, 90, 100))

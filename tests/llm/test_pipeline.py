@@ -76,3 +76,16 @@ def test_hard_rows(spark, sf):
     assert P.identify_language(spark, none, sf).count() == 0
     for _, stage in P.STAGES[1:]:
         stage(spark, none, sf).collect()
+
+
+def test_near_stage_links_at_80(spark, sf):
+    """Copies of 100 words with a run of 0 to 11 of them replaced, so that some are of a similarity from 0.80 to 0.85."""
+    docs = []
+    for family in range(40):
+        words = [f"f{family}w{i}" for i in range(100)]
+        for k in (0, family % 12):
+            docs.append((2 * family + (k > 0), " ".join([*words[:40], *[f"x{family}y{i}" for i in range(k)], *words[40 + k:]])))
+    df = spark.createDataFrame([(d, t, "en", "a") for d, t in docs], "doc_id bigint, text string, lang string, source string")
+    kept = sorted(r.doc_id for r in P.remove_near_duplicates(spark, df, sf).collect())
+    want = {per_cent: sorted({d for d, _, _, own in test_near_dedup.brute(list(set(docs)), per_cent) if own}) for per_cent in (80, 85)}
+    assert kept == want[80] and want[80] != want[85]
