@@ -19,7 +19,7 @@ NEAR_PER_CENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language stay: null texts and texts without letters go. Ambiguous ones stay."""
+    """Null texts and texts without letters go, all others stay. A null lang becomes the predicted one, also of a close call."""
     return language.recognised(docs)
 
 

@@ -198,18 +198,28 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs.where(~held_out(4))))
 
 
-def _flags(model: Model | None):
+def _named(model: Model | None):
+    """The language of each text; without a model null for a text with letters."""
     run = _predictor(model)
 
-    def flags(text: pd.Series) -> pd.Series:
-        none = pa.nulls(len(text))
-        batch = pa.RecordBatch.from_arrays([none, pa.array([t if isinstance(t, str) else None for t in text], pa.string()), none], ["doc_id", "text", "held_out"])
+    def named(text: pd.Series) -> pd.Series:
+        texts = [t if isinstance(t, str) else None for t in text]
+        if model is None:
+            return pd.Series([None if any(map(str.isalpha, t or "")) else UNKNOWN for t in texts], dtype=object)
+        none = pa.nulls(len(texts))
+        batch = pa.RecordBatch.from_arrays([none, pa.array(texts, pa.string()), none], ["doc_id", "text", "held_out"])
         return pd.Series(next(run([batch])).column(2).to_pylist(), dtype=object)
-    return flags
+    return named
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, as they are, whose text is in some language: nothing but `und` is rejected."""
+    """The rows of `docs` with letters in their text, a null `lang` replaced by the likeliest language, close calls included.
+
+    A given `lang` stays as it is, whatever is predicted. Where no model can be fitted a null `lang` stays null.
+    """
     small_batches(docs.sparkSession)
-    predicted = F.pandas_udf(_flags(fit(docs.where(~held_out(4)))), "string")
-    return docs.where(predicted("text") != UNKNOWN)
+    # As a nondeterministic column it is computed once a row, for the filter and for `lang`.
+    predicted = F.pandas_udf(_named(fit(docs.where(~held_out(4)))), "string").asNondeterministic()
+    rows = docs.withColumn("__lang_pred", predicted("text"))
+    lang = F.coalesce(F.col("lang"), F.col("__lang_pred")).alias("lang")
+    return rows.where(F.col("__lang_pred").isNull() | (F.col("__lang_pred") != UNKNOWN)).select(*[lang if c == "lang" else c for c in docs.columns])

@@ -6,9 +6,10 @@ import test_mixing
 import test_near_dedup
 import test_token_files
 from helpers import edge_docs, empty_docs, split_words
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from gridspark.llm import catalog
+from gridspark.llm import catalog, language
 from gridspark.llm.common import written
 
 order = lambda rows: sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
@@ -89,3 +90,18 @@ def test_near_stage_links_at_80(spark, sf):
     kept = sorted(r.doc_id for r in P.remove_near_duplicates(spark, df, sf).collect())
     want = {per_cent: sorted({d for d, _, _, own in test_near_dedup.brute(list(set(docs)), per_cent) if own}) for per_cent in (80, 85)}
     assert kept == want[80] and want[80] != want[85]
+
+
+def test_language_stage_names_the_unlabelled(spark, sf):
+    """Null languages become the predicted ones; given ones stay; without any label texts with letters stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    said = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = P.identify_language(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert {r.doc_id: r for r in got.collect()} == {
+        d: Row(**{**r.asDict(), "lang": r.lang or said[d]}) for d, r in rows.items() if any(c.isalpha() for c in r.text or "")}
+    assert any(r.lang is None for r in rows.values())
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = P.identify_language(spark, bare, sf).collect()
+    assert order([(r.doc_id, r.text) for r in kept]) == order(expect_language(pairs(bare), None)) and {r.lang for r in kept} == {None}
