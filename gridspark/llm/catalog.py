@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, language, line_dedup, lm, mixing, near_dedup, oracles, secrets, token_files
+from . import (chat, decontaminate, fingerprints, language, licenses, line_dedup, lm, mixing, near_dedup, oracles, phrases, secrets, spelling,
+               token_files)
 from .common import shared_path, table, text_column
 
 END_ID = 2
@@ -75,9 +76,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_token_files, op3_lm_scores, op4_chat_formatting, op5_secret_scan, op6_language_id, op7_fingerprints,
-    op8_mixing, op9_line_dedup, op10_decontamination)}
+    op8_mixing, op9_line_dedup, op10_decontamination, op11_spelling_variants, op12_phrases, op13_license_scan)}
 ORACLES: dict[str, str] = {
     "op1_near_dedup": oracles.NEAR_DEDUP, "op4_chat_formatting": oracles.CHAT, "op8_mixing": oracles.MIXING,
     "op9_line_dedup": oracles.LINES, "op10_decontamination": oracles.DECONTAMINATION}
