@@ -134,7 +134,7 @@ class _Counted:
         self.parts, self.size = [], 0
 
 
-def _counter(n: int, frequent):
+def _counter(n: int, frequent, log_bits: int):
     """A function that counts the phrases of n words whose two parts of n - 1 words may be frequent; `frequent` is the filter."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(frequent.value, np.uint8)
@@ -152,7 +152,7 @@ def _counter(n: int, frequent):
             whole = of[:len(words) - n + 1] == of[n - 1:]
             for j in range(n):
                 whole &= words[j:len(words) - n + 1 + j] != 0
-            part = _phrase_hashes(words, salt, n - 1) & np.uint64((1 << FILTER_BITS) - 1)
+            part = _phrase_hashes(words, salt, n - 1) & np.uint64((1 << log_bits) - 1)
             known = (bits[part >> np.uint64(3)] >> (part & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
             at = np.flatnonzero(whole & known[:-1] & known[1:])
             if not len(at):
@@ -169,22 +169,24 @@ def _counter(n: int, frequent):
     return count
 
 
-def _filter_places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places in the filter of the phrases (lang, w1, ...), as words of 64 bits."""
-    for batch in batches:
-        words = [np.asarray(batch.column(c)).view(np.uint64) for c in batch.schema.names if c != "lang"]
-        h = _salt(batch.column("lang")).copy()
-        for w, t in zip(words, _TURN):
-            h += w * t
-        place = (mix(h) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-        yield pa.record_batch([pa.array(place >> 6), pa.array(place & 63)], names=["slot", "bit"])
+def _filter_places(log_bits: int):
+    """A function that gives the places in the filter of phrases (lang, w1, ...), as words of 64 bits and a bit."""
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.asarray(batch.column(c)).view(np.uint64) for c in batch.schema.names if c != "lang"]
+            h = _salt(batch.column("lang")).copy()
+            for w, t in zip(words, _TURN):
+                h += w * t
+            place = (mix(h) & np.uint64((1 << log_bits) - 1)).astype(np.int64)
+            yield pa.record_batch([pa.array(place >> 6), pa.array(place & 63)], names=["slot", "bit"])
+    return places
 
 
-def _filter_of(phrases: DataFrame, n: int) -> bytes:
-    """The bit filter of phrases of n words: at most 2^(FILTER_BITS - 6) rows come to the driver, whatever their number."""
-    places = phrases.select("lang", *_KEYS[:n]).mapInArrow(_filter_places, "slot long, bit long")
+def _filter_of(phrases: DataFrame, n: int, log_bits: int) -> bytes:
+    """The bit filter of phrases of n words: at most 2^(log_bits - 6) rows come to the driver, whatever their number."""
+    places = phrases.select("lang", *_KEYS[:n]).mapInArrow(_filter_places(log_bits), "slot long, bit long")
     slots = places.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out = np.zeros(1 << (log_bits - 6), dtype=np.int64)
     out[np.asarray(slots.column("slot").combine_chunks())] = np.asarray(slots.column("bits").combine_chunks())
     return out.tobytes()
 
@@ -206,9 +208,9 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     texts = coded.where("words IS NOT NULL").select("lang", "words")
     levels = [words.select("lang", F.col("h").alias("w1"), "f")]
     for n in range(2, longest + 1):
-        sent = spark.sparkContext.broadcast(_filter_of(levels[-1], n - 1))
+        sent = spark.sparkContext.broadcast(_filter_of(levels[-1], n - 1, FILTER_BITS))
         schema = "lang string, " + ", ".join(f"{k} bigint" for k in _KEYS[:n]) + ", f bigint"
-        some = texts.mapInArrow(_counter(n, sent), schema)
+        some = texts.mapInArrow(_counter(n, sent, FILTER_BITS), schema)
         levels.append(written(some.groupBy("lang", *_KEYS[:n]).agg(F.sum("f").alias("f")).where(F.col("f") >= least), f"phrases{n}"))
     stream = None
     for level in levels:
@@ -270,6 +272,12 @@ def merged_counts(stream: DataFrame) -> DataFrame:
     return _first_parts(both, _KEYS, "l")
 
 
+def _score(k: int, n: int) -> Column:
+    """floor(SCALE * f / (l + r)) of the cut after k of n words, in whole numbers."""
+    l, r = (f"CAST({c} AS DECIMAL(38,0))" for c in (f"l{k}", f"r{n - k}"))
+    return F.expr(f"(CAST(f AS DECIMAL(38,0)) * {SCALE}) div ({l} + {r})")
+
+
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, cover: int = COVER) -> DataFrame:
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     stream, words = phrase_counts(docs, LONGEST, least)
@@ -278,7 +286,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, cover: int
     def wide(c: Column) -> Column:
         return c.cast("decimal(38,0)")
     cuts = [F.when(F.col("length") == n, F.array(*[
-        F.struct(F.floor(wide(F.lit(SCALE) * wide(F.col("f"))) / wide(wide(F.col(f"l{k}")) + wide(F.col(f"r{n - k}")))).alias("score"),
+        F.struct(_score(k, n).alias("score"),
                  F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{n - k}").alias("r")) for k in range(1, n)]))
         for n in range(2, LONGEST + 1)]
     candidates = counted.where("length > 1").withColumn("cut", F.array_min(F.coalesce(*cuts)))
