@@ -93,4 +93,5 @@ QUERIES = {f.__name__: f for f in (
     op8_mixing, op9_line_dedup, op10_decontamination, op11_spelling_variants, op12_phrases, op13_license_scan)}
 ORACLES: dict[str, str] = {
     "op1_near_dedup": oracles.NEAR_DEDUP, "op4_chat_formatting": oracles.CHAT, "op8_mixing": oracles.MIXING,
-    "op9_line_dedup": oracles.LINES, "op10_decontamination": oracles.DECONTAMINATION}
+    "op9_line_dedup": oracles.LINES, "op10_decontamination": oracles.DECONTAMINATION,
+    "op11_spelling_variants": oracles.VARIANTS, "op12_phrases": oracles.PHRASES, "op13_license_scan": oracles.licenses_sql()}

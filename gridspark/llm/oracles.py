@@ -109,3 +109,106 @@ who AS (
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN who USING (doc_id)"""
+
+
+#: crc32 of a run of letters behind an id, from the table of the 256 single bytes; letters beyond ASCII are two bytes.
+VARIANTS = f"""
+WITH RECURSIVE ct AS (
+  SELECT list(v ORDER BY i) AS ct FROM (
+    SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOW}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (
+  SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+           string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+           lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195::BIGINT, CAST(unicode(c) - 64 AS BIGINT)] END))),
+           lambda c, b: xor(c >> 8, ct[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295::BIGINT) AS h
+  FROM runs, ct),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM cut JOIN (SELECT word AS rest FROM words) USING (rest)
+  UNION SELECT rest, word FROM cut JOIN (SELECT word AS rest FROM words) USING (rest)),
+ranked AS (
+  SELECT p.word, p.near, w.n AS near_n, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.near) AS r,
+         count(*) OVER (PARTITION BY p.word) AS n_near
+  FROM pairs p JOIN words w ON w.word = p.near),
+named AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 10 * w.n THEN r.near END AS form,
+         CASE WHEN r.near_n >= 10 * w.n THEN r.near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+path AS (
+  SELECT word, word AS at FROM named
+  UNION ALL SELECT p.word, n.form FROM path p JOIN named n ON n.word = p.at WHERE n.form IS NOT NULL)
+SELECT n.word, n.form, p.at AS root, n.n, n.n_near, n.form_n
+FROM named n JOIN path p ON p.word = n.word JOIN named e ON e.word = p.at AND e.form IS NULL"""
+
+PHRASES = f"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOW}, '[.,;:!?\\x0A-\\x0D]')) AS part FROM documents)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, p, CAST(count(*) AS BIGINT) AS f
+  FROM (SELECT lang, list_slice(w, i, i + k - 1) AS p
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k))
+  GROUP BY lang, p HAVING count(*) >= 30),
+cuts AS (
+  SELECT f.lang, f.p, f.f AS a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * f.f) // (l.f::HUGEINT + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f) f
+  JOIN f l ON l.lang = f.lang AND l.p = list_slice(f.p, 1, k) JOIN f r ON r.lang = f.lang AND r.p = list_slice(f.p, k + 1, len(f.p))),
+candidates AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+gone AS (
+  SELECT DISTINCT s.lang, s.p
+  FROM (SELECT lang, a, list_slice(p, i, i + m - 1) AS p
+        FROM (SELECT lang, p, a, m, unnest(range(1, len(p) - m + 2)) AS i FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE len(p) > m)) s
+  JOIN candidates c ON c.lang = s.lang AND c.p = s.p WHERE 100::HUGEINT * s.a >= 80::HUGEINT * c.a),
+kept AS (SELECT c.*, array_to_string(c.p, ' ') AS phrase FROM candidates c ANTI JOIN gone g ON g.lang = c.lang AND g.p = c.p)
+SELECT k.lang, CAST(row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, t.n,
+       CAST(score AS BIGINT) AS score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= 2000"""
+
+
+def licenses_sql() -> str:
+    """Every rule behind its keywords, from the same list of rules; overlaps resolved by comparing matches of one text."""
+    from .licenses import RULES, spaced
+    rules = ",\n  ".join(f"({i}, '{spaced(r.pattern)}', '{r.label}', {r.priority}, {r.confidence!r}::DOUBLE, {r.base}, {list(r.keywords)!r})"
+                         for i, r in enumerate(RULES))
+    return f"""
+WITH rules(rule, pattern, label, priority, confidence, base, keywords) AS (VALUES
+  {rules}),
+texts AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         ' ' || trim(regexp_replace({LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g'), ' ') || ' ' AS w FROM documents),
+marked AS (
+  SELECT row, r.*, regexp_replace(w, pattern, ' ' || chr(1) || '\\1' || chr(2) || ' ', 'g') AS m
+  FROM texts JOIN rules r ON len(list_filter(keywords, lambda k: contains(w, ' ' || k || ' '))) > 0),
+placed AS (
+  SELECT row, rule, label, priority, confidence, base,
+         unnest(list_filter(range(len(m)), lambda i: starts_with(m[i + 1], chr(1)))) AS first,
+         unnest(list_filter(range(len(m)), lambda i: ends_with(m[i + 1], chr(2)))) AS last
+  FROM (SELECT * REPLACE (string_split(trim(m, ' '), '  ') AS m) FROM marked WHERE contains(m, chr(1)))),
+told AS (
+  SELECT p.*, NOT EXISTS (
+    SELECT 1 FROM placed q WHERE q.row = p.row AND q.rule <> p.rule AND q.first <= p.first AND q.last >= p.last AND
+      (q.priority > p.priority OR q.priority = p.priority AND (q.last - q.first > p.last - p.first OR q.rule < p.rule))) AS kept
+  FROM placed p),
+found AS (
+  SELECT row, count(*) FILTER (WHERE base) AS n_base, CAST(min(first) FILTER (WHERE base) AS BIGINT) AS first_word,
+         CAST(max(first) FILTER (WHERE base) AS BIGINT) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base OR kept) AS labels,
+         max(confidence) FILTER (WHERE base OR kept) AS score
+  FROM told GROUP BY row)
+SELECT doc_id, CASE WHEN w = '  ' THEN 0 ELSE CAST((length(w) - length(replace(w, '  ', ' '))) + 1 AS BIGINT) END AS n_words,
+       coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0e0) AS score
+FROM texts LEFT JOIN found USING (row)"""
