@@ -311,10 +311,13 @@ def metric_curves(spark, sf):
     return M.metric_curves(history, ["loss", "val_loss"]).select("model", "epoch", "metric", *r6("value"))
 
 
-@query("d41_fit_scale_apply", with_views(DYNAMIC, body=f"""
-, s AS (SELECT avg(tmp) AS mt, stddev_pop(tmp) AS st, avg(soilm_10) AS ms, stddev_pop(soilm_10) AS ss
-        FROM fx_dynamic WHERE t < TIMESTAMP '2021-01-01')
-SELECT y, x, step, round((tmp - mt) / st, 6) AS tmp, round((soilm_10 - ms) / ss, 6) AS soilm_10 FROM fx_dynamic, s""".lstrip()))
+def _scaled_sql(feat: str) -> str:
+    """Scaled by window totals of the training rows, so that no join is left."""
+    v = f"CASE WHEN t < TIMESTAMP '2021-01-01' THEN {feat} END"
+    return f"round(({feat} - avg({v}) OVER ()) / stddev_pop({v}) OVER (), 6) AS {feat}"
+
+
+@query("d41_fit_scale_apply", with_views(DYNAMIC, body=f"SELECT y, x, step, {_scaled_sql('tmp')}, {_scaled_sql('soilm_10')} FROM fx_dynamic"))
 def fit_scale_apply(spark, sf):
     rows = fx.dynamic(spark, sf)
     feats = ["tmp", "soilm_10"]

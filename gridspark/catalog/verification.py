@@ -147,6 +147,43 @@ def efficiency_summary_constant(spark, sf):
     return out.select("feat", "n", "s_dropped", "r_dropped", *r6("s_mae_mean"), settled("s_nse_mean", 4).alias("s_nse_mean"))
 
 
+# Sequences whose mean increment is far from zero, so that KGE of increments can be compared as such.
+DRIFTED = SCORED + """,
+fx_drift AS (
+  SELECT y, x, init, step, t, feat, true_prev + 60.0e0 * (step - 1) AS true_prev, true_state + 60.0e0 * step AS true_state,
+         pred_res + 55.0e0 AS pred_res FROM fx_scored)""" + ERRORS.removeprefix(SCORED).replace("FROM fx_scored", "FROM fx_drift")
+
+
+def drifted(spark, sf):
+    step = F.col("step")
+    rows = fx.scored(spark, sf).withColumns({
+        "true_prev": F.col("true_prev") + 60 * (step - 1), "true_state": F.col("true_state") + 60 * step,
+        "pred_res": F.col("pred_res") + 55})
+    return V.error_columns(rows)
+
+
+@query("d21_sequence_efficiency_drift", with_views(DRIFTED, SEQUENCES, body="SELECT y, x, init, feat, " + ", ".join(
+    f"round({n}, 4) AS {n}" for n in _EFF) + " FROM seqs"))
+def sequence_efficiency_drift(spark, sf):
+    out = V.sequence_efficiency(drifted(spark, sf))
+    return out.select("y", "x", "init", "feat", *[settled(n, 4).alias(n) for n in _EFF])
+
+
+@query("d22_efficiency_summary_drift", with_views(DRIFTED, SEQUENCES, body="SELECT feat, count(*) AS n, " + ", ".join(
+    f"round(avg({n}), 4) AS {n}_mean, round(var_pop({n}), 4) AS {n}_var" for n in _EFF) + " FROM seqs GROUP BY 1"))
+def efficiency_summary_drift(spark, sf):
+    out = V.efficiency_summary(V.sequence_efficiency(drifted(spark, sf)))
+    return out.select("feat", "n", *[settled(f"{n}_{s}", 4).alias(f"{n}_{s}") for n in _EFF for s in ("mean", "var")])
+
+
+@query("d24_grid_error_stats_drift", with_views(DRIFTED, body=f"""
+SELECT init, y, x, feat, round({_EFF['s_kge']}, 4) AS state_kge, round({_EFF['r_kge']}, 4) AS res_kge,
+  round({_EFF['r_cc']}, 4) AS res_pearson FROM fx_err GROUP BY init, y, x, feat"""))
+def grid_error_stats_drift(spark, sf):
+    return V.grid_error_stats(drifted(spark, sf)).select(
+        "init", "y", "x", "feat", *[settled(c, 4).alias(c) for c in ("state_kge", "res_kge", "res_pearson")])
+
+
 def _axes_sql(label, keys):
     cols = ", ".join((k if k in keys else f"CAST(NULL AS INT) AS {k}") for k in ("init", "y", "x", "step"))
     return (f"SELECT '{label}' AS kept, {cols}, feat, count(*) AS n_e, round(avg(err_state), 5) AS mean_e, "

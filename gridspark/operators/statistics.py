@@ -117,26 +117,55 @@ def all_zero_rows(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 # --- period frames --------------------------------------------------------------------------------
 
-def period_frames(df: DataFrame, n: int, feats: Sequence[str], sum_feats: Sequence[str] = vocab.SUM_FEATS,
-                  keys: Sequence[str] = PIXEL, step: str = "step", t: str = "t", keep_incomplete: bool = False
-                  ) -> DataFrame:
-    """Per pixel and period of n steps: mean, min, max, std, and the sum of fluxes or last - first of states.
+FRAME_METRICS = ("mean", "min", "max", "std", "sum_or_diff")
+#: Steps whose occurrence one 64-bit mask holds, and the most masks kept side by side.
+MASK_STEPS, MASKS = 63, 16
 
-    Only periods that hold each step exactly once, unless `keep_incomplete`.
+
+def each_step_seen(step: str, n: int) -> list[Column]:
+    """Aggregates that tell which of a period's n steps occur, as bit masks `_seen0`, `_seen1`, ...; see `steps_seen`.
+
+    Masks are plain buffers of a hash aggregate. Periods of over a thousand steps keep a set instead.
     """
-    aggs = []
+    if n > MASK_STEPS * MASKS:
+        return [F.collect_set(step).alias("_seen")]
+    place = F.pmod(F.col(step), F.lit(n)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(MASK_STEPS)))
+    return [F.bit_or(F.when(F.floor(place / F.lit(MASK_STEPS)) == i, bit)).alias(f"_seen{i}") for i in range(-(-n // MASK_STEPS))]
+
+
+def steps_seen(n: int) -> Column:
+    """Number of different steps that `each_step_seen` has found."""
+    if n > MASK_STEPS * MASKS:
+        return F.size("_seen")
+    counts = [F.coalesce(F.bit_count(f"_seen{i}"), F.lit(0)) for i in range(-(-n // MASK_STEPS))]
+    return sum(counts[1:], counts[0])
+
+
+def frame_aggregates(feats: Sequence[str], sum_feats: Sequence[str], step: str, t: str) -> list[Column]:
+    """Size, span and, for each feature, mean, min, max, std and the sum of a flux or last - first of a state."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(t).alias("t_start"), F.max(t).alias("t_end")]
     for f in feats:
         v = F.col(f).cast("double")
         total = F.sum(v) if f in sum_feats else F.max_by(v, F.col(step)) - F.min_by(v, F.col(step))
         aggs += [F.avg(v).alias(f"{f}__mean"), F.min(v).alias(f"{f}__min"), F.max(v).alias(f"{f}__max"),
                  F.stddev_pop(v).alias(f"{f}__std"), total.alias(f"{f}__sum_or_diff")]
+    return aggs
+
+
+def period_frames(df: DataFrame, n: int, feats: Sequence[str], sum_feats: Sequence[str] = vocab.SUM_FEATS,
+                  keys: Sequence[str] = PIXEL, step: str = "step", t: str = "t", keep_incomplete: bool = False
+                  ) -> DataFrame:
+    """Per pixel and period of n steps: mean, min, max, std, and the sum of fluxes or last - first of states.
+
+    Only periods that hold each step exactly once, unless `keep_incomplete`.
+    """
+    masks = [] if keep_incomplete else each_step_seen(step, n)
     grouped = df.withColumn("period", F.floor(F.col(step) / F.lit(n))).groupBy(*keys, "period").agg(
-        F.count(F.lit(1)).alias("n"), F.min(t).alias("t_start"), F.max(t).alias("t_end"),
-        *([] if keep_incomplete else [F.size(F.collect_set(step)).alias("_steps")]), *aggs)
+        *frame_aggregates(feats, sum_feats, step, t), *masks)
     if not keep_incomplete:
-        grouped = grouped.where((F.col("n") == n) & (F.col("_steps") == n)).drop("_steps")
-    return _long(grouped, [*keys, "period", "t_start", "t_end", "n"], feats,
-                 ["mean", "min", "max", "std", "sum_or_diff"])
+        grouped = grouped.where((F.col("n") == n) & (steps_seen(n) == n))
+    return _long(grouped, [*keys, "period", "t_start", "t_end", "n"], feats, FRAME_METRICS)
 
 
 def frame_bounds(frames: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .. import PIXEL
 from ..functions.expressions import minmax_scale
+from ..session import cut_lineage
 
 
 def period_table(frames: DataFrame, pairs: Sequence[tuple[str, str]], pixels: DataFrame | None = None,
@@ -41,10 +42,12 @@ def raster_rows(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Dense grid rows for each group: one array over x per y, null where there is no pixel.
 
     The box spans all pixels. A grid row is gathered as a map of its pixels, so nothing larger than one row
-    of the grid meets in one place; rows without any pixel come from the row range of the box.
+    of the grid meets in one place. The rows are written once to the shared folder, from where the box, the groups and the
+    cells are read; `df` is read once.
     """
-    box = df.agg(F.struct(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).alias("box"))
-    rows = df.groupBy(*by, "y").agg(F.map_from_entries(F.collect_list(F.struct("x", value))).alias("_m"))
+    rows = cut_lineage(df.groupBy(*by, "y").agg(
+        F.map_from_entries(F.collect_list(F.struct("x", value))).alias("_m"), F.min("x").alias("_lo"), F.max("x").alias("_hi")))
+    box = rows.agg(F.struct(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("_lo").alias("x0"), F.max("_hi").alias("x1")).alias("box"))
     frame = rows.select(*by).distinct().withColumn("_box", box.scalar()).select(
         *by, F.sequence("_box.x0", "_box.x1").alias("_x"), F.explode(F.sequence("_box.y0", "_box.y1")).alias("y"))
     cells = F.transform("_x", lambda x: F.try_element_at(F.col("_m"), x))
