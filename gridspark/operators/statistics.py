@@ -165,6 +165,11 @@ def period_frames(df: DataFrame, n: int, feats: Sequence[str], sum_feats: Sequen
         *frame_aggregates(feats, sum_feats, step, t), *masks)
     if not keep_incomplete:
         grouped = grouped.where((F.col("n") == n) & (steps_seen(n) == n))
+    return long_frames(grouped, feats, keys)
+
+
+def long_frames(grouped: DataFrame, feats: Sequence[str], keys: Sequence[str] = PIXEL) -> DataFrame:
+    """Frames with features side by side, one row per feature."""
     return _long(grouped, [*keys, "period", "t_start", "t_end", "n"], feats, FRAME_METRICS)
 
 

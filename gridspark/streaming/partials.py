@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,16 +42,22 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return df.where(F.col("batch") == newest.scalar()).drop("batch")
 
 
+def write_batches(rows: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = True,
+                  mode: str = "append") -> StreamingQuery:
+    """Store `work` of every micro-batch in a folder of its own; a replayed batch overwrites itself."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+    writer = rows.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def stream_merge(scored_stream: DataFrame, moments: Partials, path: str, checkpoint: str, once: bool = True
                  ) -> StreamingQuery:
     """Store the partials of every micro-batch in its own folder; a replayed batch overwrites itself.
 
     The stream keeps no state: `merged_partials` adds up what is stored.
     """
-    def save(batch: DataFrame, batch_id: int) -> None:
-        moments.partial(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
-    writer = scored_stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return write_batches(scored_stream, moments.partial, path, checkpoint, once)
 
 
 def merged_partials(spark: SparkSession, path: str, moments: Partials) -> DataFrame:
