@@ -137,6 +137,23 @@ def cut_samples(df: DataFrame, starts: DataFrame, spec: SampleSpec, keys: Sequen
     return rows.join(chosen, [*keys, "sample"]).withColumn("pos", (s - F.col("start")).cast("int"))
 
 
+def cut_all_samples(df: DataFrame, spec: SampleSpec, keys: Sequence[str] = PIXEL, step: str = "step") -> DataFrame:
+    """`cut_samples` of all starts, without a list of them.
+
+    A row finds its samples by arithmetic, and the pixel's length tells which of them end inside the series. Both the length and
+    its join keep the pixel, so that a table laid out by pixel needs no exchange; on other tables adaptive execution splits a hot
+    pixel in the join.
+    """
+    lengths = df.groupBy(*keys).agg((F.max(step) + 1).alias("_len"))
+    s, off = F.col(step), _offset(spec, keys)
+    room = _floor_div(F.col("_len") - F.lit(spec.length + spec.max_offset), spec.separation)
+    lo = F.greatest(F.lit(0), F.ceil((s - off - F.lit(spec.length - 1)) / F.lit(spec.separation)))
+    hi = F.least(_floor_div(s - off, spec.separation), room - 1)
+    rows = _explode_range(df.join(lengths, list(keys)), lo, hi, "sample").drop("_len")
+    start = (F.col("sample") * spec.separation + off).cast("bigint")
+    return rows.withColumn("start", start).withColumn("pos", (s - F.col("start")).cast("int"))
+
+
 def to_arrays(rows: DataFrame, spec: SampleSpec, by: Sequence[str], static: DataFrame | None = None,
               static_keys: Sequence[str] = PIXEL, t: str = "t") -> DataFrame:
     """One row per sample with ordered window, horizon, pred and time arrays.
@@ -166,9 +183,17 @@ def to_arrays(rows: DataFrame, spec: SampleSpec, by: Sequence[str], static: Data
 
 
 def make_samples(df: DataFrame, static: DataFrame, spec: SampleSpec, keys: Sequence[str] = PIXEL, step: str = "step",
-                 limit: tuple[Sequence[str], int] | None = None) -> DataFrame:
-    """Array-form samples of all pixels in `static`; `limit` = (block columns, k) keeps k samples per block."""
+                 limit: tuple[Sequence[str], int] | None = None, in_place: bool = False) -> DataFrame:
+    """Array-form samples of all pixels in `static`; `limit` = (block columns, k) keeps k samples per block.
+
+    `in_place` takes all samples without listing starts, for tables laid out by pixel (`sources.layout`).
+    """
     from .selection import limit_per_block
+    if in_place:
+        if limit is not None:
+            raise ValueError("a limit needs the list of starts")
+        rows = cut_all_samples(df.join(static.select(*keys), list(keys), "left_semi"), spec, keys, step)
+        return to_arrays(rows, spec, [*keys, "sample"], static, keys)
     starts = sample_starts(df, spec, keys, step).join(static.select(*keys), list(keys), "left_semi")
     if limit is not None:
         block, k = limit
