@@ -6,7 +6,7 @@ from .registry import CHECKS, QUERIES, Query
 
 
 def _load() -> None:
-    from . import coarse, derived, gaps, layouts, relations, samples, scoring, sources, statistics, streams, verification  # noqa: F401
+    from . import coarse, derived, gaps, layouts, relations, samples, scoring, sources, statistics, streams, user_states, verification  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
