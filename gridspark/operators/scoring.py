@@ -138,25 +138,31 @@ def coarsened(factory: Factory, c: int, how: str = "mean") -> Factory:
 
 
 def scored_long(scored: DataFrame, keys: Sequence[str], feats: Sequence[str], window: int, inputs: Sequence[str] = (),
-                coarseness: int = 1) -> DataFrame:
+                coarseness: int = 1, reduce: str = "mean") -> DataFrame:
     """(keys, step, t, feat, true_prev, true_state, pred_res) rows of scored samples that carry `pred` and `time`.
 
     Label i + 1 is the state after step i; label 0 is the last observed one. `inputs` are features of the carried `horizon`
     that go along with their step. With a coarseness c, predicted step k spans the fine steps up to c * k: labels are the
-    states at its ends, its time is that of its last fine step, and inputs are means over it.
+    states at its ends, its time is that of its last fine step, and inputs are reduced over it (mean, min or max).
     """
+    if reduce not in ("mean", "min", "max"):
+        raise ValueError("reduce must be mean, min or max")
     n, c = F.size("pred_res"), coarseness
     def every(column, first):
         if c == 1:
             return F.slice(column, F.lit(first + 1), n)
         return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(F.col(column), k * c + first))
-    def mean(k, f):
-        return F.aggregate(F.slice("horizon", k * c + 1, c), F.lit(0.0), lambda a, h: a + h[f].cast("double")) / c
+    def over(k, f):
+        fine = F.slice("horizon", k * c + 1, c)
+        if reduce == "mean":
+            return F.aggregate(fine, F.lit(0.0), lambda a, h: a + h[f].cast("double")) / c
+        pick = F.array_min if reduce == "min" else F.array_max
+        return pick(F.transform(fine, lambda h: h[f].cast("double")))
     ahead = []
     if inputs and c == 1:
         ahead = [F.slice("horizon", F.lit(1), n).alias("h")]
     elif inputs:
-        ahead = [F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(*[mean(k, f).alias(f) for f in inputs])).alias("h")]
+        ahead = [F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(*[over(k, f).alias(f) for f in inputs])).alias("h")]
     rows = F.arrays_zip(F.col("pred_res").alias("p"), every("pred", 0).alias("a"), every("pred", c).alias("b"),
                         every("time", window + c - 1).alias("t"), *ahead)
     steps = scored.select(*keys, F.posexplode(rows).alias("_k", "_r"))

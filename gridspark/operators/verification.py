@@ -105,15 +105,16 @@ class Tally:
         sums = [F.sum(F.col(m).cast("double")).alias(f"sum_{m}") for m in self.measures]
         return self.prepare(df).groupBy(*self.keys).agg(*sums, F.count(F.lit(1)).alias("n"))
 
-    def merge(self, *partials: DataFrame) -> DataFrame:
+    def merge(self, *partials: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+        """Add partials; `by` may name fewer keys than they have."""
         sums = [F.sum(f"sum_{m}").alias(f"sum_{m}") for m in self.measures]
-        return reduce(DataFrame.unionByName, partials).groupBy(*self.keys).agg(*sums, F.sum("n").alias("n"))
+        return reduce(DataFrame.unionByName, partials).groupBy(*(self.keys if by is None else by)).agg(*sums, F.sum("n").alias("n"))
 
     def finish(self, partials: DataFrame) -> DataFrame:
         return partials.withColumns({f"mean_{m}": E.ratio(f"sum_{m}", "n") for m in self.measures})
 
 
-def time_tally(t: str = "t", horizon_limit: int | None = None, absolute: bool = False) -> Tally:
+def time_tally(t: str = "t", horizon_limit: int | None = None, absolute: bool = False, by: Sequence[str] = ()) -> Tally:
     """`error_by_time` as partials: each row counts once for its hour and once for its day."""
     shape = F.abs if absolute else (lambda c: c)
 
@@ -121,9 +122,9 @@ def time_tally(t: str = "t", horizon_limit: int | None = None, absolute: bool =
         rows = errors if horizon_limit is None else errors.where(F.col("step") <= horizon_limit)
         axes = F.array(F.struct(F.lit("hour").alias("axis"), E.hour_of_day(t).alias("bin")),
                        F.struct(F.lit("day").alias("axis"), E.day_of_year(t).alias("bin")))
-        return rows.select("feat", shape(F.col("err_state")).alias("state"), shape(F.col("err_res")).alias("res"),
-                           F.explode(axes).alias("_a")).select("_a.*", "feat", "state", "res")
-    return Tally(("axis", "bin", "feat"), ("state", "res"), prepare)
+        return rows.select(*by, "feat", shape(F.col("err_state")).alias("state"), shape(F.col("err_res")).alias("res"),
+                           F.explode(axes).alias("_a")).select(*by, "_a.*", "feat", "state", "res")
+    return Tally((*by, "axis", "bin", "feat"), ("state", "res"), prepare)
 
 
 def histogram_tally(ax1: Axis, ax2: Axis, covariate: str | None = None, by: Sequence[str] = ()) -> Tally:

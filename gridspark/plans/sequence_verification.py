@@ -14,21 +14,23 @@ from ..operators import selection as Q
 from ..operators.verification import error_columns
 from ..session import cut_lineage
 from .evaluators import Evaluation, evaluate
+from .store import Store
 
 
 def score(samples: DataFrame, factory: C.Factory, spec: S.SampleSpec, by: Sequence[str],
           scaling: C.Scaling = C.Scaling(), inputs: Sequence[str] = (), coarseness: int = 1,
-          convert: str | None = None, params: DataFrame | None = None, keys: Sequence[str] = PIXEL) -> DataFrame:
+          convert: str | None = None, params: DataFrame | None = None, keys: Sequence[str] = PIXEL,
+          reduce_inputs: str = "mean") -> DataFrame:
     """Scored long rows of array samples with their error columns.
 
     `inputs` are horizon features that evaluators read next to the errors. `coarseness` is the number of steps that one
-    predicted step spans. `convert` (rsm_to_soilm or soilm_to_rsm) changes the unit of labels and predictions with the
+    predicted step spans; inputs are reduced over them by `reduce_inputs` (mean, min or max). `convert` (rsm_to_soilm or soilm_to_rsm) changes the unit of labels and predictions with the
     porosity and wilting point of `params`.
     """
     parts = C.Parts(spec.window_feats, spec.horizon_feats, spec.pred_feats, spec.static_feats)
     carry = ["pred", "time"] + (["horizon"] if inputs else [])
     scored = C.score_samples(samples, factory, by, parts, scaling, carry=carry)
-    rows = C.scored_long(scored, by, spec.pred_feats, spec.window, inputs, coarseness)
+    rows = C.scored_long(scored, by, spec.pred_feats, spec.window, inputs, coarseness, reduce_inputs)
     if convert is not None:
         rows = convert_scored(rows, params, convert, spec.pred_feats, keys)
     return error_columns(rows, by)
@@ -39,8 +41,8 @@ def verify_sequences(dynamic: DataFrame, static: DataFrame, spec: S.SampleSpec,
                      limit: tuple[Sequence[str], int] | None = None, conditions: dict[str, Sequence[str]] | None = None,
                      static_conditions: Sequence[str] = ("m_valid",), inputs: Sequence[str] = (),
                      keys: Sequence[str] = PIXEL, reuse: bool = True, coarseness: int = 1, convert: str | None = None,
-                     **setup) -> dict[str, DataFrame]:
-    """Samples -> scores -> evaluators.
+                     reduce_inputs: str = "mean", store: Store | None = None, **setup) -> dict[str, DataFrame]:
+    """Samples -> scores -> evaluators, with `store` also kept; then the results are those that were stored.
 
     Static conditions are met before any dynamic row is read; sample conditions before scoring. With
     `reuse`, the scored rows are written once to the checkpoint folder and every evaluator reads them there. A unit
@@ -51,7 +53,8 @@ def verify_sequences(dynamic: DataFrame, static: DataFrame, spec: S.SampleSpec,
     if conditions:
         samples = Q.filter_samples(samples, **conditions)
     by = [*keys, "sample"]
-    errors = score(samples, factory, spec, by, scaling, inputs, coarseness, convert, static, keys)
+    errors = score(samples, factory, spec, by, scaling, inputs, coarseness, convert, static, keys, reduce_inputs)
     if reuse:
         errors = cut_lineage(errors)
-    return evaluate(errors, evaluators, Evaluation(static, feat, by, coarseness=coarseness, **setup))
+    results = evaluate(errors, evaluators, Evaluation(static, feat, by, coarseness=coarseness, keys=keys, **setup))
+    return results if store is None else store.keep(results, feat)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A sample is some 50 kB, so batches of the default 10,000 rows would take half a gigabyte.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
@@ -36,7 +38,7 @@ def configure(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, fallback_dir: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write `df` as a Parquet table to the shared folder, so that lost executors do not recompute it.
 
     Columnar, so each reader takes the columns it needs. The folder the cluster names in `spark.checkpoint.dir` is used;
@@ -47,5 +49,5 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     if folder is None:
         raise ValueError("set spark.checkpoint.dir or pass fallback_dir")
     path = f"{folder.rstrip('/')}/gridspark/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
