@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import PIXEL
+from ..functions.expressions import ratio
 from ..operators import presets, verification
 from ..operators.verification import SAMPLE, Axis, Moments, Tally
 
@@ -117,13 +118,14 @@ def mergeable(name: str, setup: Evaluation, by: str) -> Mergeable | None:
     else:
         return None
     tally = verification.histogram_tally(h.ax1, h.ax2, h.covariate, [by])
+    if not h.covariate:
+        return Mergeable(tally, lambda rows: _histogram_rows(rows, h, setup), lambda p: p)
+    # The mean is over rows with a covariate, so these are counted too.
+    told = Tally(tally.keys, ("cov", "has"), lambda rows: tally.prepare(rows).withColumn("has", F.col("cov").isNotNull().cast("int")))
 
     def result(p: DataFrame) -> DataFrame:
-        if not h.covariate:
-            return p
-        # Cells whose covariate is always null have no sum and no mean, as in `joint_histogram`.
-        return p.withColumnRenamed("sum_cov", "cov_sum")
-    return Mergeable(tally, lambda rows: _histogram_rows(rows, h, setup), result)
+        return p.select(*[k for k in tally.keys if k in p.columns], "n", F.col("sum_cov").alias("cov_sum"), ratio("sum_cov", "sum_has").alias("cov_mean"))
+    return Mergeable(told, lambda rows: _histogram_rows(rows, h, setup), result)
 
 
 def evaluate_parts(errors: DataFrame, names: Sequence[str], setup: Evaluation, by: str, parts: Sequence[str], total: str = "all",
