@@ -23,12 +23,11 @@ def expect_language(rows, items):
 def expect_near(rows, items):
     """Components of all rows; of each the row of the smallest id, then of the smallest hash, stays."""
     rows = list({(d, t or "") for d, t in rows})
-    return {d for d, _, _, kept in test_near_dedup.brute(rows) if kept}
+    return {d for d, _, _, kept in test_near_dedup.brute(rows, P.NEAR_PER_CENT) if kept}
 
 
 def expect_clean(rows, items):
-    long = [(i, t) for i, t in items if len(test_decontaminate.WORD.findall(t or "")) >= P.LEAST_PASSAGE]
-    return [r for r, b in zip(rows, test_decontaminate.brute(rows, long)) if not b[-1]]
+    return [r for r, b in zip(rows, test_decontaminate.brute(rows, items)) if not b[-1]]
 
 
 def expect_mix(rows):
@@ -105,3 +104,13 @@ def test_language_stage_names_the_unlabelled(spark, sf):
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     kept = P.identify_language(spark, bare, sf).collect()
     assert order([(r.doc_id, r.text) for r in kept]) == order(expect_language(pairs(bare), None)) and {r.lang for r in kept} == {None}
+
+
+def test_short_items_count(spark, tmp_path):
+    """Items of one to four words remove documents, as the operator decides; a null item and one without words remove none."""
+    items = [(1, "zebra"), (2, "one two"), (3, None), (4, "?!"), (5, "a b c d")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["a Zebra runs", "one, two", "two one", "a b c", "x a b c d y", None, "", "a b c d"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    kept = sorted(r.doc_id for r in P.remove_benchmark_passages(spark, docs, str(tmp_path)).collect())
+    assert kept == [2, 3, 5, 6]
