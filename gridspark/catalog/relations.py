@@ -8,6 +8,7 @@ from .. import fixtures as fx
 from ..functions import expressions as E
 from ..operators import integrity as N
 from ..operators import joins as J
+from ..operators import nearest
 from ..operators import selection as Q
 from ..operators import verification as V
 from ..operators.merging import information_measures
@@ -169,6 +170,17 @@ def nearest_pixel(spark, sf):
     return Q.nearest_pixel(fx.static(spark, sf), (25.55, -124.3)).select("y", "x", *r6("dist"))
 
 
+@query("f3_nearest_pixels", with_views(STATIC, body="""
+, points AS (SELECT c_custkey, 24.5e0 + (c_custkey * 7919 % 10007) / 1000.0e0 AS lat, -125.5e0 + (c_custkey * 104729 % 10009) / 5000.0e0 AS lon FROM customer),
+d AS (SELECT c_custkey, y, x, sqrt((s.lat - p.lat) * (s.lat - p.lat) + (s.lon - p.lon) * (s.lon - p.lon)) AS dist FROM points p, fx_static s)
+SELECT c_custkey, y, x, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist, y, x) = 1""".lstrip()))
+def nearest_pixels(spark, sf):
+    """The nearest pixel of each customer's place."""
+    points = fx.table(spark, sf, "customer").selectExpr(
+        "c_custkey", "24.5D + (c_custkey * 7919 % 10007) / 1000.0D AS lat", "-125.5D + (c_custkey * 104729 % 10009) / 5000.0D AS lon")
+    return nearest.nearest_pixels(fx.static(spark, sf), points).select("c_custkey", "y", "x", *r6("dist"))
+
+
 @query("f4_top_class_combos", with_views(STATIC, body="""
 SELECT int_veg, int_soil, count(*) AS n FROM fx_static GROUP BY 1, 2 ORDER BY n DESC, int_veg, int_soil LIMIT 8"""))
 def top_class_combos(spark, sf):

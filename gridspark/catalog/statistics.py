@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from .. import vocab
+from ..functions import expressions as E
 from ..functions import features as X
 from ..functions import lookups as L
 from ..operators import joins as J
 from ..operators import merging as M
+from ..operators import sketches as K
 from ..operators import statistics as ST
 from ..operators.integrity import union_tiles
 from ..operators.selection import valid_pixels
@@ -279,6 +281,36 @@ def range_histogram(spark, sf):
     return ST.range_histogram(fx.errors(spark, sf), "true_res", "pred_res", 256)
 
 
+@query("d8_quantile_bounds", with_views(DYNAMIC, long_sql(["tmp", "apcp", "soilm_10"]), body="""
+
+SELECT feat, count(*) AS n, round(min(v), 6) AS lo, round(max(v), 6) AS hi, TRUE AS near FROM lf GROUP BY feat"""))
+def quantile_bounds(spark, sf):
+    """Ends and number of values from sketches of four tiles; `near` says that the quantiles are within the stated rank error."""
+    feats = ["tmp", "apcp", "soilm_10"]
+    rows = fx.dynamic(spark, sf).withColumn("tile", F.col("x") % 4)
+    sketches = K.merge_sketches(K.quantile_sketches(rows, feats, ["tile"]).drop("tile"))
+    shares = [0.01, 0.25, 0.5, 0.9, 0.99]
+    found = K.quantiles(sketches, {"lo": 0.0, "hi": 1.0, **{f"q{i}": q for i, q in enumerate(shares)}})
+    one = F.array(*[F.struct(F.lit(f).alias("feat"), F.col(f).cast("double").alias("v")) for f in feats])
+    long = rows.select(F.explode(one).alias("_e")).select("_e.*").join(F.broadcast(found), "feat")
+    ranks = long.groupBy("feat").agg(F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), *[
+        c for i in range(len(shares)) for c in (F.avg((F.col("v") < F.col(f"q{i}")).cast("int")).alias(f"b{i}"),
+                                                F.avg((F.col("v") <= F.col(f"q{i}")).cast("int")).alias(f"u{i}"))])
+    near = E.all_of([(F.col(f"b{i}") <= q + K.rank_error()) & (F.col(f"u{i}") >= q - K.rank_error()) for i, q in enumerate(shares)])
+    return ranks.select("feat", "n", *r6("lo", "hi"), near.alias("near"))
+
+
+@query("d3_gridhist_proposed", with_views(DYNAMIC, long_sql(["tmp", "soilm_10"]), body="""
+, b AS (SELECT feat, min(v) AS lo, max(v) AS hi FROM lf GROUP BY feat)
+SELECT feat, CAST(least(floor((v - lo) / (hi - lo) * 32), 31) AS INT) AS bin, count(*) AS n, CAST(0 AS BIGINT) AS n_under, CAST(0 AS BIGINT) AS n_over
+FROM lf JOIN b USING (feat) GROUP BY 1, 2""".lstrip()))
+def gridhist_proposed(spark, sf):
+    """Exact counts within bounds that one pass of sketches proposes, here those of all values."""
+    rows = fx.dynamic(spark, sf)
+    bounds = K.proposed_bounds(K.quantile_sketches(rows, ["tmp", "soilm_10"]), 0.0)
+    return K.counts_within(rows, bounds, 32)
+
+
 @query("d39_linear_fit", """
 SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
