@@ -12,10 +12,10 @@ Rows keep their columns; those added replace columns of the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column, written
+from .common import bound, text_column, written
 
 SITES = 10
 #: log2 of a sketch's registers; its standard error is 1.04 / sqrt(2^LOG_K), and six of them make the band that is counted.
@@ -35,6 +35,17 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return sure.unionByName(counted)
 
 
+def without(parts: Column, gone: Column) -> Column:
+    """The array without the places in `gone`, which is sorted: the runs between them, put together, each element copied once."""
+    def runs(p: Column, g: Column) -> Column:
+        def run(k: Column) -> Column:
+            after = F.when(k == 0, F.lit(-1)).otherwise(F.get(g, k - 1))
+            upto = F.when(k == F.size(g), F.size(p)).otherwise(F.get(g, k))
+            return F.slice(p, after + 2, upto - after - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(g)), run))
+    return bound(parts, lambda p: bound(gone, lambda g: runs(p, g)))
+
+
 def dedup_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """Every row of `docs` with its cleaned text in `text`, and n_lines and n_removed."""
     rows = docs.withColumn("__line_text", text_column()).withColumn("__line_key", F.xxhash64("doc_id", site, "__line_text"))
@@ -48,9 +59,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> Da
             .groupBy(F.col("key").alias("__line_of")).agg(F.collect_set("place").alias("__line_gone")))
     joined = rows.join(gone, F.col("__line_key") == F.col("__line_of"), "left")
     parts = F.split("__line_text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("__line_gone", i))
     hit = F.col("__line_gone").isNotNull()
     return (joined.withColumn("n_lines", F.size(parts).cast("bigint"))
             .withColumn("n_removed", F.when(hit, F.size("__line_gone")).otherwise(F.lit(0)).cast("bigint"))
-            .withColumn("text", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("__line_text")))
+            .withColumn("text", F.when(hit, F.array_join(without(parts, F.array_sort("__line_gone")), "\n")).otherwise(F.col("__line_text")))
             .drop("__line_text", "__line_key", "__line_of", "__line_gone"))

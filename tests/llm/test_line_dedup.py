@@ -1,4 +1,5 @@
 import re
+import time
 
 from helpers import edge_docs, empty_docs
 from pyspark.sql import functions as F
@@ -41,3 +42,20 @@ def test_edges(spark):
     assert sorted(((r.source, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=key) == sorted(want, key=key)
     assert D.dedup_lines(empty_docs(spark)).count() == 0
     assert D.dedup_lines(docs.limit(0).withColumn("source", F.lit("x"))).count() == 0
+
+
+def test_many_lines_in_one_document(spark):
+    """Work is linear in a document's lines: 200,000 of them on ten sites, common ones and own ones mixed."""
+    text = "\n".join(f"common {i % 50}" if i % 3 else f"own {i}" for i in range(200000))
+    rows = [(f"s{i}", text.replace("own", f"own {i}") if i % 2 else text) for i in range(10)]
+    docs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id bigint, source string, text string")
+    t = time.perf_counter()
+    got = sorted((r.source, r.text, r.n_lines, r.n_removed) for r in D.dedup_lines(docs).collect())
+    assert time.perf_counter() - t < 120
+    assert got == sorted((a, c, d, e) for a, _, c, d, e in brute(rows, 10))
+
+
+def test_places_left_out(spark):
+    for n, gone in ((0, []), (1, []), (1, [0]), (5, [0, 4]), (5, [1, 2, 3]), (6, [0, 1, 2, 3, 4, 5]), (7, [3])):
+        df = spark.createDataFrame([([str(i) for i in range(n)], gone)], "p array<string>, g array<int>")
+        assert df.select(D.without(F.col("p"), F.col("g"))).first()[0] == [str(i) for i in range(n) if i not in gone]
