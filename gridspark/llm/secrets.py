@@ -23,7 +23,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_column
+from .common import ascii_lower, bound, text_column
 
 
 @dataclass(frozen=True)
@@ -149,25 +149,46 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             .where("n = factors").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds")))
 
 
+#: Elements whose sum is taken one by one; sums of such blocks are taken the same way, twice.
+BLOCK = 64
+
+
+def sums_before(values: Column, levels: int = 3) -> Column:
+    """For each element of a long array the sum of those before it, by sums of blocks: linear in the array but for its length / BLOCK^2."""
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0).cast("bigint"), lambda acc, y: acc + y)
+
+    def one_by_one(v: Column) -> Column:
+        return F.transform(v, lambda _, i: total(F.slice(v, F.lit(1), i)))
+
+    def by_blocks(v: Column) -> Column:
+        count = F.ceil(F.size(v) / F.lit(BLOCK)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: total(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+        return bound(sums_before(blocks, levels - 1), lambda done: F.transform(v, lambda _, i: F.get(done, F.floor(i / F.lit(BLOCK)).cast("int")) + total(
+            F.slice(v, F.floor(i / F.lit(BLOCK)).cast("int") * BLOCK + 1, F.pmod(i, F.lit(BLOCK))))))
+    return bound(values, lambda v: F.when(F.size(v) <= BLOCK, one_by_one(v)).otherwise(by_blocks(v)) if levels > 1 else one_by_one(v))
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans (start, order, kind, end) of a rule in a text: the lengths of matches and of the gaps between them add up."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     gaps = F.split(text, rule.pattern, -1)
-    lengths = F.zip_with(F.zip_with(gaps, whole, lambda g, w: F.struct(F.length(g).alias("gap"), F.length(w).alias("match"))),
-                         tested, lambda s, x: F.struct(s["gap"].alias("gap"), s["match"].alias("match"), F.length(x).alias("test")))
-    span = "struct<start:int,ord:int,kind:string,stop:int>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        stop = start + F.coalesce(x["match"], F.lit(0))
-        one = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), stop.alias("stop")).cast(span)
-        return F.struct(stop.alias("at"), F.when(x["test"] >= max(rule.least, 1), F.array_append(acc["spans"], one))
-                        .otherwise(acc["spans"]).alias("spans"))
-    found = F.aggregate(lengths, begin, step, lambda acc: acc["spans"])
-    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast(f"array<{span}>"))
+    # The last gap has no match behind it.
+    lengths = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), whole, lambda g, w: F.struct(
+        F.length(g).cast("bigint").alias("gap"), F.length(w).cast("bigint").alias("match"))),
+        tested, lambda s, x: F.struct(s["gap"].alias("gap"), s["match"].alias("match"), F.length(x).alias("test")))
+
+    def placed(found: Column) -> Column:
+        before = sums_before(F.transform(found, lambda x: x["gap"] + x["match"]))
+        spans = F.zip_with(found, before, lambda x, b: F.struct(
+            (b + x["gap"]).cast("int").alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"),
+            (b + x["gap"] + x["match"]).cast("int").alias("stop"), x["test"].alias("test")))
+        return F.transform(F.filter(spans, lambda s: s["test"] >= max(rule.least, 1)), lambda s: F.struct(
+            s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+    none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int>>")
+    return F.when(F.size(whole) > 0, bound(lengths, placed)).otherwise(none)
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

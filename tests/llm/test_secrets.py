@@ -1,9 +1,12 @@
 import hashlib
 import re
+import time
 
 import pytest
 from helpers import edge_docs, empty_docs, rows_of
 
+from pyspark.sql import functions as F
+
 from gridspark.llm import catalog
 from gridspark.llm import secrets as S
 
@@ -71,3 +74,24 @@ def test_rules_alone(spark, kind):
     docs = spark.createDataFrame(list(enumerate(HARD)), "doc_id bigint, text string")
     got = {r.doc_id: [(s.start, s.ord, s.kind, s.stop) for s in r.spans] for r in S.secret_spans(docs, (rule,)).collect()}
     assert got == {i: spans(t, (rule,)) for i, t in enumerate(HARD)}
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 63, 64, 65, 128, 4096, 4097, 300000):
+        values = [(i * 7) % 11 for i in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<bigint>")
+        want, total = [], 0
+        for v in values:
+            want.append(total)
+            total += v
+        assert df.select(S.sums_before(F.col("v"))).first()[0] == want
+
+
+def test_many_spans_in_one_text(spark):
+    """Work is linear in a text's spans."""
+    text = " ".join(f"{i:016x} token=abcdefghijkl{i}" for i in range(100000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    t = time.perf_counter()
+    r, = S.secret_spans(docs).collect()
+    assert time.perf_counter() - t < 120
+    assert [(s.start, s.ord, s.kind, s.stop) for s in r.spans] == spans(text, S.RULES) and len(r.spans) >= 200000
