@@ -1,6 +1,8 @@
 import hashlib
+import re
 
 import pytest
+import xxhash
 from helpers import edge_docs, empty_docs, rows_of
 from pyspark.sql import functions as F
 
@@ -54,3 +56,24 @@ def test_next_over_sparse_ids(spark):
     got = {r.doc_id: r.next.text for r in P.with_next(docs, per_block=1, blocks_together=2).collect()}
     ids.sort()
     assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
+def plain_hash(words):
+    """xxhash64 of several strings in Spark's order: each is hashed with the hash of those before it as seed, the first with 42."""
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def plain_sketch(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    hashes = [plain_hash(w[i:i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [plain_hash([" ".join(w)])] if w else []
+    low = sorted({h for h in hashes if h < -2**63 + int(P.FRACTION * 2**64)})
+    return low or ([min(hashes)] if hashes else [])
+
+
+def test_sketch_against_plain_hashes(spark, sf):
+    docs = [(r.doc_id, r.text) for r in rows_of(spark, sf, "documents")] + [(-1, None), (-2, ""), (-3, "a b"), (-4, " é  ß\t漢 x y\nz "), (-5, "same " * 300)]
+    got = spark.createDataFrame(docs, "doc_id bigint, text string").select("doc_id", P.sketch(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    assert {r.doc_id: r.s for r in got} == {d: plain_sketch(t) for d, t in docs}
