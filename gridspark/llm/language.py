@@ -125,10 +125,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     each = max(1, sample // len(langs))
     # Ids are ranked without their texts, by hash prefix, so no language is ranked in one task.
     text, key = F.xxhash64("text").alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    ids = limit_per_block(known.select("doc_id", "lang", text, key), ["lang"], each, 11, ["_key", "_text"])
-    ids = ids.select("doc_id", "lang", "_text").distinct()
-    chosen = known.withColumn("_text", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "_text"]).select("text", "lang")
-    rows = chosen.mapInArrow(_features, "lang string, counts binary").limit(2 * sample).collect()
+    distinct = known.select("doc_id", "lang", text, key).distinct()
+    ids = limit_per_block(distinct, ["lang"], each, 11, ["_key", "_text"])
+    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("_text").alias("_hash"))
+    # One row of each id, language and text, however often it stands: they share their text, so any of them will do.
+    chosen = known.withColumn("_text", F.xxhash64("text")).join(F.broadcast(ids), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (
+        F.col("lang") == F.col("_lang")) & (F.col("_text") == F.col("_hash"))).select("_id", "_lang", "_hash", "text", "lang")
+    chosen = chosen.dropDuplicates(["_id", "_lang", "_hash"]).select("text", "lang")
+    rows = chosen.mapInArrow(_features, "lang string, counts binary").collect()
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})
