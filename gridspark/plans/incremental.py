@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.user_aggregates import StateAggregate
 from ..operators.verification import Moments, Tally
-from . import store
+from ..sources import published
 
 #: Makes an evaluator's partials by the given extra keys, as `horizon_moments` does.
 Evaluator = Callable[[Sequence[str]], Moments | Tally | StateAggregate]
@@ -66,8 +66,8 @@ class Incremental:
     def manifest(self) -> DataFrame:
         """The published manifest; empty before the first refresh."""
         try:
-            return store.read_published(self.spark, f"{self.path}/manifest")[0]
-        except store.NotPublished:
+            return published.read_published(self.spark, f"{self.path}/manifest")[0]
+        except published.NotPublished:
             return self.spark.createDataFrame([], MANIFEST)
 
     def scan(self, files: Sequence[str]) -> DataFrame:
@@ -91,7 +91,7 @@ class Incremental:
         if changed:
             self._partials(changed).write.parquet(f"{self.path}/runs/{run}")
         lines = [(r.input, r.size, r.modified, r.run if r.same else run) for r in told if r.size is not None]
-        store.write_published(self.spark.createDataFrame(lines, MANIFEST), f"{self.path}/manifest", {"run": run})
+        published.write_published(self.spark.createDataFrame(lines, MANIFEST), f"{self.path}/manifest", {"run": run})
         return Refreshed(changed, dropped, len(kept))
 
     def _partials(self, files: Sequence[str]) -> DataFrame:
@@ -102,7 +102,7 @@ class Incremental:
         manifest = self.manifest()
         runs = [r[0] for r in manifest.select("run").distinct().collect()]
         if not runs:
-            raise store.NotPublished(self.path)
+            raise published.NotPublished(self.path)
         # A run whose files had no rows has no partials; its folder may hold no file with a schema.
         parts = [self.spark.read.parquet(f"{self.path}/runs/{r}").withColumn("run", F.lit(r)) for r in runs]
         stored = parts[0]
@@ -122,8 +122,8 @@ class Incremental:
             return len(runs)
         run = uuid.uuid4().hex
         self.partials().write.parquet(f"{self.path}/runs/{run}")
-        store.write_published(self.manifest().withColumn("run", F.lit(run)), f"{self.path}/manifest", {"run": run}, keep=1)
+        published.write_published(self.manifest().withColumn("run", F.lit(run)), f"{self.path}/manifest", {"run": run}, keep=1)
         for r in runs:
-            place, fs = store._folder(self.spark, f"{self.path}/runs/{r}")
+            place, fs = published.folder(self.spark, f"{self.path}/runs/{r}")
             fs.delete(place, True)
         return len(runs)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.verification import Moments, Tally
+from ..sources import published
 
 Partials = Moments | Tally
 
@@ -60,24 +61,46 @@ def stream_merge(scored_stream: DataFrame, moments: Partials, path: str, checkpo
     return write_batches(scored_stream, moments.partial, path, checkpoint, once)
 
 
+def _folded(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """What batches were folded into, and the number of the last of them; None and -1 if none were."""
+    try:
+        fold, told = published.read_published(spark, f"{path}/_folds")
+        return fold, told["upto"]
+    except published.NotPublished:
+        return None, -1
+
+
 def merged_partials(spark: SparkSession, path: str, moments: Partials) -> DataFrame:
-    return moments.merge(spark.read.parquet(path).drop("batch"))
+    """All stored batches added up: those that were folded, and the later ones."""
+    fold, upto = _folded(spark, path)
+    if fold is None:
+        return moments.merge(spark.read.parquet(path).drop("batch"))
+    later = [n for n in _batches(spark, path) if n > upto]
+    if not later:
+        return moments.merge(fold)
+    return moments.merge(fold, spark.read.parquet(path).where(F.col("batch") > upto).drop("batch"))
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    place, fs = published.folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
 
 
 def compact_partials(spark: SparkSession, path: str, moments: Partials, upto: int) -> None:
-    """Fold the batches up to number `upto` into one folder of the same table, which `merged_partials` goes on reading.
+    """Fold the batches up to number `upto`, which must be done, into one table that `merged_partials` reads instead of them.
 
-    Call it for batches that are done, with no reader at work: the fold is written beside them, takes the place of the
-    last of them, and the others are removed. A replayed batch below `upto` would count twice; the stream's log never replays
-    a batch once a later one has begun.
+    The fold is written beside the batches and published whole; from then on readers take it and leave out the batches it
+    holds, so a crash before or after counts nothing twice and loses nothing. Then the batches' folders are removed; what a
+    crash leaves of them is removed by the next call. The fold before stays for readers at work on it.
     """
-    old = spark.read.parquet(path).where(F.col("batch") <= upto)
-    numbers = sorted(int(r[0]) for r in old.select("batch").distinct().collect())
-    if len(numbers) < 2:
-        return
-    beside = f"{path}/_fold"
-    moments.merge(old.drop("batch")).write.mode("overwrite").parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(f"{path}/batch={numbers[-1]:012d}")
-    for n in numbers[:-1]:
-        _drop_folder(spark, f"{path}/batch={n:012d}")
-    _drop_folder(spark, beside)
+    fold, before = _folded(spark, path)
+    numbers = _batches(spark, path)
+    new = [n for n in numbers if before < n <= upto]
+    if new and (fold is not None or len(new) > 1):
+        rows = spark.read.parquet(path).where((F.col("batch") > before) & (F.col("batch") <= upto)).drop("batch")
+        published.write_published(moments.merge(*([fold] if fold is not None else []), rows), f"{path}/_folds", {"upto": new[-1]})
+        before = new[-1]
+    for n in numbers:
+        if n <= before:
+            _drop_folder(spark, f"{path}/batch={n:012d}")

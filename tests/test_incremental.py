@@ -11,7 +11,7 @@ from gridspark import fixtures as fx
 from gridspark.operators import user_aggregates as U
 from gridspark.operators import verification as V
 from gridspark.plans import incremental as I
-from gridspark.plans import store
+from gridspark.sources import published
 
 EVALUATORS = {
     "horizon": (V.horizon_moments, ["step", "feat"]),
@@ -83,15 +83,15 @@ def test_a_killed_refresh_changes_nothing(spark, tiles, tmp_path, monkeypatch):
     top, put = tiles
     make, keys = EVALUATORS["horizon"]
     kept = I.Incremental(spark, top, str(tmp_path / "kept"), make, keys)
-    with pytest.raises(store.NotPublished):
+    with pytest.raises(published.NotPublished):
         kept.totals()
     kept.refresh()
     before = rows_of(kept.totals())
     os.utime(put(4, 9.0), (time.time() + 10, time.time() + 10))
-    real = store.publish
-    monkeypatch.setattr(store, "publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    real = published.publish
+    monkeypatch.setattr(published, "publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
     with pytest.raises(KeyboardInterrupt):
         kept.refresh()
     assert rows_of(kept.totals()) == before
-    monkeypatch.setattr(store, "publish", real)
+    monkeypatch.setattr(published, "publish", real)
     assert len(kept.refresh().read) == 1 and rows_of(kept.totals()) == full(spark, top, "horizon") != before

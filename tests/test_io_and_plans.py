@@ -207,7 +207,42 @@ def test_stream_merge_is_idempotent(spark, tmp_path):
     SP.stream_merge(stream(), m, out, str(lost)).awaitTermination()
     assert result() == want
     SP.compact_partials(spark, out, m, upto=10)
-    assert result() == want and len(list((tmp_path / "out").glob("batch=*"))) == 1
+    assert result() == want and len(list((tmp_path / "out").glob("batch=*"))) == 0
+
+
+@pytest.mark.parametrize("killed", ["before", "after"])
+def test_a_killed_fold_counts_nothing_twice(spark, tmp_path, monkeypatch, killed):
+    """A crash before the fold is published, or after it but before the batches are removed; then more batches and another fold."""
+    m, source, out, log = V.Moments(["k"], {"v": F.col("v")}), *(str(tmp_path / n) for n in ("in", "out", "log"))
+    rows = []
+
+    def add(n):
+        for _ in range(n):
+            rows.append([(i % 2, float(i + len(rows))) for i in range(6)])
+            spark.createDataFrame(rows[-1], "k int, v double").coalesce(1).write.mode("append").parquet(source)
+            SP.stream_merge(spark.readStream.schema("k int, v double").parquet(source), m, out, log).awaitTermination()
+
+    def result():
+        return {r.k: (r.n_v, pytest.approx(r.mean_v), pytest.approx(r.var_v)) for r in m.finish(SP.merged_partials(spark, out, m)).collect()}
+
+    def right():
+        every = spark.createDataFrame([r for part in rows for r in part], "k int, v double")
+        return {r.k: (r.n_v, r.mean_v, r.var_v) for r in m.finish(m.partial(every)).collect()}
+    add(3)
+    where, name = (SP.published, "publish") if killed == "before" else (SP, "_drop_folder")
+    real = getattr(where, name)
+    monkeypatch.setattr(where, name, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        SP.compact_partials(spark, out, m, upto=1)
+    monkeypatch.setattr(where, name, real)
+    assert result() == right() and len(list((tmp_path / "out").glob("batch=*"))) == 3
+    add(1)
+    assert result() == right()
+    SP.compact_partials(spark, out, m, upto=2)
+    assert result() == right() and len(list((tmp_path / "out").glob("batch=*"))) == 1
+    SP.compact_partials(spark, out, m, upto=9)
+    add(1)
+    assert result() == right() and len(list((tmp_path / "out").glob("batch=*"))) == 1
 
 
 def test_snapshots_keep_the_latest(spark, tmp_path):

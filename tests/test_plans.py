@@ -13,6 +13,7 @@ from gridspark.plans import evaluators as EV
 from gridspark.plans import grid_verification as GV
 from gridspark.plans import sequence_verification as SV
 from gridspark.plans import store as ST
+from gridspark.sources import published as PB
 
 SPEC = S.SampleSpec(4, 12, ["tmp", "soilm_10"], ["tmp", "spfh", "apcp"], ["soilm_10"], ["elev"], {"int_veg": 14}, separation=16, max_offset=5)
 ELEVATION = EV.Histogram(("elev", 0.0, 10000.0, 12), ("err_state", -30.0, 30.0, 16), "err_res", static=["elev"])
@@ -125,37 +126,37 @@ def test_stored_results_equal_the_operators(spark, sf, tmp_path):
     assert kept.load(spark, "soilm_10", "own")[1] == {"err_type": "bias", "eval_type": "own", "feat": "soilm_10", "model": "trend", "source": "val", "spec": "4-12"}
     assert [r["eval_type"] for r in ST.stored_results(spark, kept.path, models=["trend"], eval_type="own")] == ["own"]
     assert ST.stored_results(spark, kept.path, models=["other"]) == [] and ST.stored_results(spark, str(tmp_path / "none")) == []
-    with pytest.raises(ST.NotPublished):
+    with pytest.raises(PB.NotPublished):
         kept.load(spark, "soilm_10", "efficiency")
 
 
 def test_a_version_appears_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     table = lambda v: spark.createDataFrame([(v,)], "v int")
-    with pytest.raises(ST.NotPublished):
-        ST.read_published(spark, path)
-    ST.write_published(table(1), path, {"made": 1})
+    with pytest.raises(PB.NotPublished):
+        PB.read_published(spark, path)
+    PB.write_published(table(1), path, {"made": 1})
     # Killed between the data and the parameters, and between the parameters and the publication.
     real = json.dumps
-    monkeypatch.setattr(ST.json, "dumps", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+    monkeypatch.setattr(PB.json, "dumps", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
     with pytest.raises(KeyboardInterrupt):
-        ST.write_published(table(2), path, {"made": 2})
-    monkeypatch.setattr(ST.json, "dumps", real)
-    ST.stage(table(3), path, {"made": 3})
-    df, params = ST.read_published(spark, path)
+        PB.write_published(table(2), path, {"made": 2})
+    monkeypatch.setattr(PB.json, "dumps", real)
+    PB.stage(table(3), path, {"made": 3})
+    df, params = PB.read_published(spark, path)
     assert [r.v for r in df.collect()] == [1] and params == {"made": 1}
     reading = df
-    assert ST.write_published(table(4), path, {"made": 4}) == 2
-    assert [r.v for r in ST.read_published(spark, path)[0].collect()] == [4] and [r.v for r in reading.collect()] == [1]
+    assert PB.write_published(table(4), path, {"made": 4}) == 2
+    assert [r.v for r in PB.read_published(spark, path)[0].collect()] == [4] and [r.v for r in reading.collect()] == [1]
     for v in (5, 6):
-        ST.write_published(table(v), path, {"made": v})
-    df, params = ST.read_published(spark, path)
+        PB.write_published(table(v), path, {"made": v})
+    df, params = PB.read_published(spark, path)
     assert [r.v for r in df.collect()] == [6] and params == {"made": 6} and len(list((tmp_path / "t" / "published").glob("0*"))) == 2
 
 
 def test_two_writers(spark, tmp_path):
     """The later publication counts, whichever was staged first."""
     path = str(tmp_path / "t")
-    a, b = (ST.stage(spark.createDataFrame([(v,)], "v int"), path, {"made": v}) for v in (1, 2))
-    assert (ST.publish(spark, path, b), ST.publish(spark, path, a)) == (1, 2)
-    assert ST.read_published(spark, path)[1] == {"made": 1}
+    a, b = (PB.stage(spark.createDataFrame([(v,)], "v int"), path, {"made": v}) for v in (1, 2))
+    assert (PB.publish(spark, path, b), PB.publish(spark, path, a)) == (1, 2)
+    assert PB.read_published(spark, path)[1] == {"made": 1}
