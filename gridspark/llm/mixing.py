@@ -108,8 +108,9 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     ends = ranges.groupBy(*keys).agg(F.max(F.when(F.col("upto") <= F.col("left"), F.col("h"))).alias("inside"),
                                      F.min(F.when(F.col("upto") > F.col("left"), F.struct("range", (F.col("upto") - F.col("n")).alias("before")))).alias("cut"))
     cut = ends.where("cut IS NOT NULL").select(*keys, F.col("cut.range").alias("range"), F.col("cut.before").alias("before"))
-    one = rows.join(cut, [*keys, "range"])
-    # Rows of one hash are summed as one (a range frame), so they stay or go together.
+    # Rows of one hash, those of equal or null ids, are summed before they meet: they stay or go together.
+    one = (rows.join(cut, [*keys, "range"]).groupBy(*keys, "range", "h")
+           .agg(F.sum("tokens").alias("tokens"), F.first("before").alias("before"), F.first("left").alias("left")))
     running = F.col("before") + F.sum("tokens").over(Window.partitionBy(*keys, "range").orderBy("h"))
     last = (one.withColumn("_run", running).where(F.col("_run") <= F.col("left")).groupBy(*keys).agg(F.max("h").alias("partly")))
     stops = tree.join(ends.join(last, keys, "left").select(*keys, F.greatest("inside", "partly").alias("stop")), keys, "left")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import duckdb
 from helpers import edge_docs, empty_docs, split_words
@@ -90,3 +91,15 @@ def test_sql_covers_all_leaves(spark, sf):
     n = con.execute(f"SELECT count(DISTINCT source) FROM '{sf}/documents.parquet'").fetchall()[0][0]
     from gridspark.llm import catalog
     assert catalog.op8_mixing(spark, sf).select("source").distinct().count() == n
+
+
+def test_one_id_repeated(spark, monkeypatch):
+    """Half of all rows have one id, a third none: their rows are one hash each and stay or go together."""
+    monkeypatch.setattr(M, "RANGE_ROWS", 8)
+    rows = [(7, "a", "x", "s1", 2)] * 3000 + [(None, "a", "x", "s1", 1)] * 2000 + [(100 + i, "a", "x", "s1", i % 5) for i in range(1000)]
+    docs = spark.createDataFrame([(i, d, l, s, " ".join(["w"] * n)) for i, d, l, s, n in rows], "doc_id bigint, d string, l string, s string, text string")
+    flat = [(i, (d, l, s), n) for i, d, l, s, n in rows]
+    for fraction in (0.2, 0.5, 0.9, 1.3):
+        got = M.mix(docs, levels(), {}, fraction, 2, 3).groupBy("doc_id", "epoch").count().collect()
+        want = Counter((r[0], r[1]) for r in brute(flat, [{}, {}, {}], fraction, 2, 3))
+        assert {(r.doc_id, r.epoch): r["count"] for r in got} == want
