@@ -9,6 +9,7 @@ from ..functions import expressions as E
 from ..operators import integrity as N
 from ..operators import joins as J
 from ..operators import merging as M
+from ..operators import generators as GN
 from ..operators import samples as S
 from ..operators import verification as V
 from .registry import ARRAY, DYNAMIC, ERRORS, SCORED, STATIC, bin_sql, query, r6, settled, with_views
@@ -67,6 +68,13 @@ def make_samples(spark, sf):
     return _flat_samples(S.make_samples(fx.dynamic(spark, sf), fx.static(spark, sf), _SPEC))
 
 
+@query("j3_user_generator", with_views(DYNAMIC, STATIC, body=_STARTS.lstrip() + _CUT.format(starts="starts")))
+def user_generator(spark, sf):
+    """The samples of E2 from a generator that sees the rows one by one, in blocks of 256 steps."""
+    rows = GN.generated_samples(fx.dynamic(spark, sf), _SPEC, {"t": "timestamp", "tmp": "double", "apcp": "double", "soilm_10": "double"}, block=256)
+    return _flat_samples(S.to_arrays(rows, _SPEC, ["y", "x", "sample"], fx.static(spark, sf)))
+
+
 @query("e2_make_samples_limited", with_views(DYNAMIC, STATIC, body=_STARTS.lstrip() + """
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('11:' || y || ':' || x || ':' || sample), y, x, sample) AS r
              FROM starts), chosen AS (SELECT * FROM ranked WHERE r <= 40)""" + _CUT.format(starts="chosen")))
