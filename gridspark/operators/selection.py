@@ -128,7 +128,7 @@ def filter_samples(samples: DataFrame, static_any: Sequence[str] = (), horizon_a
     return samples.where(E.any_of(static_any) & E.all_of(horizon_all) & E.all_of(pred_all))
 
 
-# Canned conditions. `horizon` elements carry tmp and spfh, `pred` elements the relative moisture `state`.
+# --- fixed values: canned conditions and their thresholds. `horizon` elements carry tmp and spfh, `pred` elements the relative moisture `state`.
 SAMPLE_EVENTS = {
     "freeze": "exists(horizon, s -> s.tmp > 270 AND s.tmp < 276 AND s.spfh > 0.003D AND s.spfh < 0.006D)",
     "hot": "exists(horizon, s -> s.tmp > 300 AND s.tmp < 310 AND s.spfh > 0.02D AND s.spfh < 0.03D)",

@@ -54,6 +54,22 @@ UNITS = {
     "windmag": ("m^2", "Wind Speed"),
     "soilm_fc": ("kg/m^2", "0-200cm Soil Moisture Area Density"),
     "rsm_fc": ("%", "0-200cm Relative Soil Moisture"),
+    "soilm_10": ("kg/m^2", "0-10cm Soil Moisture Area Density"),
+    "lsoil_10": ("kg/m^2", "0-10cm Liquid Soil Moisture"),
+    "tsoil_10": ("K", "0-10cm Soil Temperature"),
+    "rsm_10": ("%", "0-10cm Relative Soil Moisture"),
+    "soilm_40": ("kg/m^2", "10-40cm Soil Moisture Area Density"),
+    "lsoil_40": ("kg/m^2", "10-40cm Liquid Soil Moisture"),
+    "tsoil_40": ("K", "10-40cm Soil Temperature"),
+    "rsm_40": ("%", "10-40cm Relative Soil Moisture"),
+    "soilm_100": ("kg/m^2", "40-100cm Soil Moisture Area Density"),
+    "lsoil_100": ("kg/m^2", "40-100cm Liquid Soil Moisture"),
+    "tsoil_100": ("K", "40-100cm Soil Temperature"),
+    "rsm_100": ("%", "40-100cm Relative Soil Moisture"),
+    "soilm_200": ("kg/m^2", "100-200cm Soil Moisture Area Density"),
+    "lsoil_200": ("kg/m^2", "100-200cm Liquid Soil Moisture"),
+    "tsoil_200": ("K", "100-200cm Soil Temperature"),
+    "rsm_200": ("%", "100-200cm Relative Soil Moisture"),
 }
 
 # --- fixed values: soil layers, label suffix -> (thickness in m, depth range) ----------------------
@@ -61,11 +77,6 @@ LAYERS = {
     "10": (0.1, "0-10cm"), "40": (0.3, "10-40cm"), "100": (0.6, "40-100cm"), "200": (1.0, "100-200cm"),
 }
 COLUMN_DEPTH = 2.0
-for _layer, (_, _range) in LAYERS.items():
-    UNITS[f"soilm_{_layer}"] = ("kg/m^2", f"{_range} Soil Moisture Area Density")
-    UNITS[f"lsoil_{_layer}"] = ("kg/m^2", f"{_range} Liquid Soil Moisture")
-    UNITS[f"tsoil_{_layer}"] = ("K", f"{_range} Soil Temperature")
-    UNITS[f"rsm_{_layer}"] = ("%", f"{_range} Relative Soil Moisture")
 
 # --- fixed values: dynamic feature -> (min, max, mean, std) ---------------------------------------
 DYNAMIC_COEFFS = {
