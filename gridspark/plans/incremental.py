@@ -13,12 +13,13 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.user_aggregates import StateAggregate
 from ..operators.verification import Moments, Tally
 from ..sources import published
+from ..sources.archive import listed_path, plain_path
 
 #: Makes an evaluator's partials by the given extra keys, as `horizon_moments` does.
 Evaluator = Callable[[Sequence[str]], Moments | Tally | StateAggregate]
@@ -34,15 +35,10 @@ class Refreshed:
     kept: int
 
 
-def _plain(path: Column) -> Column:
-    """A file's path as a listing and a scan both give it: one slash behind the scheme, no escapes."""
-    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+):/+", "$1:/")
-
-
 def list_inputs(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
     """(input, size, modified) of the files below a folder; their content is not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(_plain(F.replace(F.replace("path", F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))).alias("input"),
+    return files.select(listed_path(F.col("path")).alias("input"),
                         F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
@@ -73,7 +69,7 @@ class Incremental:
     def scan(self, files: Sequence[str]) -> DataFrame:
         """The evaluator's rows of some files. Partition columns above the files are read too."""
         df = self.spark.read.options(basePath=self.inputs, **self.options).parquet(*files)
-        return self.rows(df.select("*", _plain(F.col("_metadata.file_path")).alias("input")))
+        return self.rows(df.select("*", plain_path(F.col("_metadata.file_path")).alias("input")))
 
     def refresh(self) -> Refreshed:
         """Read what changed, store its partials, publish the manifest. Without a change nothing is written."""
