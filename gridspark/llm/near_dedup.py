@@ -40,6 +40,8 @@ ROWS, BANDS, BATCH, SIZE = 5, 24, 32, 192
 PER_CENT = 85
 #: Nodes of a bucket compared in one task with as many others.
 BLOCK = 256
+#: Bytes of a shingle set up to which it counts as one node of a part; two parts of a group hold some 32 MB of sets.
+SET_BYTES = 1 << 16
 
 _RNG = np.random.Generator(np.random.PCG64(5150))
 _TIMES = (_RNG.integers(0, 2**31, SIZE, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -198,7 +200,7 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, a
 
 def _comparer(fewest: np.ndarray, per_cent: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j, key = int(group["i"].iloc[0]), int(group["j"].iloc[0]), int(group["key"].iloc[0])
+        i, j, key = group["i"].iloc[0], group["j"].iloc[0], int(group["key"].iloc[0])
         sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, SIZE)
         bands = np.stack(group["bands"].to_list())
         node, label, part = (group[c].to_numpy() for c in ("node", "label", "part"))
@@ -256,6 +258,41 @@ def components(edges: DataFrame) -> DataFrame:
         edge.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _blocks(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, i, j, part, node, label): the nodes of `labelled` (key, node, label) by pairs of parts of a bucket with links left to find.
+
+    A bucket's nodes are dealt into parts of about BLOCK nodes, fewer where their sets are large. A label with half a part or more has
+    parts of its own; the others share parts. Two parts of one label are not compared, so a bucket of one large label
+    and a few other nodes gives each of its nodes as many copies as the others need parts.
+    """
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    weight = sets.select("node", F.greatest(F.lit(1.0), F.octet_length("set") / F.lit(SET_BYTES)).alias("weight"))
+    inside = written(labelled.join(mixed, "key", "left_semi").join(weight, "node"), "inside")
+    sizes = inside.groupBy("key", "label").agg(F.sum("weight").alias("size"))
+    rest = sizes.where(F.col("size") < BLOCK / 2).groupBy("key").agg(F.sum("size").alias("rest"))
+    own = F.when(F.col("size") >= BLOCK / 2, F.col("label"))
+    count = F.ceil(F.when(F.col("size") >= BLOCK / 2, F.col("size")).otherwise(F.col("rest")) / BLOCK)
+    placed = inside.join(sizes, ["key", "label"]).join(rest, "key", "left").select(
+        "key", "node", "label", own.alias("own"), F.concat_ws(":", own.cast("string"), F.pmod(F.xxhash64("node"), count).cast("string")).alias("part"))
+    placed = written(placed, "placed")
+    parts = placed.groupBy("key", "own", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+
+    def side(n: str) -> DataFrame:
+        return parts.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("own", "part", "low", "high")])
+    shared = lambda n: side(n).where(F.col(f"own_{n}").isNull())
+    alone = lambda n: side(n).where(F.col(f"own_{n}").isNotNull())
+    several = (F.col("low_i") < F.col("high_i")) | (F.col("low_j") < F.col("high_j")) | (F.col("low_i") != F.col("low_j"))
+    among = shared("i").join(shared("j"), "key").where((F.col("part_i") <= F.col("part_j")) & several)
+    across = shared("i").join(alone("j"), "key")
+    # Labels are paired before their parts, so that a large label's parts are not paired with each other.
+    names = lambda n: alone(n).select("key", f"own_{n}").distinct()
+    apart = names("i").join(names("j"), "key").where("own_i < own_j").join(alone("i"), ["key", "own_i"]).join(alone("j"), ["key", "own_j"])
+    pairs = [p.select("key", F.col("part_i").alias("i"), F.col("part_j").alias("j")) for p in (among, across, apart)]
+    pairs = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+    each = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
+    return each.join(placed.select("key", "part", "node", "label"), ["key", "part"])
+
+
 def near_duplicates(docs: DataFrame, miss: float = 1e-6, per_cent: int = PER_CENT) -> DataFrame:
     """Per row: doc_id, h (hash of the text), n_shingles, component_id, kept, root (the component's node; null for empty sets).
 
@@ -284,13 +321,7 @@ def near_duplicates(docs: DataFrame, miss: float = 1e-6, per_cent: int = PER_CEN
     labels = components(edges)
 
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = (labelled.join(mixed.select("key", parts.alias("parts")), "key")
-              .withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-              .select("key", "node", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-              .join(sets, "node"))
+    blocks = _blocks(labelled, sets).join(sets, "node")
     more = written(blocks.groupBy("key", "i", "j").applyInPandas(_comparer(fewest, per_cent), "u bigint, v bigint"), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))

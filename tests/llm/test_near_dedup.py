@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from helpers import edge_docs, empty_docs, rows_of, split_words
 
@@ -81,3 +82,35 @@ def test_pruning_bounds():
 def test_bands_miss_no_more_at_other_thresholds():
     missed = lambda per_cent: (1 - (per_cent / 100) ** N.ROWS) ** N.bands_for(per_cent)
     assert N.bands_for(85) == N.BANDS and all(missed(p) <= missed(85) < 1e-6 for p in (80, 90, 100))
+
+
+def test_a_large_bucket_with_few_others(spark, monkeypatch):
+    """Blocks of one label are not compared: copies are linear in the bucket, with one or many labels beside it."""
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rows = [(1, i, 5) for i in range(20000)] + [(1, 30000, 6)] + [(2, i, i % 3) for i in range(900)] + [(3, i, 9) for i in range(500)]
+    rows += [(4, i, i // 2) for i in range(40)]
+    labelled = spark.createDataFrame(rows, "key long, node long, label long").repartition(5)
+    sets = spark.createDataFrame([(n, bytearray(8)) for n in range(30001)], "node long, set binary")
+    got = N._blocks(labelled, sets).collect()
+    copies = Counter(r.key for r in got)
+    assert copies[1] <= 20000 + 20000 / 64 * 2 and copies[3] == 0 and copies[4] == 40
+    label = {(k, n): x for k, n, x in rows}
+    met = set()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.key, r.i, r.j), []).append(r)
+    for (key, i, j), members in groups.items():
+        left, right = [r for r in members if r.part == i], [r for r in members if r.part == j]
+        if key in (2, 4):
+            met |= {(key, *sorted((a.node, b.node))) for a in left for b in right if label[key, a.node] != label[key, b.node]}
+    want = {(k, a, b) for k, size in ((2, 900), (4, 40)) for a in range(size) for b in range(a + 1, size) if label[k, a] != label[k, b]}
+    assert met == want
+    assert {(r.i, r.j) for r in got if r.key == 1 and r.node == 30000} == {(r.i, r.j) for r in got if r.key == 1}
+
+
+def test_large_sets_make_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "SET_BYTES", 1000)
+    labelled = spark.createDataFrame([(1, i, i) for i in range(300)], "key long, node long, label long")
+    sets = spark.createDataFrame([(n, bytearray(100000)) for n in range(300)], "node long, set binary")
+    held = Counter((r.i, r.j) for r in N._blocks(labelled, sets).collect())
+    assert max(held.values()) < 30 and len(held) > 1000
