@@ -14,6 +14,7 @@ predicted alike. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -132,25 +133,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     chosen = known.withColumn("_text", F.xxhash64("text")).join(F.broadcast(ids), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (
         F.col("lang") == F.col("_lang")) & (F.col("_text") == F.col("_hash"))).select("_id", "_lang", "_hash", "text", "lang")
     chosen = chosen.dropDuplicates(["_id", "_lang", "_hash"]).select("text", "lang")
-    rows = chosen.mapInArrow(_features, "lang string, counts binary").collect()
-    if not rows:
+    rows = chosen.mapInArrow(_features, "lang string, counts binary").toArrow()
+    if not rows.num_rows:
         return None
-    langs = sorted({r.lang for r in rows})
-    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in sorted(rows, key=lambda r: (r.lang, bytes(r.counts)))])
-    label = np.array([langs.index(x) for x in sorted(r.lang for r in rows)])
-    return _descend(counts / counts.sum(axis=1, keepdims=True), label, langs)
+    # In an order that does not depend on where the rows were; one copy of the counts at a time, as this is the driver.
+    given, vectors = rows.column("lang").to_pylist(), rows.column("counts")
+    order = sorted(range(len(given)), key=lambda i: (given[i], hashlib.blake2b(vectors[i].as_buffer()).digest()))
+    x = np.empty((len(given), BUCKETS), np.float32)
+    for at, i in enumerate(order):
+        x[at] = np.frombuffer(vectors[i].as_buffer(), np.float32)
+    del rows, vectors
+    x /= x.sum(axis=1, keepdims=True)
+    langs = sorted(set(given))
+    return _descend(x, np.array([langs.index(given[i]) for i in order]), langs)
 
 
 def _descend(x: np.ndarray, label: np.ndarray, langs: list[str]) -> Model:
-    """Logistic regressions of all bits at once, by gradient steps with momentum on scaled frequencies."""
+    """Logistic regressions of all bits at once, by gradient steps with momentum on frequencies, which are scaled in place."""
     code = codewords(len(langs))
     y = code[label].astype(np.float32)
     scale = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32)
-    x = x * scale
+    x *= scale
     weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
     bias, speed, bias_speed = np.zeros(code.shape[1], np.float32), np.zeros_like(weights), np.zeros(code.shape[1], np.float32)
     # A mean squared norm near one makes the step size independent of the features' scale.
-    rate = RATE * 8 / float((x * x).sum(axis=1).mean())
+    rate = RATE * 8 / float(np.einsum("ij,ij->", x, x) / len(x))
     for _ in range(STEPS):
         pull = y / (1 + np.exp(y * (x @ weights + bias))) / len(x)
         speed = 0.9 * speed + rate * (x.T @ pull - 1e-5 * weights)
