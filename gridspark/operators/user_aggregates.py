@@ -24,6 +24,8 @@ from ..session import cut_lineage
 
 FAN_IN = 64
 STATE_BYTES = 1 << 20
+#: Rows of Arrow batches that are grouped together.
+ROWS_TOGETHER = 50_000
 #: States of a task that may be open, as if each were as large as allowed.
 OPEN_BYTES = 256 << 20
 
@@ -84,9 +86,7 @@ class StateAggregate:
                 states = pa.array([_packed(evaluator, s, limit) for s in open_.values()], pa.binary())
                 open_.clear()
                 return pa.record_batch([*columns, states], schema=arrow)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _larger(batches):
                 values = pd.DataFrame({c: batch.column(f"_v_{c}").to_pandas() for c in evaluator.columns}, index=range(batch.num_rows))
                 names = [batch.column(k) for k in keys]
                 for rows in _groups(names, batch.num_rows):
@@ -155,6 +155,19 @@ def _arrow_schema(df: DataFrame, keys: Sequence[str]) -> pa.Schema:
     return pa.schema([*_arrow_fields(T.StructType([df.schema[k] for k in keys])), pa.field("state", pa.binary())])
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = ROWS_TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches put together to at least so many rows, as work a group is dear."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _groups(columns: list[pa.Array], n: int) -> list[np.ndarray]:
     """The rows of each group of equal keys, null equal to null."""
     if not columns:

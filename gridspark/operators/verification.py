@@ -285,28 +285,21 @@ def grid_stats_axes(errors: DataFrame, values: Mapping[str, str], keep: Sequence
                     sets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Mean and variance of any values, keeping chosen axes out of init, pixel and step.
 
-    `keep` gives one set of axes; `sets` gives several by name. The set of all axes is aggregated on its own, in the layout the
-    rows have; all others are one pass with grouping sets, so the rows are read twice however many sets there are.
+    `keep` gives one set of axes; `sets` gives several by name, from one read of the rows with grouping sets; only the columns that the
+    values need are copied for each set.
     """
     m = Moments([], {n: F.expr(e) for n, e in values.items()})
     if sets is None:
         return m.finish(errors.groupBy(*keep, "feat").agg(*m.aggregates()))
     axes = list(dict.fromkeys(a for s in sets.values() for a in s))
-    whole = [n for n, s in sets.items() if set(s) == set(axes)]
-    inner = {n: s for n, s in sets.items() if n not in whole}
-    out = [errors.groupBy(*sets[n], "feat").agg(*m.aggregates()).withColumn("kept", F.lit(n)) for n in whole]
-    if inner:
-        used = [a for a in axes if any(a in s for s in inner.values())]
-        # Only the columns that the values need are copied for each set.
-        rows = errors.select(*used, "feat", *[F.expr(e).cast("double").alias(f"_v_{n}") for n, e in values.items()])
-        copied = Moments([], {n: F.col(f"_v_{n}") for n in values})
-        partial = rows.groupingSets([[*map(F.col, s), F.col("feat")] for s in inner.values()], *used, "feat").agg(
-            *copied.aggregates(), *[F.grouping(a).alias(f"_g_{a}") for a in used])
-        label = F.lit(None).cast("string")
-        for name, s in inner.items():
-            label = F.when(E.all_of([F.col(f"_g_{a}") == (0 if a in s else 1) for a in used]), F.lit(name)).otherwise(label)
-        out.append(partial.withColumn("kept", label).drop(*[f"_g_{a}" for a in used]))
-    return m.finish(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out))
+    rows = errors.select(*axes, "feat", *[F.expr(e).cast("double").alias(f"_v_{n}") for n, e in values.items()])
+    copied = Moments([], {n: F.col(f"_v_{n}") for n in values})
+    partial = rows.groupingSets([[*map(F.col, s), F.col("feat")] for s in sets.values()], *axes, "feat").agg(
+        *copied.aggregates(), *[F.grouping(a).alias(f"_g_{a}") for a in axes])
+    label = F.lit(None).cast("string")
+    for name, s in sets.items():
+        label = F.when(E.all_of([F.col(f"_g_{a}") == (0 if a in s else 1) for a in axes]), F.lit(name)).otherwise(label)
+    return m.finish(partial.withColumn("kept", label).drop(*[f"_g_{a}" for a in axes]))
 
 
 def grid_error_stats(errors: DataFrame, by: Sequence[str] = ("init", *PIXEL)) -> DataFrame:
