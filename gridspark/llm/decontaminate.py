@@ -47,16 +47,19 @@ def item_windows(items: DataFrame, length: int = WINDOW) -> DataFrame:
 
 
 def window_shingles(windows: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(window, len, items, gram, offset): all shingles of each window; a window of fewer words is one shingle."""
+    """(window, len, gram, width, offset): all shingles of each window; a window of fewer words is one shingle."""
     places = shingle_places(F.col("w"), 1)
     for k in range(2, width + 1):
         places = F.when(F.col("len") >= k, shingle_places(F.col("w"), k)).otherwise(places)
-    return windows.select("window", "len", "items", F.least("len", F.lit(width)).alias("width"),
+    return windows.select("window", "len", F.least("len", F.lit(width)).alias("width"),
                           F.posexplode(places).alias("offset", "gram"))
 
 
 def find_windows(docs: DataFrame, windows: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Candidates per distinct (doc_id, text): key columns and an array of (start, len, window, items), by prefix join and bounds."""
+    """Candidates per distinct (doc_id, text), by prefix join and bounds.
+
+    Key columns, `_found`, an array of (start, len, window), and `_who`, an array of (window, items) with each of these windows once.
+    """
     grams = written(window_shingles(windows, width), "grams")
     sizes = grams.agg(F.count_distinct("gram").alias("n"), F.count_distinct("window").alias("m"), F.collect_set("width").alias("widths")).first()
     rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), words(F.col("text")).alias("w"))
@@ -83,14 +86,21 @@ def find_windows(docs: DataFrame, windows: DataFrame, width: int = SHINGLE) -> D
     seen = hits.groupBy("gram", "width").agg(F.count(F.lit(1)).alias("seen"))
     ranked = grams.join(seen, ["gram", "width"], "left").withColumn("_rank", F.row_number().over(
         Window.partitionBy("window").orderBy(F.coalesce("seen", F.lit(0)), "offset")))
-    prefix = ranked.where("_rank = 1 AND seen > 0").select("gram", "width", "offset", "len", "window", "items")
+    prefix = ranked.where("_rank = 1 AND seen > 0").select("gram", "width", "offset", "len", "window")
     if sizes["m"] <= BROADCAST_ROWS:
         prefix = F.broadcast(prefix)
     start = F.col("at") - F.col("offset")
     fitting = (hits.join(prefix, ["gram", "width"]).withColumn("start", start)
                .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words"))))
     # Repeated rows give the same candidates twice; a set keeps one.
-    return fitting.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "len", "window", "items")).alias("_found"))
+    fitting = written(fitting.select("doc_id", "_h", "start", "len", "window").distinct(), "candidates")
+    # Ids of items, as many as a window may have, go to a document once a window and not with each place.
+    holders = windows.select("window", "items")
+    who = (fitting.select("doc_id", "_h", "window").distinct().join(holders, "window")
+           .groupBy("doc_id", "_h").agg(F.collect_list(F.struct("window", "items")).alias("_who")))
+    found = fitting.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "len", "window")).alias("_found"))
+    same = found["doc_id"].eqNullSafe(who["doc_id"]) & (found["_h"] == who["_h"])
+    return found.join(who, same).select(found["doc_id"], found["_h"], "_found", "_who")
 
 
 def covered(spans: Column) -> Column:
@@ -105,22 +115,26 @@ def covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:
-    """Every row of `docs` with n_words, spans (array of start, len, window, items that occur), n_hit and items.
+    """Every row of `docs` with n_words, spans (array of start, len, window that occur), n_hit and items, the ids that hold them.
 
     Rows keep their columns; those added replace columns of the same name.
     """
     rows = docs.withColumn("__dc_text", text_column()).withColumn("__dc_h", F.xxhash64("__dc_text"))
     found = find_windows(rows.select("doc_id", F.col("__dc_text").alias("text")), item_windows(items, length))
-    found = found.select(F.col("doc_id").alias("__dc_id"), F.col("_h").alias("__dc_key"), F.col("_found").alias("__dc_found"))
+    found = found.select(F.col("doc_id").alias("__dc_id"), F.col("_h").alias("__dc_key"), F.col("_found").alias("__dc_found"), F.col("_who").alias("__dc_who"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__dc_id")) & (F.col("__dc_h") == F.col("__dc_key")), "left")
     joined = joined.withColumn("__dc_w", words(F.col("__dc_text")))
     true = F.filter("__dc_found", lambda c: F.array_join(F.slice(F.col("__dc_w"), c["start"] + 1, c["len"]), " ") == c["window"])
-    none = F.array().cast("array<struct<start:int,len:int,window:string,items:array<string>>>")
+    none = F.array().cast("array<struct<start:int,len:int,window:string>>")
     joined = joined.withColumn("n_words", F.size("__dc_w").cast("bigint")).withColumn(
         "spans", F.when(F.col("__dc_found").isNull(), none).otherwise(F.array_sort(true)))
-    return (joined.withColumn("n_hit", covered(F.col("spans")).cast("bigint"))
-            .withColumn("items", F.array_sort(F.array_distinct(F.flatten("spans.items"))))
-            .drop("__dc_text", "__dc_h", "__dc_id", "__dc_key", "__dc_found", "__dc_w"))
+    # Windows that were candidates only are few, mostly none.
+    refuted = F.array_except(F.transform("__dc_who", lambda x: x["window"]), F.transform("spans", lambda x: x["window"]))
+    who = F.filter("__dc_who", lambda x: ~F.array_contains("__dc_refuted", x["window"]))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(who, lambda x: x["items"]))))
+    return (joined.withColumn("n_hit", covered(F.col("spans")).cast("bigint")).withColumn("__dc_refuted", refuted)
+            .withColumn("items", F.when(F.col("__dc_who").isNull(), F.array().cast("array<string>")).otherwise(items))
+            .drop("__dc_text", "__dc_h", "__dc_id", "__dc_key", "__dc_found", "__dc_who", "__dc_w", "__dc_refuted"))
 
 
 def hit_digests(found: DataFrame) -> DataFrame:

@@ -56,3 +56,13 @@ def test_edges(spark, monkeypatch):
     assert D.decontaminate(empty_docs(spark), table).count() == 0
     none = D.decontaminate(docs, table.limit(0))
     assert none.where("n_hit > 0").count() == 0 and none.count() == docs.count()
+
+
+def test_many_items_of_one_word(spark):
+    """A thousand items share their one window; its ids go to a document once, however often the word stands there."""
+    items = [(i, "alpha") for i in range(1000)] + [(1000 + i, f"beta w{i % 7}") for i in range(50)] + [(5000, "alpha beta gamma delta")]
+    docs = [(1, "alpha " * 3000), (2, "beta w3 alpha, beta w4"), (3, "gamma"), (None, "alpha"), (4, "alpha beta gamma"), (4, "alpha beta gamma delta")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    found = D.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), table)
+    assert plain(D.hit_digests(found)) == sorted(brute(docs, items), key=key)
+    assert found.schema["spans"].dataType.elementType.names == ["start", "len", "window"]
