@@ -17,7 +17,8 @@ with c(h,w) and T(h), the number of distinct followers, from the filter, and p(w
 the filter never happens; a false hit of a level has a probability of about 0.3 %.
 
 Bounds: a broadcast holds SHARD_BYTES, or one segment if that is larger, and some 60 bytes for each split history, of which
-there is at most one for PART_TOKENS training tokens; passes over the blocks grow with the filter's size
+there is at most one for PART_TOKENS training tokens. Where the filter has several shards, positions are dealt by shard once
+and a pass reads those of its shard, so all passes together read each position once; there are as many as the filter's size
 divided by SHARD_BYTES, so give executors of more memory larger shards. A segment's task reads its share of all blocks' words.
 
 Defined results. Null text: empty, so its end alone is a token. A null id is not held out. Repeated rows are scored and learned
@@ -297,6 +298,62 @@ class _Shard:
         return found
 
 
+def _probed(own, place, follower, history, known, segment, p, last: int, part_tokens: int) -> np.ndarray:
+    """Probabilities of seen bigrams whose plain ones are `p`, in the order of `place`: one lookup of followers for each history."""
+    c = np.minimum(MEANING[own.count(_key(place, follower), segment)], known)
+    head = np.r_[True, place[1:] != place[:-1]]
+    piece = np.where(known[head] >= part_tokens, last, segment[head])
+    t = np.maximum(MEANING[own.count(_followers_key(history[head]), piece)], 1)[np.cumsum(head) - 1]
+    return (c + t * p) / (known + t)
+
+
+#: What a pass needs of a position, 48 bytes: its text, segment, count and place of the history, follower, history, plain probability.
+_WORK = np.dtype([("text", "<i4"), ("segment", "<i4"), ("known", "<i8"), ("place", "<u8"), ("follower", "<u8"), ("history", "<u8"), ("p", "<f8")])
+
+
+def _texts(block: int, doc_ids, held, lengths, hits, base, score):
+    """A block's texts in the columns of SCORED."""
+    n = len(lengths)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()),
+         pa.array(lengths + 1), pa.array(hits), pa.array(base), pa.array(score)],
+        ["block", "i", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _positions(batches, n_all: int, n_types: int, begun: int, word_segments: int, n_segments: int, part_tokens: int):
+    """For each block: its texts' columns, the plain probability of every position, and the work of the seen ones, by place."""
+    for batch in batches:
+        for block, doc_ids, held, lengths, tokens, words, parts in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            w = np.frombuffer(words, "<u8")
+            counts, lengths = _counts(w, parts, word_segments), np.array(lengths, np.int64)
+            history, follower, known, count, is_end = _bigrams(np.frombuffer(tokens, "<u4"), lengths, w, counts, begun)
+            count[is_end] = begun
+            starts = np.cumsum(lengths + 1) - (lengths + 1)
+            plain = (count + 1) / (n_all + n_types + 1)
+            segment, place = _place(history, follower, known, n_segments, part_tokens)
+            # In the order of histories: each one's followers are looked up once, and probes stay in one piece for long.
+            seen = np.flatnonzero(known > 0)
+            at = seen[np.argsort(place[seen])]
+            work = np.empty(len(at), _WORK)
+            work["text"] = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)[at]
+            for name, x in (("segment", segment), ("known", known), ("place", place), ("follower", follower), ("history", history), ("p", plain)):
+                work[name] = x[at]
+            add = lambda x: np.add.reduceat(x, starts)
+            unseen = np.log10(np.minimum(plain, 1))
+            base, hits = add(unseen), add((count > 0).astype(np.int64))
+            unseen[at] = 0
+            yield block, doc_ids, held, lengths, hits, base, add(unseen), work
+
+
+def _summed_work(work: np.ndarray, own, last: int, part_tokens: int, n: int) -> np.ndarray:
+    """Sums of log10 probabilities by text of the positions in `work`."""
+    if not len(work):
+        return np.zeros(n)
+    c = [np.ascontiguousarray(work[x]) for x in ("place", "follower", "history", "known", "segment", "p")]
+    p = _probed(own, *c, last, part_tokens)
+    return np.bincount(work["text"], weights=np.log10(np.minimum(p, 1)), minlength=n)
+
+
 def _scorer(shard, n_all: int, n_types: int, begun: int, word_segments: int, n_segments: int, part_tokens: int, first: int, last: int):
     """Sums of log10 probabilities under one shard, for each text of each block; base sums and known tokens with the first."""
     def score(batches):
@@ -335,7 +392,42 @@ def _scorer(shard, n_all: int, n_types: int, begun: int, word_segments: int, n_s
     return score
 
 
+def _dealer(cuts: list[int], *sizes):
+    """Each block's positions dealt by shard, with shard -1 what the texts have without any."""
+    def deal(batches):
+        for block, doc_ids, held, lengths, hits, base, sums, work in _positions(batches, *sizes):
+            told = _texts(block, doc_ids, held, lengths, hits, base, sums)
+            n = told.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), *told.columns, pa.nulls(n, pa.binary())], DEALT_NAMES)
+            found, places = _grouped(np.searchsorted(cuts, work["segment"], side="right") - 1)
+            k, none = len(found), lambda t: pa.nulls(len(found), t)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int32()), pa.array([block] * k, pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.bool_()), none(pa.int64()),
+                 none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array([work[p].tobytes() for p in places], pa.binary())], DEALT_NAMES)
+    return deal
+
+
+def _prober(shard, last: int, part_tokens: int):
+    """Sums by text of one shard's positions, from rows (block, work)."""
+    def probe(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                work = np.frombuffer(data, _WORK)
+                sums = _summed_work(work, shard.value, last, part_tokens, int(work["text"].max()) + 1)
+                texts = np.unique(work["text"])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(texts), pa.int64()), pa.array(texts.astype(np.int64)), pa.array(sums[texts])],
+                                                 ["block", "i", "score"])
+    return probe
+
+
 SCORED = "block bigint, i bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+DEALT = f"shard int, {SCORED}, work binary"
+DEALT_NAMES = [x.split()[0] for x in DEALT.split(", ")]
+
+
+def of_shard(dealt: DataFrame, shard: int) -> DataFrame:
+    """The positions of one shard; the folders of others are not opened."""
+    return dealt.where(F.col("shard") == shard).select("block", "work")
 
 
 def score(docs: DataFrame, held=None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -382,8 +474,16 @@ def score(docs: DataFrame, held=None, shard_bytes: int = SHARD_BYTES) -> DataFra
             held_bits = 0
         held_bits += b
     columns = counted.select("block", "doc_ids", "held", "lengths", "tokens", "words", "parts")
-    passes = []
-    for first, last in zip(cuts, [*cuts[1:], n_segments]):
+    sizes = (n_all, n_types, begun, word_segments, n_segments, PART_TOKENS)
+    if len(cuts) > 1:
+        # Dealt by shard once, so that each pass reads its own positions and the passes together every position once.
+        dealt_path = shared_path(spark, "dealt")
+        columns.mapInArrow(_dealer(cuts, *sizes), DEALT).write.partitionBy("shard").option("compression", "zstd").parquet(dealt_path)
+        dealt = spark.read.schema(DEALT).parquet(dealt_path)
+        passes = [dealt.where("shard = -1").drop("shard", "work")]
+    else:
+        passes = []
+    for k, (first, last) in enumerate(zip(cuts, [*cuts[1:], n_segments])):
         size = bits[first:last] // 8
         body, start = np.zeros(int(size.sum()) + len(split_body), np.uint8), np.cumsum(size) - size
         body[len(body) - len(split_body):] = split_body
@@ -393,15 +493,18 @@ def score(docs: DataFrame, held=None, shard_bytes: int = SHARD_BYTES) -> DataFra
             body[start[i]:start[i] + size[i]] = np.frombuffer(r["body"], np.uint8)
         shard = spark.sparkContext.broadcast(_Shard(first, np.append(bits[first:last], split_bits), body))
         # Each pass is written before the next shard is collected, so one shard at a time is held.
-        passes.append(written(columns.mapInArrow(
-            _scorer(shard, n_all, n_types, begun, word_segments, n_segments, PART_TOKENS, first, last), SCORED), "scores"))
+        if len(cuts) > 1:
+            some = of_shard(dealt, k).mapInArrow(_prober(shard, last, PART_TOKENS), "block bigint, i bigint, score double")
+            passes.append(written(some, "scores"))
+        else:
+            passes.append(written(columns.mapInArrow(_scorer(shard, *sizes, first, last), SCORED), "scores"))
         shard.destroy()
         del body
     # The name goes, the files in the shared folder stay; what is returned reads the scores alone.
     spark.sql(f"DROP TABLE {name}")
     scored = passes[0]
     for more in passes[1:]:
-        scored = scored.unionByName(more)
+        scored = scored.unionByName(more, allowMissingColumns=True)
     return (scored.groupBy("block", "i").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")],
                                              F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score"))

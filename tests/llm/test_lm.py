@@ -93,3 +93,27 @@ def test_split_histories(spark, monkeypatch):
         assert got.keys() == want.keys()
         off = np.array([abs(got[d].score - w[6]) / w[2] for d, w in want.items()])
         assert np.mean(off < 0.001) > 0.9 and off.max() < 0.5 and off.mean() < 0.02
+
+
+def test_each_pass_reads_its_share(spark, sf, monkeypatch):
+    """With the same segments, one shard or dozens give the same scores, and together the passes read every seen position once."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(L, "SEGMENT_KEYS", 2000)
+    one = {r.doc_id: r for r in L.score(docs).collect()}
+    read, real = [], L.of_shard
+
+    def counted(dealt, shard):
+        part = real(dealt, shard)
+        read.append((shard, sum(len(r.work) // L._WORK.itemsize for r in part.collect()), part._jdf.queryExecution().executedPlan().toString()))
+        return part
+    monkeypatch.setattr(L, "of_shard", counted)
+    many = {r.doc_id: r for r in L.score(docs, shard_bytes=5_000).collect()}
+    assert len(read) >= 20 and [r[0] for r in read] == list(range(len(read)))
+    assert all("PartitionFilters: [isnotnull(shard" in plan for _, _, plan in read)
+    # Positions after a history that training has not seen need no filter; all others are read once.
+    words = [[None, *split_words(r.text)] for r in docs.collect()]
+    learned = {w for r, t in zip(docs.collect(), words) if not held(r.doc_id) for w in t}
+    assert sum(n for _, n, _ in read) == sum(w in learned for t in words for w in t)
+    assert one.keys() == many.keys()
+    for k, r in one.items():
+        assert many[k].score == pytest.approx(r.score, rel=1e-9) and many[k].base_score == pytest.approx(r.base_score)
