@@ -21,6 +21,16 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
+#: What a task reads of an exchange at most, where there are partitions enough: some 16 MB become 300 MB in each sort of pixel rows.
+TASK_MB = 16
+#: Partitions an exchange begins with at least; adaptive execution puts small ones together. Up to 200 need no sort to be written.
+LEAST_PARTITIONS = 200
+#: What a task reads of files at most.
+SPLIT_MB = 32
+_ADVISORY, _INITIAL = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SPLIT = "spark.sql.files.maxPartitionBytes"
+_BOUNDS = (_ADVISORY, _INITIAL, _SPLIT)
+
 
 def get_spark(app: str = "gridspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, ANSI arithmetic and adaptive execution."""
@@ -38,6 +48,38 @@ def configure(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def bound_tasks(spark: SparkSession) -> None:
+    """Keep tasks on pixel rows small however large the tables are; `free_tasks` takes it back.
+
+    A sort, a window or an aggregate holds what its task reads, so a fixed number of partitions would let them grow with the input.
+    """
+    free_tasks(spark)
+    found = {key: spark.conf.get(key, None) for key in _BOUNDS}
+    for key, value in found.items():
+        spark.conf.set(f"gridspark.found.{key}", value or "")
+    spark.conf.set(_ADVISORY, min(_bytes(spark, found[_ADVISORY] or "64m"), TASK_MB << 20))
+    spark.conf.set(_SPLIT, min(_bytes(spark, found[_SPLIT] or "128m"), SPLIT_MB << 20))
+    partitions = int(found[_INITIAL] or spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(_INITIAL, max(partitions, LEAST_PARTITIONS))
+
+
+def free_tasks(spark: SparkSession) -> None:
+    """Give back the settings that `bound_tasks` found."""
+    for key in _BOUNDS:
+        found = spark.conf.get(f"gridspark.found.{key}", None)
+        if found is None:
+            continue
+        spark.conf.unset(f"gridspark.found.{key}")
+        if found:
+            spark.conf.set(key, found)
+        else:
+            spark.conf.unset(key)
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(size))
+
+
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write `df` as a Parquet table to the shared folder, so that lost executors do not recompute it.
 

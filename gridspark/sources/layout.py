@@ -104,7 +104,10 @@ def open_layout(spark: SparkSession, path: str) -> Layout:
     told = json.loads(spark.read.json(f"{path}/layout").first()["layout"])
     own = spark.newSession()
     configure(own)
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes"):
+        if (value := spark.conf.get(key, None)) is not None:
+            own.conf.set(key, value)
     own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     schema = StructType.fromJson(json.loads(told["schema"]))
     name, quoted = _table_name(path), lambda names: ", ".join(f"`{n}`" for n in names)
