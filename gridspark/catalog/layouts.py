@@ -9,13 +9,20 @@ from .. import fixtures as fx
 from ..operators import joins as J
 from ..operators import samples as S
 from ..operators import statistics as ST
+from ..session import cut_lineage
 from ..sources import layout as L
 from ..sources.sinks import scratch_dir
 from . import relations, samples, statistics  # noqa: F401  the queries whose SQL is taken
 from .registry import CHECKS, QUERIES, settled, r6
 from .samples import _SPEC, _flat_samples, array_sum
 
-BUCKETS = 8
+#: Buckets at least, and rows of a bucket, about.
+BUCKETS, BUCKET_ROWS = 8, 500_000
+
+
+def buckets(n: int) -> int:
+    """Buckets for a table of `n` rows: a bucket is one task's work, so there are more of them in a larger table."""
+    return max(BUCKETS, -(-n // BUCKET_ROWS))
 
 
 def like(name: str):
@@ -29,10 +36,10 @@ def like(name: str):
 
 def laid_out(spark: SparkSession, sf: str) -> L.Layout:
     """The pixel-hour table in its layout; the longest tenth of the series counts as crowded."""
-    rows = fx.dynamic(spark, sf)
+    rows = cut_lineage(fx.dynamic(spark, sf))
     sizes = rows.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.agg(F.percentile_approx("n", 0.9)).first()[0] or 1
-    return L.write_layout(rows, scratch_dir(spark, "layout"), BUCKETS, most_rows=most)
+    most, n = sizes.agg(F.percentile_approx("n", 0.9), F.sum("n")).first()
+    return L.write_layout(rows, scratch_dir(spark, "layout"), buckets(n or 0), most_rows=most or 1)
 
 
 @like("e1_sliding_windows")
@@ -56,8 +63,8 @@ def increments(spark: SparkSession, sf: str) -> DataFrame:
 
 @like("c1_join_forcing_model")
 def join_forcing_model(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.dynamic(spark, sf)
-    forcing = L.write_layout(rows.where("apcp = 0").select("y", "x", "t", "step", "tmp"), scratch_dir(spark, "forcing"), BUCKETS, most_rows=500)
+    rows = cut_lineage(fx.dynamic(spark, sf))
+    forcing = L.write_layout(rows.where("apcp = 0").select("y", "x", "t", "step", "tmp"), scratch_dir(spark, "forcing"), buckets(rows.count()), most_rows=500)
     model = L.write_layout(rows.where("tmp > 240").select("y", "x", "t", "soilm_10"), scratch_dir(spark, "model"), BUCKETS, step=None, like=forcing)
     return forcing.join(model, J.join_forcing_model).select("y", "x", "step", *r6("tmp", "soilm_10"))
 

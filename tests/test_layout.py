@@ -101,3 +101,11 @@ def test_odd_tables(spark, tmp_path):
     assert empty.map(lambda df: S.increments(df, "v")).count() == 0
     with pytest.raises(ValueError):
         empty.join(L.write_layout(spark.createDataFrame([], schema), str(tmp_path / "f"), 3), lambda a, b: a)
+
+
+def test_larger_tables_have_more_buckets(spark, sf, monkeypatch):
+    from gridspark.catalog import layouts
+    monkeypatch.setattr(layouts, "BUCKET_ROWS", 500)
+    out = layouts.laid_out(spark, sf)
+    assert out.buckets == -(-layouts.fx.dynamic(spark, sf).count() // 500) > layouts.BUCKETS
+    assert out.map(lambda df: df).count() == layouts.fx.dynamic(spark, sf).count()
