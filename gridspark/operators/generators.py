@@ -10,6 +10,7 @@ looks a known number of steps back and ahead works on a pixel of any length.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any, Protocol
 
@@ -70,25 +71,34 @@ def sample_generator(spec: SampleSpec, columns: Sequence[str], keys: Sequence[st
 
     class Samples:
         def __init__(self):
-            self.rows: list = []
+            # What one row costs does not depend on the length of a sample, unless the row ends one.
+            self.rows, self.steps, self.run = deque(), deque(), 0
 
         def push(self, row):
+            here = row[step]
+            last = self.steps[-1] if self.steps else None
             # A sample ends when a later step comes: until then its last step may be repeated.
-            if self.rows and row[step] != self.rows[-1][step]:
-                yield from self.finish()
-            self.rows = [r for r in self.rows if r[step] > row[step] - length]
+            if here != last:
+                if self.run >= length:
+                    yield from self.finish()
+                self.run = self.run + 1 if last is not None and here == last + 1 else 1
+            else:
+                self.run = 0
+            while self.steps and self.steps[0] <= here - length:
+                self.steps.popleft()
+                self.rows.popleft()
+            self.steps.append(here)
             self.rows.append(row)
 
         def finish(self):
-            last = self.rows[-1][step] if self.rows else 0
-            start = last - length + 1
-            at = start - self.rows[-1]["_first_offset"] if self.rows else -1
-            held = [r for r in self.rows if r[step] >= start]
-            if at < 0 or at % separation or at // separation >= held[-1]["_starts"]:
+            # The last `length` steps occur once each.
+            if self.run < length:
                 return
-            if [r[step] for r in held] == list(range(start, last + 1)) and held[0]["_core"]:
-                for pos, r in enumerate(held):
-                    yield (*[r[k] for k in keys], at // separation, pos, *[r[c] for c in columns])
+            at = self.steps[-1] - length + 1 - self.rows[-1]["_first_offset"]
+            if at < 0 or at % separation or at // separation >= self.rows[-1]["_starts"] or not self.rows[0]["_core"]:
+                return
+            for pos, r in enumerate(self.rows):
+                yield (*[r[k] for k in keys], at // separation, pos, *[r[c] for c in columns])
     return Samples
 
 

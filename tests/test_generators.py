@@ -87,3 +87,19 @@ def test_groups_and_order(spark):
     want = sorted((sum(k == g for k, _ in given), True, min(v for k, v in given if k == g)) for g in ("a", "b", None))
     assert got == want
     assert G.generate(df.limit(0), factory, "n int, ordered boolean, low int", ["k"], ["v"]).where(F.col("n") > 0).count() == 0
+
+
+def test_a_row_costs_the_same_whatever_the_length_of_a_sample():
+    """A row that ends no sample looks at itself, not at all rows of the sample before it."""
+    asked = []
+
+    class Counted(dict):
+        def __getitem__(self, name):
+            asked.append(name)
+            return super().__getitem__(name)
+    spec = S.SampleSpec(200, 200, ["v"], ["v"], ["v"], separation=10_000)
+    generator = G.sample_generator(spec, ["v"])()
+    given = [Counted(y=0, x=0, step=i, v=i, _first_offset=0, _starts=1, _core=True) for i in range(3000)]
+    out = [r for row in given for r in generator.push(row)] + list(generator.finish())
+    assert out == [(0, 0, 0, i, i) for i in range(400)]
+    assert len(asked) < 10 * len(given)
