@@ -15,13 +15,20 @@ from ..streaming import truth_join as TJ
 from .registry import DYNAMIC, ERRORS, query, r6, settled, with_views
 from .statistics import _PERIOD, long_sql
 
-PARTS = 4
+#: Ranges of time at least, rows of a range and rows of a file of it at most, about.
+PARTS, PART_ROWS, FILE_ROWS = 4, 4_000_000, 500_000
 
 
 def arriving(rows: DataFrame, by: str, name: str, parts: int = PARTS) -> DataFrame:
-    """The table as a stream: written in `parts` ranges of time one after the other, and read a range a trigger."""
+    """The table as a stream: written in `parts` ranges of time or more one after the other, and read a range a trigger.
+
+    A range has as many files as its rows need, the same number in all, so that many tasks write and read it.
+    """
     spark, path = rows.sparkSession, scratch_dir(rows.sparkSession, name)
     rows = cut_lineage(rows)
+    n = rows.count()
+    parts = max(parts, -(-n // PART_ROWS))
+    files = -(-n // (parts * FILE_ROWS)) or 1
     ends = rows.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)])).first()[0] or []
     edges = [None, *sorted(set(ends)), None]
     for lo, hi in zip(edges, edges[1:]):
@@ -30,8 +37,9 @@ def arriving(rows: DataFrame, by: str, name: str, parts: int = PARTS) -> DataFra
             part = part.where(F.col(by) > F.lit(lo))
         if hi is not None:
             part = part.where(F.col(by) <= F.lit(hi))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = part.repartition(files) if files > 1 else part.coalesce(1)
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("d9_stream_frames", with_views(DYNAMIC, long_sql(["tmp", "apcp"]), body=_PERIOD.replace(
@@ -53,7 +61,7 @@ SELECT step, feat, count(*) AS n_state, round(avg(abs(err_state)), 6) AS mean_st
   round(avg(abs(err_res)), 6) AS mean_res FROM fx_err GROUP BY step, feat"""))
 def stream_join_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Error by lead step of predictions and truth that arrive as two streams."""
-    errors = fx.errors(spark, sf)
+    errors = cut_lineage(fx.errors(spark, sf).repartitionByRange("t"))
     said = arriving(TJ.issued_predictions(errors, fx.STEP_SECONDS), "issued", "predictions")
     seen = arriving(errors.select("y", "x", "feat", "t", "true_prev", "true_state"), "t", "truth")
     scored = TJ.score_arriving(said, seen, fx.HORIZON * fx.STEP_SECONDS, "60 days")

@@ -168,3 +168,20 @@ def test_the_join_equals_error_by_horizon(spark, sf):
                                errors.select("y", "x", "feat", "t", "true_prev", "true_state"), fx.HORIZON * fx.STEP_SECONDS, "1 day")
     m = V.horizon_moments()
     assert long_rows(m.finish(m.partial(joined))) == long_rows(m.finish(m.partial(errors)))
+
+
+def test_larger_tables_arrive_in_more_ranges_of_several_files(spark, monkeypatch):
+    """As many files a trigger as a range has, so a trigger reads one range, and ranges follow each other in time."""
+    from gridspark.catalog import streams
+    from gridspark.sources.sinks import scratch_dir
+    monkeypatch.setattr(streams, "PART_ROWS", 1000)
+    monkeypatch.setattr(streams, "FILE_ROWS", 500)
+    rows = spark.range(6000).select(F.timestamp_seconds(F.col("id") * 60).alias("t"), "id")
+    seen, where = [], scratch_dir(spark, "arriving-state")
+
+    def look(batch, _):
+        seen.append(batch.agg(F.min("id"), F.max("id"), F.count("id")).first())
+    streams.arriving(rows, "t", "arriving-test").writeStream.foreachBatch(look).option(
+        "checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 6 and sum(n for _, _, n in seen) == 6000
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
