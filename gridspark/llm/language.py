@@ -15,6 +15,7 @@ predicted alike. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -112,7 +113,8 @@ def _features(batches):
         for text, lang in zip(texts, batch.column(1).to_pylist()):
             grams, counts = ngrams([text])
             if counts[0]:
-                vectors.append(np.bincount(grams.ravel(), minlength=BUCKETS).astype(np.float32).tobytes())
+                # Most buckets of a text are empty, so the driver gets a small part of these bytes.
+                vectors.append(zlib.compress(np.bincount(grams.ravel(), minlength=BUCKETS).astype(np.float32).tobytes(), 1))
                 labels.append(lang)
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(vectors, pa.binary())], ["lang", "counts"])
 
@@ -138,10 +140,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     # In an order that does not depend on where the rows were; one copy of the counts at a time, as this is the driver.
     given, vectors = rows.column("lang").to_pylist(), rows.column("counts")
-    order = sorted(range(len(given)), key=lambda i: (given[i], hashlib.blake2b(vectors[i].as_buffer()).digest()))
+
+    def counts(i: int) -> bytes:
+        return zlib.decompress(vectors[i].as_buffer())
+
+    order = sorted(range(len(given)), key=lambda i: (given[i], hashlib.blake2b(counts(i)).digest()))
     x = np.empty((len(given), BUCKETS), np.float32)
     for at, i in enumerate(order):
-        x[at] = np.frombuffer(vectors[i].as_buffer(), np.float32)
+        x[at] = np.frombuffer(counts(i), np.float32)
     del rows, vectors
     x /= x.sum(axis=1, keepdims=True)
     langs = sorted(set(given))

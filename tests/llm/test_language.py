@@ -122,3 +122,14 @@ def test_a_repeated_row_changes_nothing(spark, sf):
     assert once.langs == often.langs and len(once.langs) == 4
     for a, b in ((once.weights, often.weights), (once.bias, often.bias), (once.trust, often.trust)):
         assert np.array_equal(a, b)
+
+
+def test_the_driver_gets_a_small_part_of_the_counts(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    frames = type(docs)
+    sent, collect = [], frames.toArrow
+    monkeypatch.setattr(frames, "toArrow", lambda df: sent.append(collect(df)) or sent[-1])
+    model = L.fit(docs)
+    assert model is not None and sent[0].num_rows > 50
+    # A row of counts is 32 kB on the driver; the whole table of them came as that much a row.
+    assert sent[0].nbytes < sent[0].num_rows * L.BUCKETS * 4 / 4
