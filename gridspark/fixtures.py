@@ -37,6 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tables that pixel rows and the other queries of the catalog come from; the text operators have their own.
+TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+
+
+def input_bytes(spark: SparkSession, sf_dir: str) -> int:
+    """Bytes of the files of `TABLES`, as far as they are there."""
+    total = 0
+    for name in TABLES:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(place):
+            total += files.getContentSummary(place).getLength()
+    return total
+
+
 _PREPARED: dict[str, str] = {}
 
 

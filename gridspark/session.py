@@ -25,8 +25,10 @@ SETTINGS = {
 TASK_MB = 16
 #: Partitions an exchange begins with at least; adaptive execution puts small ones together. Up to 200 need no sort to be written.
 LEAST_PARTITIONS = 200
+#: Files that make up to 16 MB of an exchange: its rows are numbered and carry features, some four times the line items' files.
+INPUT_MB = 4
 #: What a task reads of files at most.
-SPLIT_MB = 32
+SPLIT_MB = 16
 _ADVISORY, _INITIAL = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _SPLIT = "spark.sql.files.maxPartitionBytes"
 _BOUNDS = (_ADVISORY, _INITIAL, _SPLIT)
@@ -48,10 +50,11 @@ def configure(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def bound_tasks(spark: SparkSession) -> None:
+def bound_tasks(spark: SparkSession, input_bytes: int = 0) -> None:
     """Keep tasks on pixel rows small however large the tables are; `free_tasks` takes it back.
 
-    A sort, a window or an aggregate holds what its task reads, so a fixed number of partitions would let them grow with the input.
+    A sort, a window or an aggregate holds what its task reads, so a fixed number of partitions would let them grow with the input:
+    there are as many as the bytes of the tables' files ask for.
     """
     free_tasks(spark)
     found = {key: spark.conf.get(key, None) for key in _BOUNDS}
@@ -60,7 +63,7 @@ def bound_tasks(spark: SparkSession) -> None:
     spark.conf.set(_ADVISORY, min(_bytes(spark, found[_ADVISORY] or "64m"), TASK_MB << 20))
     spark.conf.set(_SPLIT, min(_bytes(spark, found[_SPLIT] or "128m"), SPLIT_MB << 20))
     partitions = int(found[_INITIAL] or spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set(_INITIAL, max(partitions, LEAST_PARTITIONS))
+    spark.conf.set(_INITIAL, max(partitions, LEAST_PARTITIONS, -(-input_bytes // (INPUT_MB << 20))))
 
 
 def free_tasks(spark: SparkSession) -> None:

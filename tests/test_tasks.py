@@ -1,6 +1,9 @@
+import os
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gridspark import fixtures
 from gridspark.session import TASK_MB, bound_tasks, free_tasks
 
 KEYS = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
@@ -44,3 +47,20 @@ def test_smaller_tasks_of_the_session_stay(spark):
     finally:
         free_tasks(spark)
         spark.conf.unset(KEYS[0])
+
+
+def test_partitions_grow_with_the_tables(spark, sf, monkeypatch):
+    found = settings(spark)
+    assert fixtures.input_bytes(spark, sf) == sum(os.path.getsize(f"{sf}/{name}.parquet") for name in fixtures.TABLES)
+    assert fixtures.input_bytes(spark, f"{sf}/none") == 0
+    try:
+        counts = []
+        for size in (0, 600 << 20, 4 << 30, 40 << 30):
+            monkeypatch.setattr(entry, "input_bytes", lambda spark, sf_dir: size)
+            entry.queries()["d11_error_by_horizon"](spark, sf)
+            counts.append(int(spark.conf.get(KEYS[1])))
+        # 200 partitions of 16 MB hold what some 800 MB of files become; beyond that partitions are more, not larger.
+        assert counts == [200, 200, 1024, 10240]
+    finally:
+        free_tasks(spark)
+    assert settings(spark) == found
