@@ -36,8 +36,8 @@ COVER = 80
 FILTER_BITS = 27
 #: Rows of one range of a stream.
 RANGE_ROWS = 100_000
-#: Distinct words or phrases a task holds before it hands them on.
-HELD = 1 << 20
+#: Distinct words or phrases a task holds before it hands them on, and those it hands on at once.
+HELD, HANDED = 1 << 18, 1 << 15
 
 _GAPS = np.zeros(256, dtype=bool)
 _GAPS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -109,7 +109,7 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = _Held()
     for batch in batches:
         langs = batch.column("lang")
-        for first, last, data, offsets in text_slices(batch.column("text"), 2 << 20):
+        for first, last, data, offsets in text_slices(batch.column("text"), 1 << 20):
             gap = _GAPS[data]
             starts, ends, h, counts = word_spans(np.where(gap, _SPACE, data), offsets, fold=False)
             h[h == 0] = 1
@@ -134,9 +134,15 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return [names[of[at]], h[at], word]
             held.add(_phrase_hashes(h, _salt(lang)[of], 1), spelled)
             if held.full():
-                yield handed_on()
+                yield from _parts(handed_on())
     if len(held.h):
-        yield handed_on()
+        yield from _parts(handed_on())
+
+
+def _parts(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of `HANDED`, since a batch is held as a whole by the task that reads it."""
+    for first in range(0, len(rows), HANDED):
+        yield rows.slice(first, HANDED)
 
 
 def _bit(bits: np.ndarray, hashes: np.ndarray, log_bits: int) -> np.ndarray:
@@ -189,9 +195,9 @@ def _hash_counter(lengths: tuple[int, ...], part: int, filtered, log_bits: int):
         for _, _, h, _, row, _, blocks in _walk(batches, lengths, part, bits, log_bits):
             held.add(h, lambda new: [blocks[row[new]]])
             if held.full():
-                yield handed_on()
+                yield from _parts(handed_on())
         if len(held.h):
-            yield handed_on()
+            yield from _parts(handed_on())
     return count
 
 
@@ -211,10 +217,10 @@ def _spell_out(lengths: tuple[int, ...], part: int, filtered, own, log_bits: int
             at, row = at[mine], row[mine]
             held[n].add(h[mine], lambda new: [names[row[new]], *[words[at[new] + j] for j in range(n)]])
             if held[n].full():
-                yield handed_on(n)
+                yield from _parts(handed_on(n))
         for n in held:
             if len(held[n].h):
-                yield handed_on(n)
+                yield from _parts(handed_on(n))
     return spell
 
 

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LOWER, edge_docs, empty_docs
 
@@ -79,3 +81,24 @@ def test_edges(spark):
     assert P.collocations(empty_docs(spark)).count() == 0
     none = docs.withColumn("text", docs.lang.substr(1, 0))
     assert P.collocations(none).count() == 0
+
+
+def test_what_is_handed_on_comes_in_small_batches():
+    """A task's distinct words and phrases reach the JVM in many batches, whole and counted right."""
+    n = 150_000
+    texts = [" ".join(f"w{i}" for i in range(k, k + 1000)) for k in range(0, n, 1000)] * 2
+    batches = list(P._encode([pa.record_batch({"lang": ["en"] * len(texts), "text": texts})]))
+    words = [b for b in batches if b.column("words").null_count]
+    assert max(map(len, words)) <= 1 << 16
+    total = Counter()
+    for b in words:
+        total.update(dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist())))
+    assert total == {f"w{i}": 2 for i in range(n)}
+    coded = [pa.record_batch({"lang": b.column("lang"), "words": b.column("words"), "block": pa.array([3] * len(b), pa.int32())})
+             for b in batches if not b.column("words").null_count]
+
+    class Filter:
+        value = np.full(1 << (P.FILTER_BITS - 3), 255, np.uint8).tobytes()
+    pairs = list(P._hash_counter((2,), 1, Filter, P.FILTER_BITS)(coded))
+    assert max(map(len, pairs)) <= 1 << 16
+    assert sum(sum(b.column("f").to_pylist()) for b in pairs) == len(texts) * 999
