@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting by which an execution's shuffle files go at its end.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, else the one set on the context.
 
@@ -27,10 +31,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, columnar, safe from lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` as a Parquet table in the shared folder: computed once, columnar, safe from lost executors.
+
+    The shuffle files of the write go as soon as the table is there. Otherwise they stay until the driver happens to collect garbage,
+    so that steps written one after the other may hold all their shuffles at once.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    found = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if found is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, found)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
