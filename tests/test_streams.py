@@ -185,3 +185,85 @@ def test_larger_tables_arrive_in_more_ranges_of_several_files(spark, monkeypatch
         "checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 6 and sum(n for _, _, n in seen) == 6000
     assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_blocks_give_the_rows_of_the_join(spark):
+    """Missing and repeated truth, repeated predictions, null keys, times and values, other columns, times before 1970."""
+    said, truth = forecasts(4)
+    back = lambda r, at: (*r[:at], r[at] - timedelta(days=20_000), *r[at + 1:])
+    said = said[::2] + said[:40] + [back(back(r, 3), 6) for r in said[:60]] + [
+        (None, 0, 1, ORIGIN, 1, "a", ORIGIN, 1.0, 1.0), (0, 0, 1, ORIGIN, 1, "a", None, 1.0, 1.0), (0, 0, 1, None, 1, "a", ORIGIN, 1.0, 1.0),
+        (0, 0, 1, ORIGIN, 1, None, ORIGIN + timedelta(hours=1), 1.0, 1.0), (0, 0, None, ORIGIN, 1, "a", ORIGIN + timedelta(hours=1), None, 1.0),
+        (0, 0, 1, ORIGIN, 9, "a", ORIGIN + timedelta(hours=9), 1.0, 1.0), (0, 0, 1, ORIGIN, 0, "a", ORIGIN - timedelta(hours=1), 1.0, 1.0)]
+    truth = [t for t in truth if t[3].hour % 5] + truth[:50] + [back(t, 3) for t in truth[:30]] + [
+        (None, 0, "a", ORIGIN, 1.0, 1.0), (0, 0, "a", ORIGIN - timedelta(hours=1), 1.0, None), (0, 0, "a", None, 1.0, 1.0)]
+    said = spark.createDataFrame(said, SAID)
+    seen = spark.createDataFrame(truth, SEEN).withColumn("more", F.struct(F.array("true_prev", "y").alias("a"), F.col("feat").alias("b")))
+    rows = lambda **kw: sorted(map(str, TJ.score_arriving(said, seen, HORIZON * HOUR, "1 hour", carry=["more"], **kw).collect()))
+    want = rows()
+    assert len(want) > 200
+    for hours in (1, 5, 6, 100):
+        assert rows(block_seconds=hours * HOUR) == want
+    with pytest.raises(ValueError, match="no truth"):
+        rows(block_seconds=HOUR, unmatched=True)
+
+
+def test_packs_are_bounded_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(TJ, "PACK_ROWS", 70)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        rows = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+        out = TJ.packed(rows, ["k"], ["v"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    assert max(len(r.v) for r in out) < 100 and all(v % 3 == r.k for r in out for v in r.v)
+    assert sorted(v for r in out for v in r.v) == list(range(5000))
+
+
+def test_blocks_of_two_streams_wait_in_few_rows(spark, tmp_path):
+    """The partials of the batch from a state that counts blocks, not rows; it expires."""
+    said, truth = forecasts(12)
+    m = V.horizon_moments()
+    batch = TJ.score_arriving(spark.createDataFrame(said, SAID), spark.createDataFrame(truth, SEEN), HORIZON * HOUR, "1 hour")
+    scored = TJ.score_arriving(*streams(spark, tmp_path, said, truth, 6), HORIZON * HOUR, "12 hours", block_seconds=HORIZON * HOUR)
+    out = str(tmp_path / "out")
+    query = SP.stream_merge(scored, m, out, str(tmp_path / "log"))
+    query.awaitTermination()
+    rounded = lambda rows: [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in long_rows(m.finish(rows))]
+    assert rounded(SP.merged_partials(spark, out, m)) == rounded(m.partial(batch))
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    # Two pixels, a block a quarter of a day; at most two days, the delay, the horizon and a block wait, on each side in two rows a block.
+    assert len(held) >= 6 and max(held) <= 2 * 2 * 2 * 4 * 3 < (len(said) + len(truth)) / 10
+
+
+def test_error_by_horizon_of_streams_keeps_blocks(spark, sf, monkeypatch):
+    """The registered query keeps less than a quarter of the rows that come in any of its triggers."""
+    import __spark_entry__
+    queries, merge = [], SP.stream_merge
+    monkeypatch.setattr(SP, "stream_merge", lambda *a: queries.append(merge(*a)) or queries[0])
+    assert __spark_entry__.queries()["c3_stream_join_truth"](spark, sf).count() == 48
+    told = [p for p in queries[0].recentProgress if p["stateOperators"]]
+    assert max(o["numRowsTotal"] for p in told for o in p["stateOperators"]) < max(p["numInputRows"] for p in told) / 4
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_ranges_are_written_in_one_pass(spark, monkeypatch, kept):
+    """Not a pass over the table for each range; where a file system keeps no times, another over the written files."""
+    from pyspark.sql import DataFrameWriter
+
+    from gridspark.catalog import streams
+    from gridspark.sources.sinks import scratch_dir
+    monkeypatch.setattr(streams, "PART_ROWS", 1000)
+    monkeypatch.setattr(streams, "FILE_ROWS", 500)
+    if not kept:
+        monkeypatch.setattr(streams, "in_order", lambda *_: False)
+    writes, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: writes.append(path) or write(self, path, *a, **k))
+    rows = spark.range(20_000).select(F.timestamp_seconds(F.col("id") * 7919 % 20_011).alias("t"), "id")
+    stream = streams.arriving(rows, "t", "arriving-test")
+    assert len(writes) == (1 if kept else 21)
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, _: seen.append(b.agg(F.min("t"), F.max("t"), F.count("id")).first())).option(
+        "checkpointLocation", scratch_dir(spark, "arriving-state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 20 and sum(n for _, _, n in seen) == 20_000
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
