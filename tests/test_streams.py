@@ -267,3 +267,19 @@ def test_ranges_are_written_in_one_pass(spark, monkeypatch, kept):
         "checkpointLocation", scratch_dir(spark, "arriving-state")).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 20 and sum(n for _, _, n in seen) == 20_000
     assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_ranges_stay_bounded_where_times_are_few(spark, monkeypatch):
+    """Three times of 20,000 rows, no rows at all: triggers of some 1,000 rows in the order of time, and nothing is lost."""
+    from gridspark.catalog import streams
+    from gridspark.sources.sinks import scratch_dir
+    monkeypatch.setattr(streams, "PART_ROWS", 1000)
+    monkeypatch.setattr(streams, "FILE_ROWS", 500)
+    rows = spark.range(20_000).select(F.timestamp_seconds(F.col("id") % 3).alias("t"), "id")
+    for table, n in ((rows, 20_000), (rows.where("id < 0"), 0)):
+        seen = []
+        streams.arriving(table, "t", "arriving-test").writeStream.foreachBatch(
+            lambda b, _: seen.append(b.agg(F.min("t"), F.max("t"), F.count("id")).first())).option(  # noqa: B023
+            "checkpointLocation", scratch_dir(spark, "arriving-state")).trigger(availableNow=True).start().awaitTermination()
+        assert sum(k for _, _, k in seen) == n and (not n or len(seen) == 20 and max(k for _, _, k in seen) < 2000)
+        assert all(a[1] <= b[0] for a, b in zip(seen, seen[1:]))
